@@ -121,12 +121,16 @@ def _tokens(k: int, percent: int, sketch):
 
 
 def _sets(k: int):
+    """The sets in place of the texts; a row whose size isn't the class's is another text under the same doc_id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 row, h = shingle_sets(words(piece.column(1), lower=True), k)
-                borders, n, fp = _set_stats(row, h, len(piece))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(fp)), pa.array(n.astype(np.int64)), pa.array([h[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)], pa.binary())], names=["fp", "n", "shingles"])
+                borders, n, _ = _set_stats(row, h, len(piece))
+                sets = pa.array([h[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)], pa.binary())
+                same = pa.array(n == piece.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([piece.column(0), *(piece.column(i) for i in range(2, 7)), sets], names=["rep", "n", "weight", "grp", "lo", "hi", "shingles"]).filter(same)
 
     return run
 
@@ -136,7 +140,7 @@ def _compare(percent: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        pdf = pdf.sort_values("n", kind="stable")
+        pdf = pdf.drop_duplicates("rep").sort_values(["n", "rep"])
         rep, n, weight, grp = (pdf[c].to_numpy() for c in ("rep", "n", "weight", "grp"))
         sets = [np.frombuffer(x, U) for x in pdf["shingles"]]
         root = np.arange(len(rep))
@@ -204,21 +208,15 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, group: int = GROU
     grouped = home.join(sizes, "home").select("fp", "n", F.xxhash64("home", F.pmod(F.xxhash64("fp"), F.ceil(F.col("members") / F.lit(group)))).alias("grp"))
     grouped = written(grouped, "groups")
     member = shared.join(grouped, ["fp", "n"])
-    matrix = member.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    span = grouped.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = member.groupBy("token", "grp").agg(F.count("*").alias("classes"), F.min("n").alias("least"), F.max("n").alias("most"))
     query = member.select("token", "fp", "n", F.col("grp").alias("own"))
-    bound = query.join(matrix.select("token", "grp"), "token").groupBy("fp", "n", "own", "grp").agg(F.count("*").alias("hits"))
     need = F.ceil(F.col("n") * percent / F.lit(100))
-    opened = (
-        bound.join(span, "grp")
-        .where((F.col("hits") + (need - 1) >= need) & (F.col("least") * percent <= F.col("n") * 100) & (F.col("most") * 100 >= F.col("n") * percent))
-        .select("fp", "n", F.col("own").alias("grp"), F.least("own", "grp").alias("lo"), F.greatest("own", "grp").alias("hi"))
-    )
-    reps = grouped.join(classes, ["fp", "n"]).select("fp", "n", "rep", "weight")
-    reps = written(reps, "representatives")
-    sets = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(k), "fp long, n long, shingles binary")
-    sets = written(sets.dropDuplicates(["fp", "n"]), "sets")
-    work = opened.join(reps, ["fp", "n"]).join(sets, ["fp", "n"]).select("lo", "hi", "grp", "rep", "n", "weight", "shingles")
+    reachable = (F.col("least") * percent <= F.col("n") * 100) & (F.col("most") * 100 >= F.col("n") * percent)
+    others = (F.col("own") != F.col("grp")) | (F.col("classes") > 1)  # in its own group a query is no partner of itself
+    bound = query.join(matrix, "token").where(reachable & others).groupBy("fp", "n", "own", "grp").agg(F.count("*").alias("hits"))
+    opened = bound.where(F.col("hits") + (need - 1) >= need).select("fp", "n", F.col("own").alias("grp"), F.least("own", "grp").alias("lo"), F.greatest("own", "grp").alias("hi"))
+    opened = written(opened.join(classes, ["fp", "n"]).select(F.col("rep").alias("doc_id"), "n", "weight", "grp", "lo", "hi"), "opened")
+    work = docs.join(opened, "doc_id").mapInArrow(_sets(k), "rep long, n long, weight long, grp long, lo long, hi long, shingles binary")
     found = written(work.groupBy("lo", "hi").applyInPandas(_compare(percent), "a long, b long, w long"), "links")
 
     comp = components(found.where("b is not null"))
