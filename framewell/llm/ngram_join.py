@@ -7,12 +7,14 @@ threshold. The steps, each a Spark job over all rows:
    equal sets form a class; only classes are compared, and a hot group of copies is one class.
 2. A count sketch of fixed size (SLOTS counters, summed over all documents) orders the shingles from
    rare to common. Any fixed order gives the same links; this one keeps common passages from making
-   candidates. The first n - ceil(t n) + 1 shingles of a set are its tokens: two sets that link share one.
+   candidates. The first n - need + l shingles of a set are its tokens, for need = ceil(t n) and
+   l = min(HITS, need): two sets that link share l of them, which sets with a chance shingle in common don't.
 3. Classes that share their smallest common token form groups, split by hash so that a group has about
    GROUP classes at any size of the corpus. The token-group matrix has a row for each token in a
    group's token union.
-4. A query class and a group overlap in at most (shared tokens) + (shingles of the query behind its
-   tokens). Groups where this bound, or the range of set sizes, can't reach the threshold stay closed.
+4. A query class and a group overlap in at most (shared tokens) + (shingles of the query behind the last
+   of them). Groups where this bound, the count of shared tokens or the set sizes can't reach the
+   threshold stay closed.
 5. Open pairs of groups are compared exactly, set by set; a pair of groups sends on the links that
    span it, not all pairs. Connected components of the links are the result.
 """
@@ -38,6 +40,8 @@ SLOTS = 1 << 20
 CHUNK = 1 << 14
 #: Classes of a group, on average at most.
 GROUP = 64
+#: Tokens that linked sets share at least.
+HITS = 8
 #: Partial sketches that one task adds up.
 FAN_IN = 64
 
@@ -100,7 +104,7 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _tokens(k: int, percent: int, sketch):
-    """(token, fp, n): the tokens of each set, the rarest shingles first; one row for each set and piece."""
+    """(token, fp, n, pos): the tokens of each set, the rarest shingles first; one row for each set and piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sketch.value
@@ -113,9 +117,10 @@ def _tokens(k: int, percent: int, sketch):
                 key = (row.astype(U) << U(16)) | common[(h & U(SLOTS - 1)).astype(np.int64)].astype(U)
                 order = np.argsort(key, kind="stable")
                 rank = np.arange(len(h)) - borders[row]
-                keep = (rank < (n - needed(n, percent) + 1)[row]) & once[row]
+                need = needed(n, percent)
+                keep = (rank < (n - need + np.minimum(HITS, need))[row]) & once[row]
                 at = row[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[order][keep])), pa.array(signed(fp)[at]), pa.array(n[at].astype(np.int64))], names=["token", "fp", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[order][keep])), pa.array(signed(fp)[at]), pa.array(n[at].astype(np.int64)), pa.array(rank[keep] + 1)], names=["token", "fp", "n", "pos"])
 
     return run
 
@@ -197,9 +202,9 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, group: int = GROU
     sketch = spark.sparkContext.broadcast(_sketch(stats.where("chunk is not null"), tasks + 1))
     classes = per_doc.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
 
-    tokens = docs.mapInArrow(_tokens(k, percent, sketch), "token long, fp long, n long")
+    tokens = docs.mapInArrow(_tokens(k, percent, sketch), "token long, fp long, n long, pos long")
     of_token = Window.partitionBy("token")
-    shared = tokens.withColumn("low", F.min("fp").over(of_token)).withColumn("high", F.max("fp").over(of_token)).where("low < high").select("token", "fp", "n").distinct()
+    shared = tokens.withColumn("low", F.min("fp").over(of_token)).withColumn("high", F.max("fp").over(of_token)).where("low < high").select("token", "fp", "n", "pos").distinct()
     shared = written(shared, "shared-tokens")
 
     # groups: classes with the same smallest shared token, split into about equal parts
@@ -209,12 +214,15 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, group: int = GROU
     grouped = written(grouped, "groups")
     member = shared.join(grouped, ["fp", "n"])
     matrix = member.groupBy("token", "grp").agg(F.count("*").alias("classes"), F.min("n").alias("least"), F.max("n").alias("most"))
-    query = member.select("token", "fp", "n", F.col("grp").alias("own"))
-    need = F.ceil(F.col("n") * percent / F.lit(100))
+    query = member.select("token", "fp", "n", "pos", F.col("grp").alias("own"))
     reachable = (F.col("least") * percent <= F.col("n") * 100) & (F.col("most") * 100 >= F.col("n") * percent)
     others = (F.col("own") != F.col("grp")) | (F.col("classes") > 1)  # in its own group a query is no partner of itself
-    bound = query.join(matrix, "token").where(reachable & others).groupBy("fp", "n", "own", "grp").agg(F.count("*").alias("hits"))
-    opened = bound.where(F.col("hits") + (need - 1) >= need).select("fp", "n", F.col("own").alias("grp"), F.least("own", "grp").alias("lo"), F.greatest("own", "grp").alias("hi"))
+    bound = query.join(matrix, "token").where(reachable & others).groupBy("fp", "n", "own", "grp").agg(F.count("*").alias("hits"), F.max("pos").alias("last"), F.min("least").alias("least"))
+    smaller = F.least(F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * percent / F.lit(100))))
+    need = F.ceil((F.col("n") + smaller) * percent / F.lit(100 + percent))
+    few = F.least(F.lit(HITS), F.ceil(smaller * percent / F.lit(100)))
+    opened = bound.where((F.col("hits") >= few) & (F.col("hits") + F.col("n") - F.col("last") >= need))
+    opened = opened.select("fp", "n", F.col("own").alias("grp"), F.least("own", "grp").alias("lo"), F.greatest("own", "grp").alias("hi"))
     opened = written(opened.join(classes, ["fp", "n"]).select(F.col("rep").alias("doc_id"), "n", "weight", "grp", "lo", "hi"), "opened")
     work = docs.join(opened, "doc_id").mapInArrow(_sets(k), "rep long, n long, weight long, grp long, lo long, hi long, shingles binary")
     found = written(work.groupBy("lo", "hi").applyInPandas(_compare(percent), "a long, b long, w long"), "links")
