@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from framewell.llm import ngram_join
+from framewell.llm import decontaminate, ngram_join, packing, quality_rules, sharding, substring_dedup, url_filter
 
 
 def queries() -> dict:
-    return {"op3_ngram_join": ngram_join.op3_ngram_join}
+    return {"op1_substring_dedup": substring_dedup.op1_substring_dedup, "op2_decontaminate": decontaminate.op2_decontaminate, "op3_ngram_join": ngram_join.op3_ngram_join, "op4_url_filter": url_filter.op4_url_filter, "op8_quality_rules": quality_rules.op8_quality_rules, "op9_packing": packing.op9_packing, "op10_sharding": sharding.op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": ngram_join.SQL}
+    return {"op1_substring_dedup": substring_dedup.SQL, "op2_decontaminate": decontaminate.SQL, "op3_ngram_join": ngram_join.SQL, "op4_url_filter": url_filter.SQL}
