@@ -12,9 +12,10 @@ threshold. The steps, each a Spark job over all rows:
 3. Classes that share their smallest common token form groups, split by hash so that a group has about
    GROUP classes at any size of the corpus. The token-group matrix has a row for each token in a
    group's token union.
-4. A query class and a group overlap in at most (shared tokens) + (shingles of the query behind the last
-   of them). Groups where this bound, the count of shared tokens or the set sizes can't reach the
-   threshold stay closed.
+4. If a query class links to a member of a group, it shares at least l tokens with the group's union, and
+   more where the sizes ask for more overlap than `need`: overlap a = ceil(t (n + m) / (1 + t)) means
+   l + a - max(need, need of m) shared tokens. Groups hold sets of about one size, so that this bound is
+   tight; groups that don't reach it, or whose sizes are out of reach, stay closed.
 5. Open pairs of groups are compared exactly, set by set; a pair of groups sends on the links that
    span it, not all pairs. Connected components of the links are the result.
 """
@@ -104,7 +105,7 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _tokens(k: int, percent: int, sketch):
-    """(token, fp, n, pos): the tokens of each set, the rarest shingles first; one row for each set and piece."""
+    """(token, fp, n): the tokens of each set, the rarest shingles first; one row for each set and piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sketch.value
@@ -120,7 +121,7 @@ def _tokens(k: int, percent: int, sketch):
                 need = needed(n, percent)
                 keep = (rank < (n - need + np.minimum(HITS, need))[row]) & once[row]
                 at = row[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[order][keep])), pa.array(signed(fp)[at]), pa.array(n[at].astype(np.int64)), pa.array(rank[keep] + 1)], names=["token", "fp", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[order][keep])), pa.array(signed(fp)[at]), pa.array(n[at].astype(np.int64))], names=["token", "fp", "n"])
 
     return run
 
@@ -202,26 +203,35 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, group: int = GROU
     sketch = spark.sparkContext.broadcast(_sketch(stats.where("chunk is not null"), tasks + 1))
     classes = per_doc.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
 
-    tokens = docs.mapInArrow(_tokens(k, percent, sketch), "token long, fp long, n long, pos long")
+    tokens = docs.mapInArrow(_tokens(k, percent, sketch), "token long, fp long, n long")
     of_token = Window.partitionBy("token")
-    shared = tokens.withColumn("low", F.min("fp").over(of_token)).withColumn("high", F.max("fp").over(of_token)).where("low < high").select("token", "fp", "n", "pos").distinct()
+    shared = tokens.withColumn("low", F.min("fp").over(of_token)).withColumn("high", F.max("fp").over(of_token)).where("low < high").select("token", "fp", "n").distinct()
     shared = written(shared, "shared-tokens")
 
-    # groups: classes with the same smallest shared token, split into about equal parts
-    home = shared.groupBy("fp", "n").agg(F.min("token").alias("home"))
-    sizes = home.groupBy("home").agg(F.count("*").alias("members"))
-    grouped = home.join(sizes, "home").select("fp", "n", F.xxhash64("home", F.pmod(F.xxhash64("fp"), F.ceil(F.col("members") / F.lit(group)))).alias("grp"))
+    # groups: classes of about one size with the same smallest shared token, split into about equal parts
+    home = shared.groupBy("fp", "n").agg(F.min("token").alias("home")).withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.1))))
+    sizes = home.groupBy("home", "band").agg(F.count("*").alias("members"))
+    grouped = home.join(sizes, ["home", "band"]).select("fp", "n", F.xxhash64("home", "band", F.pmod(F.xxhash64("fp"), F.ceil(F.col("members") / F.lit(group)))).alias("grp"))
     grouped = written(grouped, "groups")
     member = shared.join(grouped, ["fp", "n"])
     matrix = member.groupBy("token", "grp").agg(F.count("*").alias("classes"), F.min("n").alias("least"), F.max("n").alias("most"))
-    query = member.select("token", "fp", "n", "pos", F.col("grp").alias("own"))
-    reachable = (F.col("least") * percent <= F.col("n") * 100) & (F.col("most") * 100 >= F.col("n") * percent)
+    query = member.select("token", "fp", "n", F.col("grp").alias("own"))
+    n, least, most = F.col("n"), F.col("least"), F.col("most")
+
+    def need_of(size):
+        return F.ceil(size * percent / F.lit(100))
+
+    def more(size):
+        """Shared tokens that sizes n and `size` ask for beyond l."""
+        return F.ceil((n + size) * percent / F.lit(100 + percent)) - F.greatest(need_of(n), need_of(size))
+
+    reachable = (least * percent <= n * 100) & (most * 100 >= n * percent)
     others = (F.col("own") != F.col("grp")) | (F.col("classes") > 1)  # in its own group a query is no partner of itself
-    bound = query.join(matrix, "token").where(reachable & others).groupBy("fp", "n", "own", "grp").agg(F.count("*").alias("hits"), F.max("pos").alias("last"), F.min("least").alias("least"))
-    smaller = F.least(F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * percent / F.lit(100))))
-    need = F.ceil((F.col("n") + smaller) * percent / F.lit(100 + percent))
-    few = F.least(F.lit(HITS), F.ceil(smaller * percent / F.lit(100)))
-    opened = bound.where((F.col("hits") >= few) & (F.col("hits") + F.col("n") - F.col("last") >= need))
+    bound = query.join(matrix, "token").where(reachable & others).groupBy("fp", "n", "own", "grp").agg(F.count("*").alias("hits"), F.min("least").alias("least"), F.max("most").alias("most"))
+    lo, hi = F.greatest(least, need_of(n)), F.least(most, F.floor(n * 100 / F.lit(percent)))
+    few = F.least(F.lit(HITS), need_of(F.least(n, lo)))
+    # between two sizes, `more` is least at one of them, up to rounding
+    opened = bound.where(F.col("hits") >= few + F.greatest(F.lit(0), F.least(more(lo), more(hi)) - 1))
     opened = opened.select("fp", "n", F.col("own").alias("grp"), F.least("own", "grp").alias("lo"), F.greatest("own", "grp").alias("hi"))
     opened = written(opened.join(classes, ["fp", "n"]).select(F.col("rep").alias("doc_id"), "n", "weight", "grp", "lo", "hi"), "opened")
     work = docs.join(opened, "doc_id").mapInArrow(_sets(k), "rep long, n long, weight long, grp long, lo long, hi long, shingles binary")
