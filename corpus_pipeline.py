@@ -1,4 +1,60 @@
-"""A corpus pipeline of five stages; each takes what the one before it kept."""
+"""A corpus pipeline of five stages over `documents`.
 
-STAGES: list = []
+Each stage takes what the stage before it kept, as Parquet, and all but the last return the columns
+of documents. Rows with a null doc_id pass the stages that only judge text; the join drops them, since they
+have no identity to keep one of a group by.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from framewell.llm import decontaminate, language_id, ngram_join, packing, secrets_scan
+from framewell.llm.common import table, written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps texts of a language that the labelled ones teach; texts without letters and ambiguous ones go."""
+    found = language_id.identify(docs, language_id.train_fold(docs))
+    return found.where("lang_pred <> 'und' and not ambiguous").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of linked documents."""
+    joined = ngram_join.ngram_join(docs)
+    kept = joined.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that contain no benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps all documents, their secrets replaced."""
+    return secrets_scan.redact(docs, secrets_scan.train(secrets_scan.labelled_findings(spark)))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, bucket, bucket_len, batch_id, slot, padding)."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", redact_secrets),
+    ("packing", pack),
+]
+
+#: The learned and hashed stages have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
