@@ -1,13 +1,31 @@
-"""The queries of this subpackage, one for each operator, and the SQL that gives the same rows."""
+"""The queries of this subpackage, one for each operator and the pipeline, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from framewell.llm import decontaminate, ngram_join, packing, quality_rules, sharding, substring_dedup, url_filter
+import corpus_pipeline
+from framewell.llm import decontaminate, language_id, ngram_join, packing, quality_rules, secrets_scan, sharding, substring_dedup, token_files, url_filter
 
 
 def queries() -> dict:
-    return {"op1_substring_dedup": substring_dedup.op1_substring_dedup, "op2_decontaminate": decontaminate.op2_decontaminate, "op3_ngram_join": ngram_join.op3_ngram_join, "op4_url_filter": url_filter.op4_url_filter, "op8_quality_rules": quality_rules.op8_quality_rules, "op9_packing": packing.op9_packing, "op10_sharding": sharding.op10_sharding}
+    return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_ngram_join": ngram_join.op3_ngram_join,
+        "op4_url_filter": url_filter.op4_url_filter,
+        "op5_token_files": token_files.op5_token_files,
+        "op6_language_id": language_id.op6_language_id,
+        "op7_secrets": secrets_scan.op7_secrets,
+        "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_packing": packing.op9_packing,
+        "op10_sharding": sharding.op10_sharding,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring_dedup.SQL, "op2_decontaminate": decontaminate.SQL, "op3_ngram_join": ngram_join.SQL, "op4_url_filter": url_filter.SQL}
+    return {
+        "op1_substring_dedup": substring_dedup.SQL,
+        "op2_decontaminate": decontaminate.SQL,
+        "op3_ngram_join": ngram_join.SQL,
+        "op4_url_filter": url_filter.SQL,
+    }
