@@ -1,9 +1,12 @@
 """Registered queries over the driver tables."""
 
+from framewell.plans import registry
+from framewell.plans import telemetry_queries  # noqa: F401  they register themselves
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
