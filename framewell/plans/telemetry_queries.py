@@ -245,14 +245,14 @@ def _(spark, d):
 
 @query("j7_backfill_plan", """
 with k as (select unnest(['view', 'click', 'purchase', 'signup', 'error']) as event_type),
-u as (select distinct user_id from events), done as (select distinct user_id, event_type from events where value > 20)
+u as (select distinct user_id from events), done as (select distinct user_id, event_type from events where value > 150)
 select u.user_id, string_agg(k.event_type, ',' order by k.event_type) as missing, count(*) as n_missing
 from u cross join k left join done on done.user_id = u.user_id and done.event_type = k.event_type
 where done.user_id is null and u.user_id in (select user_id from events where event_type = 'signup') group by u.user_id""")
 def _(spark, d):
     events = table(spark, d, "events")
     kinds = spark.createDataFrame([(k,) for k in ("view", "click", "purchase", "signup", "error")], "event_type string")
-    return T.missing_work(events, kinds, events.where("value > 20"), events.where("event_type = 'signup'"), "user_id", "event_type")
+    return T.missing_work(events, kinds, events.where("value > 150"), events.where("event_type = 'signup'"), "user_id", "event_type")
 
 
 @query("j8_duplicate_suppression", """
