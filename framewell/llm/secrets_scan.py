@@ -134,7 +134,7 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, threshold: f
     found = scan(docs.where("doc_id is not null"), model, threshold).where("is_secret")
     # a row for each document with secrets: at most as long as its text
     secrets = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("candidate").alias("_secrets"))
-    joined = docs.join(secrets, F.col("doc_id") == F.col("_id"), "left")
+    joined = docs.join(secrets.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
     longest_first = F.array_sort("_secrets", lambda a, b: F.length(b) - F.length(a))
     text = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(F.aggregate(longest_first, F.col("text"), lambda t, s: F.replace(t, s, F.lit(REDACTED))))
     columns = {"text": text, "n_chars": F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {"text": text}
