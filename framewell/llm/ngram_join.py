@@ -9,8 +9,8 @@ threshold. The steps, each a Spark job over all rows:
    rare to common. Any fixed order gives the same links; this one keeps common passages from making
    candidates. The first n - need + l shingles of a set are its tokens, for need = ceil(t n) and
    l = min(HITS, need): two sets that link share l of them, which sets with a chance shingle in common don't.
-3. Classes that share their smallest common token form groups, split by hash so that a group has about
-   GROUP classes at any size of the corpus. The token-group matrix has a row for each token in a
+3. Classes of about one size whose most shared token is the same form groups, split by hash so that a
+   group has about GROUP classes at any size of the corpus. The token-group matrix has a row for each token in a
    group's token union.
 4. If a query class links to a member of a group, it shares at least l tokens with the group's union, and
    more where the sizes ask for more overlap than `need`: overlap a = ceil(t (n + m) / (1 + t)) means
@@ -27,24 +27,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewell.llm.common import table, written
 from framewell.llm.components import components
+from framewell.llm.sketch import CHUNK, SLOTS, Sketch, commonness, summed
 from framewell.llm.words import U, mix, pieces, shingle_sets, signed, words
 
-#: Counters of the sketch: 2 MB at the driver and in each task, for any corpus.
-SLOTS = 1 << 20
-CHUNK = 1 << 14
 #: Classes of a group, on average at most.
-GROUP = 64
+GROUP = 256
 #: Tokens that linked sets share at least.
 HITS = 8
-#: Partial sketches that one task adds up.
-FAN_IN = 64
 
 
 def _set_stats(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,42 +58,20 @@ def _stats(k: int):
     """Rows of documents, (doc_id, n, fp), and at the end of a task its part of the sketch in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        part = Sketch()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 row, h = shingle_sets(words(piece.column(1), lower=True), k)
-                counts += np.bincount((h & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                part.add(h)
                 _, n, fp = _set_stats(row, h, len(piece))
                 nil = pa.nulls(len(n), pa.int32())
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n.astype(np.int64)), pa.array(signed(fp)), nil, nil, pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "fp", "chunk", "task", "counts"])
-        if counts.any():
-            m = SLOTS // CHUNK
-            nil = pa.nulls(m, pa.int64())
-            parts = pa.array([c.astype(np.uint32).tobytes() for c in np.minimum(counts, 2**32 - 1).reshape(m, CHUNK)], pa.binary())
-            yield pa.RecordBatch.from_arrays([nil, nil, nil, pa.array(np.arange(m, dtype=np.int32)), pa.array(np.full(m, TaskContext.get().partitionId(), np.int32)), parts], names=["doc_id", "n", "fp", "chunk", "task", "counts"])
+        nil = pa.nulls(SLOTS // CHUNK, pa.int64())
+        yield pa.RecordBatch.from_arrays([nil, nil, nil, *part.chunks()], names=["doc_id", "n", "fp", "chunk", "task", "counts"])
 
     return run
 
 
-def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in pdf["counts"])
-    return pd.DataFrame({"chunk": pdf["chunk"][:1], "task": pdf["task"][:1] // FAN_IN, "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
-
-
-def _sketch(parts: DataFrame, tasks: int) -> np.ndarray:
-    """The summed sketch, at most 2 bytes a slot."""
-    parts = parts.select("chunk", "task", "counts")
-    while True:
-        parts = parts.groupBy("chunk", F.expr(f"task div {FAN_IN}")).applyInPandas(_add, "chunk int, task int, counts binary")
-        tasks = -(-tasks // FAN_IN)
-        if tasks <= 1:
-            break
-    out = np.zeros(SLOTS, np.uint16)
-    for r in parts.collect():  # SLOTS / CHUNK rows
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.minimum(np.frombuffer(r.counts, np.uint32), 65535)
-    return out
-
-
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
     """The least overlap of a set of n shingles with any set that it links to."""
     return -(-percent * n // 100)
@@ -115,7 +88,7 @@ def _tokens(k: int, percent: int, sketch):
                 borders, n, fp = _set_stats(row, h, len(piece))
                 once = np.zeros(len(n), bool)
                 once[np.unique(np.stack([fp, n.astype(U)]), axis=1, return_index=True)[1]] = True
-                key = (row.astype(U) << U(16)) | common[(h & U(SLOTS - 1)).astype(np.int64)].astype(U)
+                key = (row.astype(U) << U(16)) | commonness(common, h).astype(U)
                 order = np.argsort(key, kind="stable")
                 rank = np.arange(len(h)) - borders[row]
                 need = needed(n, percent)
@@ -200,16 +173,16 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, group: int = GROU
     per_doc = stats.where("chunk is null").select("doc_id", "n", "fp")
     if tasks is None:
         return per_doc.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    sketch = spark.sparkContext.broadcast(_sketch(stats.where("chunk is not null"), tasks + 1))
+    sketch = spark.sparkContext.broadcast(summed(stats.where("chunk is not null").select("chunk", "task", "counts"), tasks + 1))
     classes = per_doc.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
 
     tokens = docs.mapInArrow(_tokens(k, percent, sketch), "token long, fp long, n long")
     of_token = Window.partitionBy("token")
-    shared = tokens.withColumn("low", F.min("fp").over(of_token)).withColumn("high", F.max("fp").over(of_token)).where("low < high").select("token", "fp", "n").distinct()
+    shared = tokens.withColumn("low", F.min("fp").over(of_token)).withColumn("high", F.max("fp").over(of_token)).withColumn("sharing", F.count("*").over(of_token)).where("low < high").select("token", "fp", "n", "sharing").distinct()
     shared = written(shared, "shared-tokens")
 
-    # groups: classes of about one size with the same smallest shared token, split into about equal parts
-    home = shared.groupBy("fp", "n").agg(F.min("token").alias("home")).withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.1))))
+    # groups: classes of about one size with the same most shared token, split into about equal parts
+    home = shared.groupBy("fp", "n").agg(F.max_by("token", F.struct("sharing", "token")).alias("home")).withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.1))))
     sizes = home.groupBy("home", "band").agg(F.count("*").alias("members"))
     grouped = home.join(sizes, ["home", "band"]).select("fp", "n", F.xxhash64("home", "band", F.pmod(F.xxhash64("fp"), F.ceil(F.col("members") / F.lit(group)))).alias("grp"))
     grouped = written(grouped, "groups")
@@ -234,7 +207,7 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, group: int = GROU
     opened = bound.where(F.col("hits") >= few + F.greatest(F.lit(0), F.least(more(lo), more(hi)) - 1))
     opened = opened.select("fp", "n", F.col("own").alias("grp"), F.least("own", "grp").alias("lo"), F.greatest("own", "grp").alias("hi"))
     opened = written(opened.join(classes, ["fp", "n"]).select(F.col("rep").alias("doc_id"), "n", "weight", "grp", "lo", "hi"), "opened")
-    work = docs.join(opened, "doc_id").mapInArrow(_sets(k), "rep long, n long, weight long, grp long, lo long, hi long, shingles binary")
+    work = docs.join(opened.hint("merge"), "doc_id").mapInArrow(_sets(k), "rep long, n long, weight long, grp long, lo long, hi long, shingles binary")
     found = written(work.groupBy("lo", "hi").applyInPandas(_compare(percent), "a long, b long, w long"), "links")
 
     comp = components(found.where("b is not null"))

@@ -9,6 +9,8 @@ takes its language's cutoff. Rows then meet their cutoffs in a join and are filt
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,32 +28,38 @@ _GAP = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
-def base_counts(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text without nulls."""
-    words = F.filter(F.split(text, _GAP), lambda x: x != "")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for each row: a lambda would compute an outer expression anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def base_counts(text: Column) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text that is not null."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, _BLANKS, "") != "")
-    n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(1), n - 7), lambda i: F.xxhash64(F.slice(words, i, 8)))
-    return {
-        "n_words": n.cast("long"),
-        "word_chars": F.length(F.translate(text, _BLANKS, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "windows": F.when(n >= 8, windows).otherwise(F.array().cast("array<long>")),
-    }
+    chars = F.length(F.translate(text, _BLANKS, "")).cast("long")
+    symbols = (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long")
+    dup_lines = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    return let(F.filter(F.split(text, _GAP), lambda x: x != ""), lambda words: F.struct(
+        F.size(words).cast("long").alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), dup_lines.alias("n_dup_lines"),
+        F.when(F.size(words) < 9, F.lit(0).cast("long")).otherwise(let(_windows(words), _repeat_words)).alias("n_repeat_words"),
+    ))
+
+
+def _windows(words: Column) -> Column:
+    """A hash of each 8 words in a row, 9 words at least."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - 7), lambda i: F.xxhash64(F.slice(words, i, 8)))
 
 
-def repeat_words(windows: Column) -> Column:
-    """Words in windows of 8 words whose hash stands in the array twice or more."""
-    ordered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _repeat_words(windows: Column) -> Column:
+    """Words in windows whose hash stands in the array twice or more."""
+    sorted_ = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    distinct = F.size(F.array_distinct(windows)) == F.size(windows)
+    return F.when(distinct, F.lit(0).cast("long")).otherwise(let(sorted_, lambda s: _covered(F.array_sort(F.transform(F.filter(s, lambda x, k: _twice(s, x, k)), lambda x: x["i"])))))
 
-    def twice(x: Column, k: Column) -> Column:
-        before = F.get(ordered, k - 1)["h"] == x["h"]
-        after = F.get(ordered, k + 1)["h"] == x["h"]
-        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
 
-    at = F.array_sort(F.transform(F.filter(ordered, twice), lambda x: x["i"]))
-    return _covered(at)
+def _twice(ordered: Column, x: Column, k: Column) -> Column:
+    before, after = F.get(ordered, k - 1)["h"] == x["h"], F.get(ordered, k + 1)["h"] == x["h"]
+    return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
 
 
 def _covered(at: Column) -> Column:
@@ -66,9 +74,7 @@ def _covered(at: Column) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, counts ..., base_failed, measures ...)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", "lang", "source", *[c.alias(k) for k, c in base_counts(text).items()])
-    distinct = F.size(F.array_distinct("windows")) == F.size("windows")
-    rows = rows.withColumn("n_repeat_words", F.when(distinct, F.lit(0).cast("long")).otherwise(repeat_words(F.col("windows")))).drop("windows")
+    rows = docs.select("doc_id", "lang", "source", base_counts(text).alias("c")).select("doc_id", "lang", "source", "c.*")
     words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_words") / 10, F.lit(1))
     return rows.select(
         "*", ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),

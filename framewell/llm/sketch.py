@@ -64,7 +64,7 @@ def sketch(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
         for batch in batches:
             for h in hashes(batch):
                 part.add(h)
-        yield pa.RecordBatch.from_arrays(part.chunks(), names=["chunk", "task", "counts"])
+        yield pa.RecordBatch.from_arrays([*part.chunks()], names=["chunk", "task", "counts"])
 
     return summed(rows.mapInArrow(run, SCHEMA), max(1, rows.rdd.getNumPartitions()))
 

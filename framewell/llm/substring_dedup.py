@@ -3,9 +3,10 @@
 A window is `window` consecutive words of one document. The operator removes each word covered by a
 window whose word sequence also starts in a document with a smaller doc_id.
 
-The suffixes kept are those at sampled positions: in each window the run of ANCHOR words with the
-smallest hash is its anchor, so equal windows have equal anchors at equal offsets, and about a fifth
-of all positions are anchors. A suffix starts at its anchor and carries the few words to its left
+The suffixes kept are those at sampled positions: in each window the rarest run of ANCHOR words (by a
+count sketch over all documents, then by hash) is its anchor, so equal windows have equal anchors at
+equal offsets, and about a fifth of all positions are anchors; a common phrase anchors a window only where
+all of the window is common. A suffix starts at its anchor and carries the few words to its left
 that its windows still need. The steps:
 
 1. Anchors that start in one document only can't be part of a repeat. Each task keeps one document
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewell.llm.common import table
+from framewell.llm.sketch import commonness, sketch
 from framewell.llm.words import U, Words, mix, ngrams, pieces, signed, words
 
 #: Words of an anchor.
@@ -45,7 +47,7 @@ COMBINE = 8 << 20
 GROUP = 20_000
 
 
-def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(w: Words, window: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each window: the word it starts with, the word its anchor starts with and the anchor's hash."""
     k = min(ANCHOR, window)
     h, _ = ngrams(w, k)
@@ -53,13 +55,36 @@ def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
     whole = w.row[:n] == w.row[window - 1 :]
-    low, at = h[:n].copy(), np.zeros(n, np.int64)
+    rank = (commonness(common, h).astype(U) << U(48)) | (h >> U(16))
+    low, at = rank[:n].copy(), np.zeros(n, np.int64)
     for i in range(1, window - k + 1):
-        less = h[i : i + n] < low
-        low[less] = h[i : i + n][less]
+        less = rank[i : i + n] < low
+        low[less] = rank[i : i + n][less]
         at[less] = i
     start = np.flatnonzero(whole)
-    return start, start + at[whole], low[whole]
+    at = start + at[whole]
+    return start, at, h[at]
+
+
+def _runs(places: list[int]) -> list[int]:
+    """Places as runs in order: first, after the last, first, after the last, ..."""
+    x = sorted(set(places))
+    out, before = [x[0]], x[0]
+    for p in x[1:]:
+        if p != before + 1:
+            out += (before + 1, p)
+        before = p
+    out.append(before + 1)
+    return out
+
+
+def _phrases(window: int):
+    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for piece in pieces(batch, "text"):
+            h, whole = ngrams(words(piece.column(piece.schema.get_field_index("text"))), min(ANCHOR, window))
+            yield h[whole]
+
+    return run
 
 
 def _distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +95,7 @@ def _distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[new], h[new]
 
 
-def _occurrences(window: int):
+def _occurrences(window: int, sketch_):
     """(key, anchor, doc_id, known): known rows repeat for certain, of the others one for each anchor in COMBINE bytes."""
 
     def flush(ids: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
@@ -90,7 +115,7 @@ def _occurrences(window: int):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 w = words(piece.column(1))
-                _, at, h = _anchors(w, window)
+                _, at, h = _anchors(w, window, sketch_.value)
                 row, h = _distinct(w.row[at], h)
                 ids.append(piece.column(0).to_numpy()[row])
                 hashes.append(h)
@@ -104,25 +129,28 @@ def _occurrences(window: int):
     return run
 
 
-def _suffixes(window: int):
-    """(key, doc_id, at, words, starts, known). Not known: a suffix, whose windows start at the offsets `starts` of `words`, which start at word `at` of the document. Known: positions `starts` of windows that repeat."""
+def _suffixes(window: int, sketch_):
+    """(key, doc_id, at, words, starts, known). Not known: a suffix, whose windows start at the offsets in the runs `starts` of `words`, which start at word `at` of the document; with at -1 `words` is one window, and `starts` are all its places in the document. Known: runs of positions where windows repeat."""
 
     def flush(first: dict, repeats: dict) -> pa.RecordBatch:
         places: dict = {}
-        for text, (doc, starts, anchor, offset) in first.items():
-            for s in starts:
-                places.setdefault((anchor, doc, s + offset), []).append((s, text))
         rows = []
+        for text, (doc, starts, anchor, offset) in first.items():
+            if len(starts) > 1:
+                rows.append((anchor, doc, -1, text, _runs(starts), False))
+            else:
+                places.setdefault((anchor, doc, starts[0] + offset), []).append((starts[0], text))
         for (anchor, doc, _), windows in places.items():
             windows.sort()
             at = windows[0][0]
             body = windows[0][1].split(b" ")
             for s, text in windows[1:]:  # windows of one anchor overlap
-                body += text.split(b" ")[at + len(body) - s :]
-            rows.append((anchor, doc, at, b" ".join(body), [s - at for s, _ in windows], False))
+                new = s + window - at - len(body)
+                body += text.rsplit(b" ", new)[-new:]
+            rows.append((anchor, doc, at, b" ".join(body), _runs([s - at for s, _ in windows]), False))
         for doc, starts in repeats.items():
-            rows.append((int(signed(mix(np.array([doc], np.int64).view(U)))[0]), doc, 0, None, starts, True))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.bool_())
+            rows.append((int(signed(mix(np.array([doc], np.int64).view(U)))[0]), doc, 0, None, _runs(starts), True))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["key", "doc_id", "at", "words", "starts", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +158,7 @@ def _suffixes(window: int):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 w = words(piece.column(1))
-                start, at, h = _anchors(w, window)
+                start, at, h = _anchors(w, window, sketch_.value)
                 keep = _listed(w.row[start], signed(h), piece.column(2))
                 start, at, h = start[keep], at[keep], signed(h[keep])
                 data, ids = w.data.tobytes(), piece.column(0).to_pylist()
@@ -172,27 +200,33 @@ def _listed(row: np.ndarray, anchor: np.ndarray, lists: pa.Array) -> np.ndarray:
 
 
 def _trees(window: int):
-    """(doc_id, starts): where windows start that a smaller doc_id has too. Rows come in order of key."""
-
-    def repeats(rows: list[tuple]) -> tuple[list, list]:
-        # a suffix for each window, sorted; neighbours that share `window` words are below one internal node
-        suffixes = []
-        for doc, at, body, starts in rows:
+    """(doc_id, starts): runs of places where windows start that a smaller doc_id has too. Rows come in order of key."""
+
+    def repeats(rows: list[tuple]) -> pa.RecordBatch:
+        # a suffix for each window, sorted; neighbours that share all words are below one internal node
+        suffixes = []  # (window, doc_id, place), or in place of it -1 - the row with the places
+        for i, (doc, at, body, starts) in enumerate(rows):
+            if at < 0:
+                suffixes.append((body, doc, -1 - i))
+                continue
             parts = body.split(b" ")
-            suffixes += [(b" ".join(parts[s : s + window]), doc, at + s) for s in starts]
+            for first, stop in zip(starts[::2], starts[1::2], strict=True):
+                suffixes += [(b" ".join(parts[s : s + window]), doc, at + s) for s in range(first, stop)]
         suffixes.sort()
-        ids, found = [], []
+        found: dict[int, list[int]] = {}
+        runs: dict[int, list[int]] = {}
         node, low = None, None
         for text, doc, start in suffixes:
             if text != node:
                 node, low = text, doc
             elif doc != low:
-                ids.append(doc)
-                found.append([start])
-        return ids, found
-
-    def batch(ids: list, found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "starts"])
+                if start < 0:
+                    runs.setdefault(doc, []).extend(rows[-1 - start][3])
+                else:
+                    found.setdefault(doc, []).append(start)
+        for doc, places in found.items():
+            runs.setdefault(doc, []).extend(_runs(places))
+        return pa.RecordBatch.from_arrays([pa.array(list(runs), pa.int64()), pa.array(list(runs.values()), pa.list_(pa.int32()))], names=["doc_id", "starts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, last = [], None
@@ -204,12 +238,12 @@ def _trees(window: int):
             rest = b.filter(pa.array(~known))
             for key, *row in zip(*(rest.column(i).to_pylist() for i in range(5)), strict=True):
                 if key != last and len(group) >= GROUP:
-                    yield batch(*repeats(group))
+                    yield repeats(group)
                     group = []
                 group.append(row)
                 last = key
         if group:
-            yield batch(*repeats(group))
+            yield repeats(group)
 
     return run
 
@@ -225,9 +259,9 @@ def _cut(window: int):
                 n_words.append(len(parts))
                 if lists:
                     gone = np.zeros(len(parts) + 1, np.int64)
-                    starts = np.unique(np.concatenate([np.asarray(x, np.int64) for x in lists]))
-                    np.add.at(gone, starts, 1)
-                    np.add.at(gone, starts + window, -1)
+                    runs = np.concatenate([np.asarray(x, np.int64) for x in lists])
+                    np.add.at(gone, runs[::2], 1)
+                    np.add.at(gone, runs[1::2] - 1 + window, -1)
                     stay = np.cumsum(gone)[:-1] == 0
                     parts = [p for p, s in zip(parts, stay.tolist(), strict=True) if s]
                 removed.append(n_words[-1] - len(parts))
@@ -249,14 +283,15 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    found = docs.mapInArrow(_occurrences(window), "key long, anchor long, doc_id long, known boolean")
+    common = spark.sparkContext.broadcast(sketch(docs.select("text"), _phrases(window)))
+    found = docs.mapInArrow(_occurrences(window, common), "key long, anchor long, doc_id long, known boolean")
     same = Window.partitionBy("known", "key")
     found = found.withColumn("low", F.min("doc_id").over(same)).withColumn("high", F.max("doc_id").over(same)).where("known or low < high")
     lists = found.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.repartition(n, "doc_id")
-    suffixes = dealt.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_suffixes(window), "key long, doc_id long, at long, words binary, starts array<long>, known boolean")
-    marks = suffixes.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_trees(window), "doc_id long, starts array<long>")
+    suffixes = dealt.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_suffixes(window, common), "key long, doc_id long, at long, words binary, starts array<int>, known boolean")
+    marks = suffixes.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_trees(window), "doc_id long, starts array<int>")
     marks = marks.groupBy("doc_id").agg(F.collect_list("starts").alias("lists"))
     return dealt.join(marks, "doc_id", "left").select("doc_id", "text", "lists").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
 

@@ -134,7 +134,7 @@ class Encoder:
                 count[i] = 1 + len(rest)
         new = [u for u in dict.fromkeys(units) if u not in self.known]
         if new:
-            plain = [u for u in new if u[0] == " " and len(u.split()) == 1 and not any(t in u for t in self.added)]
+            plain = [u for u in new if u[0] == " " and u.count(" ") == 1 and len(u.split()) == 1 and not any(t in u for t in self.added)]
             found, sizes = self._together(plain)
             if len(plain) < len(new):
                 new = plain + list(dict.fromkeys(new).keys() - set(plain))
