@@ -1,0 +1,208 @@
+"""URL filters, token files, language ID, secrets, packing, sharding and the pipeline on small tables."""
+
+import random
+import re
+import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from framewell.llm import language_id, packing, secrets_scan, sharding, token_files, url_filter
+from framewell.llm.common import new_folder
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_cascade_is_exact(spark):
+    rows = [(f"h{i}.example", i % 7 == 0 or i > 1900) for i in range(2000)] + [("é.example", True), ("ß", False)]
+    universe = spark.createDataFrame(rows, "key string, listed boolean")
+    found = url_filter.cascade(universe)
+    assert len(found.levels) > 2
+    got = universe.select("listed", found.contains(F.col("key")).alias("got")).where("listed <> got").count()
+    assert got == 0
+    assert url_filter.cascade(universe, max_bytes=8) is None
+    assert url_filter.cascade(universe.where("not listed")).levels == []
+    everything = url_filter.cascade(universe.where("listed"))
+    assert universe.where("listed").where(~everything.contains(F.col("key"))).count() == 0
+
+
+URLS = [
+    ("http://A.Example.ORG/es/1?x#y", "a.example.org", "/es/1", "example.org/es/", "block"), ("https://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
+    ("https://example.org/en/2", "example.org", "/en/2", "org/", "allow"), ("x://notexample.org/es/", "notexample.org", "/es/", "org/", "allow"), ("http://b.com/de/#q", "b.com", "/de/", "com/de/", "block"),
+    ("http://b.com", "b.com", "", None, "allow"), ("http://org", "org", "", None, "allow"), ("http://bad.net/a://b", "bad.net", "/a://b", None, "block"), ("bad.net/a", "", "", None, "allow"), (None, "", "", None, "allow"), ("", "", "", None, "allow"), ("http://É.net?q", "É.net", "", None, "allow"),
+]
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 1])
+def test_url_filter(spark, max_bytes):
+    pages = spark.createDataFrame([(i, u[0], "h", "v") for i, u in enumerate(URLS)] + [(0, URLS[0][0], None, None)], "page_id long, url string, host string, verdict string")
+    listed = spark.createDataFrame([("bad.net",), ("bad.net",), (None,), ("other.net",)], "host string")
+    got = sorted((tuple(r) for r in url_filter.url_filter(pages, listed, max_bytes=max_bytes).collect()), key=lambda r: r[0])
+    assert got[1:] == [(i, *u[1:]) for i, u in enumerate(URLS)]
+    assert url_filter.url_filter(pages.limit(0), listed).count() == 0
+
+
+def test_elias_fano():
+    rng = np.random.default_rng(0)
+    for n, top in ((0, 0), (1, 0), (1, 9), (500, 500), (1000, 10**5), (300, 10**8)):
+        values = np.sort(rng.integers(0, top + 1, n))
+        data = token_files.EliasFano.encode(values, top)
+        ef = token_files.EliasFano(data)
+        assert (ef.all() == values).all() and [ef.select(i) for i in range(n)] == values.tolist()
+        with pytest.raises(IndexError):
+            ef.select(n)
+    assert len(token_files.EliasFano.encode(np.arange(0, 10**6, 100), 10**6)) < 10**4 * 10 // 8 * 1.5
+
+
+def test_token_files(spark, monkeypatch):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    texts = [None, "", " ", "a", "it's 'tis  two\n\n three<|endoftext|> four <|endoftext|>x", "tab\there \x1c\x85 nbsp\u00a0end ", "été " * 50, "word " * 3000, "1 2 3 ., !?"] + [" ".join(random.Random(i).choices("the of and running quickly 12 x-y é".split(), k=40)) for i in range(40)]
+    rows = [(i * 3 - 5, t, "s") for i, t in enumerate(texts)] + [(4, "twice", "s"), (4, "twice", "s"), (None, "no id", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(3)
+    monkeypatch.setattr(token_files, "BLOCK", 200)
+    at = new_folder(spark, "test-tokens")
+    token_files.write_token_files(docs, at)
+    blocks = token_files.open_token_files(spark, at).select("start", "width", "ids", "doc_ids", "ends")
+    assert blocks.count() > 4
+    got = sorted(tuple(r) for r in blocks.mapInArrow(token_files._read, "doc_id long, start long, n_tokens long, ids_crc32 long").collect())
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want, start = [], 0
+    for i, t, _ in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or "")):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert sorted(g[2:] for g in got) == sorted(w[2:] for w in want)
+    assert [g for g in got if g[0] != 4] == [w for w in want if w[0] != 4]  # texts under one id come in order of a hash
+    empty = new_folder(spark, "test-tokens")
+    token_files.write_token_files(docs.limit(0), empty)
+    assert token_files.open_token_files(spark, empty).count() == 0
+
+
+def test_language_id(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train_fold(docs)
+    got = language_id.identify(docs.select("doc_id", "text", "lang", language_id.held_out(F.col("doc_id")).alias("held_out")), model).where("held_out")
+    right, n = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert n > 100 and right / n > 0.97
+    odd = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "12 !?", None), (4, "é", "c"), (4, "é", "c"), (5, "the " * 50_000, "d")], "doc_id long, text string, score string")
+    rows = {r.doc_id: r for r in language_id.identify(odd, model).collect()}
+    assert [rows[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and all(rows[i].score == 0 for i in (1, 2, 3))
+    assert rows[5].lang_pred == "en" and 0 <= rows[4].score <= 1
+    assert language_id.identify(odd.limit(0), model).count() == 0
+    none = language_id.train(docs.limit(0))
+    assert none is None and {r.lang_pred for r in language_id.identify(odd, none).collect()} == {"und"}
+    assert (0, zlib.crc32(b"0") % 5 == 0) == tuple(docs.where("doc_id = 0").select("doc_id", language_id.held_out(F.col("doc_id"))).first())
+
+
+def test_codewords_are_apart():
+    for n in (2, 3, 4, 5, 6, 30, 100):
+        code = language_id.codewords(n)
+        least = min((code[i] != code[j]).sum() for i, j in combinations(range(n), 2))
+        assert least >= (1 if n < 6 else 5)
+
+
+def test_secrets(spark):
+    key = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
+    rows = [
+        (1, f'use token = "{key}" here'), (2, f"see commit {key} for it"), (3, "mail.12@mail3.example.com wrote again"), (4, None), (5, ""), (6, "plain text " * 9000 + f'password: "{key}"'),
+        (7, f'a \x01 mark and api_key="{key}"'), (1, f'use token = "{key}" here'), (8, "/usr/share/model/page12.html is a path"), (None, f'token = "{key}"'), (9, f'token = "{key}" secret = "{key[::-1]}" é'),
+    ]
+    docs = spark.createDataFrame([(i, t, len(t or ""), "s", "c") for i, t in rows], "doc_id long, text string, n_chars long, score string, before string")
+    model = secrets_scan.train(secrets_scan.labelled_findings(spark))
+    found = secrets_scan.scan(docs, model).collect()
+    secret = sorted((r.doc_id, r.start, r.candidate) for r in found if r.is_secret and r.doc_id)
+    text = dict(rows)
+    assert all(text[i][s : s + len(c)] == c for i, s, c in secret)
+    assert [s[0] for s in secret] == [1, 1, 6, 7, 9, 9]
+    out = {r.doc_id: r for r in secrets_scan.redact(docs, model).collect()}
+    assert out[1].text == 'use token = "[SECRET]" here' and out[1].n_chars == len(out[1].text)
+    assert out[2].text == text[2] and out[3].text == text[3] and out[4].text is None and key not in out[6].text
+    assert out[9].text == 'token = "[SECRET]" secret = "[SECRET]" é'
+    assert secrets_scan.scan(docs.limit(0), model).count() == 0
+
+
+def test_candidates_are_all_found(spark):
+    rng = random.Random(0)
+    text = " ".join("".join(rng.choices("abcXYZ0189+/_-.@ ,;\"", k=rng.randint(1, 40))) for _ in range(500))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = sorted((r.start, r.candidate) for r in secrets_scan.candidates(docs).collect())
+    want = [(m.start(), m.group()) for m in re.finditer(r"[A-Za-z0-9+/_=.@-]{16,}", text) if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())]
+    assert got == want and want
+
+
+def test_best_borders():
+    rng = random.Random(1)
+    for _ in range(60):
+        lengths = sorted(rng.sample(range(40), rng.randint(1, 9)))
+        counts = [rng.randint(1, 9) for _ in lengths]
+        k = rng.randint(1, 4)
+
+        def cost(borders, lengths=lengths, counts=counts):
+            return sum(c * (min(b for b in borders if b >= x) - x) for x, c in zip(lengths, counts, strict=True))
+
+        best = min(cost([*some, lengths[-1]]) for r in range(min(k, len(lengths))) for some in combinations(lengths[:-1], r))
+        got = packing.best_borders(lengths, counts, k)
+        assert got == sorted(got) and len(got) <= k and got[-1] == lengths[-1] and cost(got) == best
+
+
+def test_packing(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, 0, 1, 5, 17, 64, 300, 5000, 20_000]), "x") for i in range(3000)] + [(1, 5, "x")]
+    packed = packing.pack(spark.createDataFrame(rows, "id long, n long, slot string"), "id", "n", buckets=4, budget=2000).collect()
+    assert len(packed) == len(rows)
+    batches = {}
+    for r in packed:
+        assert r.n <= r.bucket_len and r.padding == r.bucket_len - r.n
+        batches.setdefault(r.batch_id, []).append(r)
+    for rows_ in batches.values():
+        assert len({r.bucket for r in rows_}) == 1 and sorted(r.slot for r in rows_) == list(range(len(rows_)))
+        assert len(rows_) == 1 or len(rows_) * rows_[0].bucket_len <= 2000
+    assert packing.pack(spark.createDataFrame([], "id long, n long"), "id", "n").count() == 0
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, " a\tb\x0bc\n"), (4, "é ü")], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in packing.token_counts(docs).collect()} == {1: 1, 2: 1, 3: 4, 4: 3}
+
+
+def test_sharding(spark):
+    rows = [(i if i % 9 else None, None if i % 5 == 0 else f"text {i}" * (i % 40), "a") for i in range(2000)] + [(7, "twice", "a")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, arrival string")
+    store = sharding.compacted(docs, arrivals=8, target=1 << 14)
+    assert sorted(map(str, store.read().select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert len(store.manifest()["runs"]) < 8 and max(r["level"] for r in store.manifest()["runs"]) >= 1
+    assert store.shards().count() == len(rows)
+    before = store.manifest()
+    new = store.append(docs.limit(3))
+    assert store.read().count() == len(rows) + 3 and store.read(before["version"]).count() == len(rows)
+    with pytest.raises(sharding.Conflict):  # another writer that read the old version
+        store.commit(before, before["runs"], before["next"])
+    assert store.manifest() == new
+    store.vacuum()
+    assert store.read().count() == len(rows) + 3
+    assert sharding.compacted(docs.limit(0)).read() is None
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = {tuple(re.split(r"\s+", r.text.lower().strip())): r.item_id for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    stages = []
+    for _, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = stage(spark, docs, SF)
+        path = new_folder(spark, "test-stage")
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+        stages.append((before, docs))
+    for before, after in stages[:-1]:
+        assert after.columns == before.columns
+    kept = [set(r.doc_id for r in a.select("doc_id").collect()) for _, a in stages]
+    assert kept[3] == kept[2] == kept[4] and kept[2] <= kept[1] <= kept[0]
+    texts = {r.doc_id: r.text for r in stages[1][1].collect()}
+    whole = {i for i, t in texts.items() if any(" ".join(k) in " ".join(re.split(r"\s+", t.lower())) for k in bench)}
+    assert not whole & kept[2]
+    assert len({t for t in texts.values()}) == len(texts)
+    assert stages[3][1].where(F.rlike("text", F.lit('token = "[0-9a-f]{40}"'))).count() == 0
