@@ -28,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": decontaminate.SQL,
         "op3_ngram_join": ngram_join.SQL,
         "op4_url_filter": url_filter.SQL,
+        "op8_quality_rules": quality_rules.SQL,
     }

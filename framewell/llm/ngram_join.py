@@ -226,11 +226,14 @@ SQL = r"""
 with recursive w as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
   from documents where doc_id is not null
-), s as (
-  select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
-    else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as sh from w
-), n as (select doc_id, len(sh)::bigint as n from s),
-e as (select doc_id, unnest(sh) as t from s),
+), x as (select doc_id, unnest(ws) as x, unnest(range(1, len(ws) + 1)) as p from w),
+s as (
+  select doc_id, concat_ws(' ', x, a, b, c, d) as t from (
+    select doc_id, x, lead(x, 1) over q as a, lead(x, 2) over q as b, lead(x, 3) over q as c, lead(x, 4) over q as d from x window q as (partition by doc_id order by p)
+  ) where d is not null
+  union select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 4
+), n as (select w.doc_id, count(t)::bigint as n from w left join s on s.doc_id = w.doc_id group by w.doc_id),
+e as (select doc_id, t from (select doc_id, t, count(*) over (partition by t) as k from s) where k > 1),
 links as (
   select a.doc_id as a, b.doc_id as b from e a join e b on a.t = b.t and a.doc_id <> b.doc_id
   join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id

@@ -22,7 +22,7 @@ LEAST = 100
 #: Entries of a quantile summary: ranks are off by 1 / ACCURACY of the rows at most.
 ACCURACY = 10_000
 #: The measures, each with the cutoff that no group goes below. They are wide: a clean text of any group stays below.
-MEASURES = {"word_length": 15.0, "symbol_share": 0.10, "dup_line_share": 0.30, "repeat_share": 0.20}
+MEASURES = {"word_length": 15.0, "symbol_share": 0.10, "dup_line_share": 0.30, "repeat_share": 0.30}
 
 _GAP = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -114,3 +114,28 @@ def quality_rules(docs: DataFrame, fence: float = FENCE, least: int = LEAST) ->
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    cut = ", ".join(f"greatest(quantile_disc({m}, 0.75) + {FENCE} * (quantile_disc({m}, 0.75) - quantile_disc({m}, 0.25)), {floor}::double) as {m}" for m, floor in MEASURES.items())
+    within = " and ".join(f"m.{m} <= coalesce(o.{m}, l.{m}, {floor}::double)" for m, floor in MEASURES.items())
+    leads = ", ".join(f"lead(x, {i}) over q as x{i}" for i in range(1, 8))
+    return rf"""
+with t as (select doc_id, lang, source, coalesce(text, '') as text from documents),
+w as (select *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g') <> '') as ls from t),
+x as (select doc_id, unnest(ws) as x, unnest(range(1, len(ws) + 1)) as p from w),
+w8 as (select doc_id, p, count(*) over (partition by doc_id, x, x1, x2, x3, x4, x5, x6, x7) as k from (select *, {leads} from x window q as (partition by doc_id order by p)) where x7 is not null),
+r as (select doc_id, count(distinct p)::bigint as n from (select doc_id, p + unnest(range(8)) as p from w8 where k > 1) group by doc_id),
+c as (select w.doc_id, lang, source, len(ws)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
+  from w left join r on r.doc_id = w.doc_id),
+m as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, word_chars::double / greatest(n_words, 1) as word_length, n_symbols::double / greatest(word_chars, 1) as symbol_share,
+  n_dup_lines::double / greatest(n_words::double / 10, 1) as dup_line_share, n_repeat_words::double / greatest(n_words, 1) as repeat_share from c),
+o as (select lang, source, {cut} from m where not base_failed group by lang, source having count(*) >= {LEAST}),
+l as (select lang, {cut} from m where not base_failed group by lang)
+select m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {within} as kept
+from m left join o on o.lang is not distinct from m.lang and o.source is not distinct from m.source left join l on l.lang is not distinct from m.lang"""
+
+
+SQL = _sql()

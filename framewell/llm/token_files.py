@@ -5,7 +5,7 @@ block of about BLOCK ids: the ids with 2 bytes each where all fit, else 4; the d
 its documents in Elias-Fano form. For n ends below u it takes about n (2 + log2(u / n)) bits: the low
 bits as they are, the high bits as a unary bit vector with a sample of every SAMPLE-th one bit, from
 which select(i) finds the i-th end by reading a few bytes. A document's offset in the whole corpus is its
-block's start, a running sum over blocks, plus select in its block.
+block's start, the ids of earlier parts and earlier blocks, plus select in its block.
 
 The container is Parquet in the shared folder, which any executor and any store that Spark reaches can
 read; a text of any length is one document of one block.
@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from framewell.llm.common import new_folder, table
 
@@ -36,7 +35,7 @@ REMEMBERED = 400_000
 END = 0
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 _ONES = _BITS.sum(1)
-FILE = "part int, block int, n_docs long, n_ids long, width int, ids binary, doc_ids binary, ends binary"
+FILE = "part int, block int, n_docs long, n_ids long, inside long, width int, ids binary, doc_ids binary, ends binary"
 
 
 class EliasFano:
@@ -161,11 +160,11 @@ def _cut_batch(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
 def _files(path: str | None, name: str):
     """Blocks of the part's documents, which come in order of doc_id."""
 
-    def block(number: int, ids: list[np.ndarray], docs: list[int], sizes: list[int]) -> pa.RecordBatch:
+    def block(number: int, inside: int, ids: list[np.ndarray], docs: list[int], sizes: list[int]) -> pa.RecordBatch:
         flat = np.concatenate(ids)
         width = 2 if not len(flat) or flat.max() < 1 << 16 else 4
-        values = [TaskContext.get().partitionId(), number, len(docs), len(flat), width, flat.astype(f"<u{width}").tobytes(), np.array(docs, "<i8").tobytes(), EliasFano.encode(np.cumsum(sizes), len(flat))]
-        types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        values = [TaskContext.get().partitionId(), number, len(docs), len(flat), inside, width, flat.astype(f"<u{width}").tobytes(), np.array(docs, "<i8").tobytes(), EliasFano.encode(np.cumsum(sizes), len(flat))]
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=[c.split()[0] for c in FILE.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,19 +174,19 @@ def _files(path: str | None, name: str):
 
             at = public_tokenizers.path(name)
         encode = Encoder(at)
-        number, held, ids, docs, sizes = 0, 0, [], [], []
+        number, inside, held, ids, docs, sizes = 0, 0, 0, [], [], []
         for batch in batches:
             for piece in _cut_batch(batch, 256):
                 flat, border = encode(piece.column(1).to_pylist())
                 for i, doc in enumerate(piece.column(0).to_pylist()):
                     size = int(border[i + 1] - border[i])
                     if held and held + size > BLOCK:
-                        yield block(number, ids, docs, sizes)
-                        number, held, ids, docs, sizes = number + 1, 0, [], [], []
+                        yield block(number, inside, ids, docs, sizes)
+                        number, inside, held, ids, docs, sizes = number + 1, inside + held, 0, [], [], []
                     ids.append(flat[border[i] : border[i + 1]]), docs.append(doc), sizes.append(size)
                     held += size
         if docs:
-            yield block(number, ids, docs, sizes)
+            yield block(number, inside, ids, docs, sizes)
 
     return run
 
@@ -213,9 +212,8 @@ def open_token_files(spark, path: str) -> DataFrame:
     for part, n in parts:
         before.append((part, total))
         total += n
-    in_part = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("part", "block", F.coalesce(F.sum("n_ids").over(in_part), F.lit(0)).alias("inside")).join(spark.createDataFrame(before, "part int, before long"), "part")
-    return files.join(starts.select("part", "block", (F.col("inside") + F.col("before")).alias("start")), ["part", "block"])
+    offsets = spark.createDataFrame(before, "part int, before long")
+    return files.join(offsets, "part").withColumn("start", F.col("inside") + F.col("before"))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
