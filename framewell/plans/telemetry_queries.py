@@ -390,3 +390,10 @@ select user_id, day, count(*) as attempts, count(*) filter (ok) as successes,
 def _(spark, d):
     rows = table(spark, d, "events").where("event_type in ('purchase', 'error')").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     return T.attempts(rows, ["user_id", "day"], [F.col("ts"), F.col("event_id")], F.col("event_type") == "purchase", 2)
+
+
+@query("p14_edge_profile", """
+select p_partkey, case when p_size % 10 = 0 then 'real' when regexp_matches(lower(p_type), 'tin|brass|small|promo') then 'cartoon' else 'real' end as profile from part""")
+def _(spark, d):
+    setting = F.when(F.col("p_size") % 10 == 0, "real").otherwise("auto")  # an explicit choice comes first
+    return table(spark, d, "part").select("p_partkey", T.edge_profile(setting, F.col("p_type"), ["tin", "brass", "small", "promo"]).alias("profile"))
