@@ -31,7 +31,7 @@ from framewell.llm.common import new_folder, table
 BLOCK = 1 << 19
 SAMPLE = 64
 #: Text units whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 END = 0
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 _ONES = _BITS.sum(1)
@@ -152,6 +152,16 @@ class Encoder:
         return np.insert(body, body_border[1:], END), body_border + np.arange(len(texts) + 1)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One for each file and Python worker: a worker runs many tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _cut_batch(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(batch), size):
         yield batch.slice(i, size)
@@ -173,7 +183,7 @@ def _files(path: str | None, name: str):
             import public_tokenizers
 
             at = public_tokenizers.path(name)
-        encode = Encoder(at)
+        encode = _encoder(at)
         number, inside, held, ids, docs, sizes = 0, 0, 0, [], [], []
         for batch in batches:
             for piece in _cut_batch(batch, 256):
