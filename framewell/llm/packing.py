@@ -4,58 +4,73 @@ The lengths of all rows become one histogram. Dynamic programming over it choose
 with the least padding, when every row is padded to its bucket's border; inside a bucket, batches hold
 as many padded rows as the token budget allows.
 
-The histogram has at most CELLS cells: the lengths themselves while there are no more distinct ones,
-else cells of one width whose upper border counts as their length, so that the choice is optimal for
-lengths rounded up to cells. Rows are dealt to parts of a bucket by hash, about PART rows each, and
-batched inside a part in order of id, so no bucket meets in one task; only the last batch of a part
-may be short.
+The histogram holds every distinct length at any size, so the choice is optimal: d distinct lengths
+need rows of d * d / 2 tokens in all, so 30 GB of text have some 100 000 of them at most. Rows
+are dealt to parts of a bucket by hash, about PART rows each, and batched inside a part in order of
+id, so no bucket meets in one task; only the last batch of a part may be short.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewell.llm.common import table, written
 
-CELLS = 2048
 PART = 10_000
 
 
+def _cheapest(cost: list[int], x: list[int], many: list[int], mass: list[int]) -> tuple[list[int], list[int]]:
+    """cost with one more bucket where that is cheaper, and where the last bucket starts then (else -1).
+
+    A start i costs cost[i] + mass[i] - many[i] * x[j - 1], a line in x[j - 1]; slopes fall and x rises, so the lower hull is walked once.
+    """
+    new, cut = cost.copy(), [-1] * len(cost)
+    starts, at = [], 0
+    height = [c + m for c, m in zip(cost, mass, strict=True)]
+    for j in range(2, len(cost)):
+        i = j - 1
+        while len(starts) - at >= 2:
+            a, b = starts[-2], starts[-1]
+            if (height[b] - height[a]) * (many[i] - many[b]) < (height[i] - height[b]) * (many[b] - many[a]):
+                break
+            starts.pop()
+        starts.append(i)
+        to = x[j - 1]
+        while at + 1 < len(starts) and height[starts[at + 1]] - many[starts[at + 1]] * to < height[starts[at]] - many[starts[at]] * to:
+            at += 1
+        best = starts[at]
+        total = height[best] - many[best] * to + to * many[j] - mass[j]
+        if total < new[j]:
+            new[j], cut[j] = total, best
+    return new, cut
+
+
 def best_borders(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """Borders, at most `buckets` of the sorted lengths and the last among them, with the least total padding."""
-    x, c = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
-    n = len(x)
-    many, mass = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(c * x)])
+    x, n = list(lengths), len(lengths)
+    many, mass = [0, *accumulate(counts)], [0, *accumulate(c * v for c, v in zip(counts, x, strict=True))]
     # cost[j] of the first j lengths in the buckets so far; a bucket of lengths i .. j - 1 is padded to x[j - 1]
-    cost = np.concatenate([[0], x * many[1:] - mass[1:]]).astype(np.float64)
+    cost = [0, *(x[j - 1] * many[j] - mass[j] for j in range(1, n + 1))]
     cuts = []
     for _ in range(1, min(buckets, n)):
-        new, cut = cost.copy(), np.full(n + 1, -1)
-        for j in range(2, n + 1):
-            total = cost[1:j] + (x[j - 1] * (many[j] - many[1:j]) - (mass[j] - mass[1:j]))
-            i = int(np.argmin(total))
-            if total[i] < new[j]:
-                new[j], cut[j] = total[i], i + 1
-        cost = new
+        cost, cut = _cheapest(cost, x, many, mass)
         cuts.append(cut)
     borders, j = [], n
     for cut in reversed(cuts):
         if cut[j] >= 0:
-            borders.append(int(x[j - 1]))
-            j = int(cut[j])
-    return [*([int(x[j - 1])] if j else []), *reversed(borders)]
+            borders.append(x[j - 1])
+            j = cut[j]
+    return [*([x[j - 1]] if j else []), *reversed(borders)]
 
 
 def histogram(lengths: DataFrame, column: str) -> list[tuple[int, int]]:
-    """(length, rows) of all rows, lengths rounded up to at most CELLS cells."""
+    """(length, rows) of all rows, in order of the length."""
     counts = lengths.groupBy(F.col(column).alias("x")).agg(F.count("*").alias("rows"))
-    distinct, most = counts.agg(F.count("*"), F.max("x")).first()
-    width = 1 if distinct <= CELLS else -(-most // CELLS)
-    cells = counts.groupBy((F.ceil(F.col("x") / F.lit(width)) * width).alias("x")).agg(F.sum("rows").alias("rows"))
-    return sorted((int(r.x), int(r.rows)) for r in cells.collect())
+    return sorted((int(r.x), int(r.rows)) for r in counts.collect())
 
 
 def pack(rows: DataFrame, key: str, length: str, buckets: int = 8, budget: int = 16_384) -> DataFrame:

@@ -168,6 +168,18 @@ def test_packing(spark):
     assert {r.doc_id: r.n_tokens for r in packing.token_counts(docs).collect()} == {1: 1, 2: 1, 3: 4, 4: 3}
 
 
+def test_packing_is_optimal_with_many_lengths_and_a_giant_row(spark):
+    lengths = [*range(1, 2600), *([40] * 900), *([300] * 500), 1_000_000]
+    packed = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "id long, n long"), "id", "n").collect()
+    x, c = np.unique(lengths, return_counts=True)
+    many, mass = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(c * x)])
+    best = np.concatenate([[0], x * many[1:] - mass[1:]])
+    for _ in range(7):
+        best = np.array([0, *(min((best[:j] + x[j - 1] * (many[j] - many[:j]) - (mass[j] - mass[:j])).min(), best[j]) for j in range(1, len(x) + 1))])
+    assert sum(r.padding for r in packed) == best[-1]
+    assert {r.bucket_len for r in packed} <= set(lengths) and len({r.bucket for r in packed}) == 8
+
+
 def test_sharding(spark):
     rows = [(i if i % 9 else None, None if i % 5 == 0 else f"text {i}" * (i % 40), "a") for i in range(2000)] + [(7, "twice", "a")] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, arrival string")
