@@ -6,7 +6,11 @@ the log odds of their counts in the languages of either side, as a naive Bayes c
 priors does, so it is learned from counts that sum over all labelled texts: nothing is sampled. The bits'
 mean margins, scaled by their spread on the training texts, are decoded by loss: the language
 whose codeword has the least sum of exp(-bit * margin) wins. The score is its share of the sum of
-exp(-loss) over all codewords; a text whose score is below a limit is ambiguous.
+exp(-loss) over all codewords. The gap of a text is the mean margin by which its language beats another
+on the bits that tell the two apart, for the closest other language: about 1 for a text like those
+learned from, 0 for a tie and 2a - 1 for a mix of two languages with a share a of the one, for any number of
+languages. A text with a gap below a limit is ambiguous; the limit is AMBIGUOUS, or less where more
+than CLEAN of the rightly identified training texts would fall below it.
 """
 
 from __future__ import annotations
@@ -28,8 +32,12 @@ LANGUAGES = 256
 NGRAMS = 3
 #: Bits of a code for many languages; for few, all ways to part them.
 BITS = 32
-#: Scores below this are ambiguous.
+#: Gaps below this are ambiguous: the second language has over a third of the text.
 AMBIGUOUS = 0.30
+#: Share of the clean training texts that may be ambiguous.
+CLEAN = 0.01
+#: Steps of a gap that training counts apart.
+STEPS = 100
 FOLDS = 5
 
 
@@ -110,9 +118,10 @@ class Model:
                 plus, minus = mean[bit > 0].mean(), mean[bit < 0].mean()
                 spread[j] = (plus + minus) / 2, max(1e-6, (plus - minus) / 2)
         self.middle, self.scale = spread[:, 0], spread[:, 1]
+        self.limit = AMBIGUOUS
 
     def predict(self, x: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the language, score, score of the next) for each row."""
+        """(index of the language, score, gap to the closest other language) for each row; with one language the gap is 1."""
         rows, bits = len(border) - 1, len(self.weights)
         margin = np.zeros((rows, bits))
         n = np.diff(border)
@@ -126,7 +135,14 @@ class Model:
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
         score = p[np.arange(rows), best]
-        return best, score, np.sort(p, 1)[:, -2] if p.shape[1] > 1 else np.zeros(rows)
+        if p.shape[1] == 1:
+            return best, score, np.ones(rows)
+        # codewords differ where their product is -1, so both sums count each of those bits twice
+        total, apart = margin @ self.code.T, bits - (self.code @ self.code.T)[best]
+        apart[np.arange(rows), best] = 1
+        gap = (total[np.arange(rows), best][:, None] - total) / apart
+        gap[np.arange(rows), best] = np.inf
+        return best, score, gap.min(1)
 
 
 def train(docs: DataFrame) -> Model | None:
@@ -143,15 +159,41 @@ def train(docs: DataFrame) -> Model | None:
     table_ = np.zeros((len(langs), DIMS))
     for r in counts.where("gram >= 0").toLocalIterator():  # DIMS rows a language at most
         table_[at[r.lang], r.gram] = r.n
-    return Model(langs, table_)
+    model = Model(langs, table_)
+    if len(langs) > 1:
+        model.limit = min(AMBIGUOUS, clean_gap(rows, model))
+    return model
 
 
-def identify(docs: DataFrame, model: Model | None, ambiguous: float = AMBIGUOUS) -> DataFrame:
-    """docs plus (lang_pred, score, ambiguous), from the whole text alone.
+def clean_gap(rows: DataFrame, model: Model) -> float:
+    """The largest step of a gap with at most CLEAN of the rightly identified rows(text, lang) below it."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    A null text, or one without a letter, is `und` with score 0, and so is every text without a model.
-    A text without n-grams of letters has equal margins and is ambiguous. Columns of docs with the new
-    names are replaced; rows are kept as they come.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        total = np.zeros(6 * STEPS + 1, np.int64)  # margins lie in -3 .. 3
+        for batch in batches:
+            for piece in pieces(batch, "text", 1 << 20):
+                best, _, gap = model.predict(*grams(*text_bytes(piece.column(0))))
+                right = np.array([model.langs[i] == lang for i, lang in zip(best, piece.column(1).to_pylist(), strict=True)], bool)
+                total += np.bincount(np.clip((gap[right] + 3) * STEPS, 0, 6 * STEPS).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["step", "n"])
+
+    found = sorted(tuple(r) for r in rows.mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n")).collect())
+    below, all_ = 0, sum(n for _, n in found)
+    for step, n in found:
+        below += n
+        if below > CLEAN * all_:
+            return step / STEPS - 3
+    return AMBIGUOUS
+
+
+def identify(docs: DataFrame, model: Model | None, ambiguous: float | None = None) -> DataFrame:
+    """docs plus (lang_pred, score, ambiguous), from the whole text alone; gaps below `ambiguous`, by default the model's limit, are ambiguous.
+
+    A null text, or one without a letter, is `und` with score 0 and ambiguous, and so is every text without
+    a model. Columns of docs with the new names are replaced; rows are kept as they come.
     """
     new = {"lang_pred", "score", "ambiguous"}
     docs = docs.select(*[c for c in docs.columns if c not in new])
@@ -167,10 +209,11 @@ def identify(docs: DataFrame, model: Model | None, ambiguous: float = AMBIGUOUS)
                     letter = np.zeros(len(piece), bool)
                     best, score = np.zeros(len(piece), np.int64), np.zeros(len(piece))
                 else:
-                    best, score, _ = model.predict(*grams(*text_bytes(col)))
+                    best, score, gap = model.predict(*grams(*text_bytes(col)))
                 names = [model.langs[i] if k else "und" for i, k in zip(best, letter, strict=True)]
                 score = np.where(letter, score, 0.0)
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(names, pa.string()), pa.array(score), pa.array(score < ambiguous)], names=[*piece.schema.names, "lang_pred", "score", "ambiguous"])
+                unsure = ~letter if model is None else ~letter | (gap < (model.limit if ambiguous is None else ambiguous))
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(names, pa.string()), pa.array(score), pa.array(unsure)], names=[*piece.schema.names, "lang_pred", "score", "ambiguous"])
 
     schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("ambiguous", F.lit(False)).schema
     for f in schema:

@@ -100,6 +100,20 @@ def test_language_id(spark):
     assert (0, zlib.crc32(b"0") % 5 == 0) == tuple(docs.where("doc_id = 0").select("doc_id", language_id.held_out(F.col("doc_id"))).first())
 
 
+@pytest.mark.parametrize("langs", [["de", "en"], ["de", "en", "fr"], ["de", "en", "es", "fr"]])
+def test_texts_of_two_languages_are_ambiguous(spark, langs):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("lang").isin(langs))
+    model = language_id.train_fold(docs)
+    clean = docs.where(language_id.held_out(F.col("doc_id"))).select("text", "lang").collect()
+    of = {v: [r.text for r in clean if r.lang == v and len(r.text) > 400] for v in langs}
+    halves = [(a[:k] + " " + b[:k],) for v, w in combinations(langs, 2) for a, b in list(zip(of[v], of[w], strict=False))[:20] for k in [min(len(a), len(b))]]
+    mixed = language_id.identify(spark.createDataFrame(halves, "text string"), model).collect()
+    assert len(mixed) > 5 and sum(r.ambiguous for r in mixed) / len(mixed) > 0.8
+    kept = language_id.identify(spark.createDataFrame(clean, "text string, lang string"), model).collect()
+    assert sum(r.ambiguous for r in kept) / len(kept) < 0.02
+    assert 0.1 < model.limit <= language_id.AMBIGUOUS
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 5, 6, 30, 100):
         code = language_id.codewords(n)
