@@ -1,6 +1,8 @@
 """Secret scans: patterns propose candidates, a random forest removes the false positives.
 
-Candidates are runs of 16 or more token characters with a digit and a letter. The forest sees a candidate's length, the transitions between its character
+Candidates are runs of 16 or more token characters with a digit and a letter, values of 8 or more
+characters behind a name and `=`, values of any shape from 8 characters behind an assignment to a telling
+name, passwords in URLs, and keys of known formats. The forest sees a candidate's length, the transitions between its character
 classes, the share of it that dictionary words cover, whether it looks like a path, an address or a
 digest, and the neighbouring words. It learns from labelled findings; labelled_findings() makes a bounded
 set of them from a rule, and a table of reviewed findings can take its place.
@@ -29,7 +31,30 @@ REDACTED = "[SECRET]"
 _MARK = "\x01"
 
 # What candidates look like, names that tell of secrets, and everyday words.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_=.@-]*+[0-9])(?=[0-9+/_=.@-]*+[A-Za-z])[A-Za-z0-9+/_=.@-]{16,}+"
+_MIXED = r"(?=[A-Za-z+/_.@-]*+[0-9])(?=[0-9+/_.@-]*+[A-Za-z])"
+CANDIDATE = r"(?<![A-Za-z0-9+/_.@-])" + _MIXED + r"[A-Za-z0-9+/_.@-]{16,}+={0,2}"
+_PEM = r"-----(?:BEGIN|END) [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+PEM = _PEM.replace("(?:BEGIN|END)", "BEGIN") + r"(?:[A-Za-z0-9+/=\s:,.-]{0,20000}?" + _PEM.replace("(?:BEGIN|END)", "END") + ")?"
+KNOWN = r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}+|github_pat_[A-Za-z0-9_]{30,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)"
+_NAME = r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++[\"'`]?\s{0,3}+[=:])(?i:[A-Za-z0-9_-]{0,40}?(?:token|secret|passw|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)[A-Za-z0-9_-]{0,20}+)"
+_ASSIGN = r"[\"'`]?\s{0,3}(?:=>|:=|==?|:)\s{0,3}(?:(?i:bearer|basic)\s{1,3})?"
+#: (what stands before, a candidate): the first that matches at the first place wins.
+FORMS = [
+    ("", PEM),
+    (r"://[^\s:/@\"'<>]{0,64}+:", r"[^\s/@\"'<>]{6,}(?=@)"),
+    (rf"(?<=[?&]){_NAME}=", r"[^\s&#\"'<>]{8,}+"),
+    (rf"{_NAME}{_ASSIGN}\"", r"[^\"\r\n]{8,200}+(?=\")"),
+    (rf"{_NAME}{_ASSIGN}'", r"[^'\r\n]{8,200}+(?=')"),
+    (rf"{_NAME}{_ASSIGN}`", r"[^`\r\n]{8,200}+(?=`)"),
+    (rf"{_NAME}{_ASSIGN}[\"'`]?", r"[^\s\"'`]{7,}[^\s\"'`.,;:)\]}>]"),
+    ("", KNOWN),
+    (r"(?<![A-Za-z0-9+/_.@-])[A-Za-z0-9_.-]{1,60}+=", _MIXED + r"[A-Za-z0-9+/_.@-]{8,}+={0,2}"),
+    ("", CANDIDATE),
+]
+_FORM = "|".join(f"({before})({candidate})" for before, candidate in FORMS)
+_MARKED = "".join(f"${2 * k + 1}" for k in range(len(FORMS))) + "\x01" + "".join(f"${2 * k + 2}" for k in range(len(FORMS))) + "\x01"
+#: No candidate is shorter, so that NEAR characters hold less than NEAR / SHORTEST of them.
+SHORTEST = 6
 TELLING = r"(?i)(token|secret|passw|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|auth|bearer)"
 HARMLESS = r"(?i)(sha|md5|commit|digest|checksum|etag|uuid|guid|revision|example|sample|placeholder|dummy|test)"
 WORDS = "about access account admin all and api app are auth base because build bytes cache check class client code com commit config content count data date default docs download en example example1 false file files first for from get group have hello home html http https image index info input issue item json key last lib line link list local main make message model module more name net new node not null number object of on one option order org output page part path people php png post product public query read release report request response root sample script search section server service session set site size source start static status string style system table tag temp test text that the their there this time title type update upload uri url use user username users util value version view web when which with word world www year you your".split()
@@ -38,22 +63,29 @@ WORDS = "about access account admin all and api app are auth base because build
 def candidates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, start, candidate, before, after): start counts code points from 0."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), _MARK, " ")
-    marked = F.when(F.rlike(text, F.lit(CANDIDATE)), F.split(F.regexp_replace(text, f"({CANDIDATE})", f"{_MARK}$1{_MARK}"), _MARK))
+    marked = F.when(F.rlike(text, F.lit(_FORM)), F.split(F.regexp_replace(text, _FORM, _MARKED), _MARK))
     # between marks: plain, candidate, plain, candidate, ..., plain
     parts = docs.select(key, marked.alias("parts")).where("parts is not null")
     lengths = F.transform("parts", F.length)
     starts = F.aggregate(lengths, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
-    parts = parts.select(key, "parts", starts.alias("starts"))
+    tails = F.transform("parts", lambda x: F.substring(x, F.greatest(F.lit(1), F.length(x) - NEAR + 1), F.lit(NEAR)))
+    heads = F.transform("parts", lambda x: F.substring(x, 1, NEAR))
+    parts = parts.select(key, "parts", starts.alias("starts"), tails.alias("tails"), heads.alias("heads"))
     at = F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2))
+    near = 2 * -(-NEAR // SHORTEST) + 1  # parts that hold NEAR characters, if there are as many
+
+    def before(i: Column) -> Column:
+        joined = F.array_join(F.slice("tails", F.greatest(F.lit(1), i - near + 1), F.least(i, F.lit(near))), "")
+        return F.substring(joined, F.greatest(F.lit(1), F.length(joined) - NEAR + 1), F.lit(NEAR))
+
     found = F.transform(at, lambda i: F.struct(
         F.get("starts", i).alias("start"), F.get("parts", i).alias("candidate"),
-        F.substring(F.get("parts", i - 1), F.greatest(F.lit(1), F.length(F.get("parts", i - 1)) - NEAR + 1), F.lit(NEAR)).alias("before"),
-        F.substring(F.get("parts", i + 1), 1, NEAR).alias("after"),
+        before(i).alias("before"), F.substring(F.array_join(F.slice("heads", i + 2, F.lit(near)), ""), 1, NEAR).alias("after"),
     ))
     return parts.select(key, F.explode(found).alias("f")).select(key, "f.*")
 
 
-FEATURES = ["length", "digits", "uppers", "symbols", "changes", "distinct", "dictionary", "hex", "path", "address", "uuid", "telling", "assigned", "quoted", "harmless"]
+FEATURES = ["length", "digits", "uppers", "symbols", "changes", "distinct", "dictionary", "hex", "path", "address", "uuid", "telling", "assigned", "quoted", "harmless", "known"]
 
 
 def _share(pattern: str, of: Column) -> Column:
@@ -63,6 +95,7 @@ def _share(pattern: str, of: Column) -> Column:
 def features(found: DataFrame) -> DataFrame:
     """found plus FEATURES, doubles, from candidate, before and after."""
     c, before = F.col("candidate"), F.col("before")
+    in_url = F.rlike(before, F.lit(r"://[^\s:/@]*:$")) & F.startswith("after", F.lit("@"))
     words = "|".join(sorted((w for w in WORDS if len(w) >= 4), key=len, reverse=True))
     columns = {
         "length": F.length(c), "digits": _share("[0-9]", c), "uppers": _share("[A-Z]", c), "symbols": _share("[^A-Za-z0-9]", c),
@@ -72,17 +105,18 @@ def features(found: DataFrame) -> DataFrame:
         "hex": F.rlike(c, F.lit("^[0-9a-fA-F]+$")), "path": F.rlike(c, F.lit(r"/[A-Za-z0-9_-]+[/.]|\.[a-z]{2,4}$")), "address": F.contains(c, F.lit("@")),
         "uuid": F.rlike(c, F.lit("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-")),
         "telling": F.rlike(before, F.lit(TELLING)), "assigned": F.rlike(before, F.lit(r"[=:]\s*[\"']?$")), "quoted": F.rlike(before, F.lit("[\"'`]$")),
-        "harmless": F.rlike(before, F.lit(HARMLESS)),
+        "harmless": F.rlike(before, F.lit(HARMLESS)), "known": F.rlike(c, F.lit(f"{KNOWN}|-----BEGIN")) | in_url,
     }
     return found.withColumns({k: v.cast("double") for k, v in columns.items()})
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """(candidate, before, after, label): n findings made by rule from row numbers, half of them secrets.
+    """(candidate, before, after, label): findings that candidates() makes in n texts by rule from row numbers, half of them with a secret.
 
     Secrets: hexadecimal, base64 and prefixed keys behind an assignment to a telling name, a header or a
-    sentence. Others: addresses, digests and commits named as such, uuids, paths, versions, numbered words
-    and placeholders.
+    sentence; passwords with and without symbols, letters or digits alone; query strings, bearer headers, URL
+    credentials, private keys and bare keys of known formats. Others: addresses, digests and commits named
+    as such, uuids, paths, versions, numbered words, placeholders, and words and settings behind a telling name.
     """
     rows = spark.range(0, n, 1, 4)
     i = F.col("id")
@@ -109,8 +143,27 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     other = F.when(kind == 0, address).when(kind == 1, uuid).when(kind == 2, path).when(kind == 3, version).when(kind == 4, named).when(kind < 7, F.substring(digest, F.lit(1), size)).otherwise(F.concat(pick("your-", "my-", "xxxx-"), word(17), F.lit("-here-"), F.pmod(i, F.lit(9)).cast("string"), F.lit("00000000")))
     before = F.when(kind == 1, pick(plain, F.concat(plain, F.lit("uuid: ")))).when((kind == 5) | (kind == 6), digests).when(kind == 7, telling).otherwise(plain)
     is_secret = F.pmod(i, F.lit(2)) == 0
-    closing = F.when(F.endswith(before, F.lit('"')), F.lit('" ')).otherwise(F.lit(" "))
-    return rows.select(F.when(is_secret, secret).otherwise(other).alias("candidate"), F.when(is_secret, telling).otherwise(before).alias("before"), F.concat(closing, word(18)).alias("after"), is_secret.cast("double").alias("label"))
+    short = F.element_at(F.array(*[F.lit(x) for x in range(8, 17)]), (F.pmod(F.xxhash64(i, F.lit(98)), F.lit(9)) + 1).cast("int"))
+    password = F.translate(F.substring(base64, F.lit(3), short), "abcdefgh", "!#$%^*?~")
+    letters = F.translate(F.substring(base64, F.lit(1), short + 6), "0123456789+", "qwertyuiopz")
+    numbers = F.translate(F.substring(digest, F.lit(1), short + 6), "abcdef", "012345")
+    alnum = F.translate(F.substring(base64, 1, 40), "+", "P")
+    known = pick(F.concat(F.lit("AKIA"), F.upper(F.substring(alnum, 1, 16))), F.concat(F.lit("ghp_"), F.substring(alnum, 1, 36)), F.concat(F.lit("sk_live_"), F.substring(alnum, 1, 24)))
+    assigned = F.concat(word(1), F.lit(" "), pick("token", "api_key", "DB_PASSWORD", "password", "client_secret", "pwd", "passwd"), pick(' = "', '="', ": ", "=", " = '", ': "'))
+    header = F.concat(F.lit("-----BEGIN "), pick("RSA ", "", "EC ", "OPENSSH "), F.lit("PRIVATE KEY-----"))
+    form = F.pmod(F.xxhash64(i, F.lit("form")), F.lit(14))
+    # words of prose behind a telling name, and settings that are no secrets
+    said = F.concat(word(20), pick("er", "ing", "ation", "ed", "ly"), word(21))
+    setting = pick(said, F.concat(word(20), F.lit(" "), word(21), F.lit(" "), word(22)), F.concat(word(20), pick("_", "-"), word(21)), F.lit("disabled"), F.lit("required"), F.lit("<your-password>"), F.lit("${PASSWORD}"), F.lit("os.environ"))
+    secret = F.when(form < 6, secret).when(form < 8, password).when(form == 8, letters).when(form == 9, numbers).when(form == 10, known).when(form == 11, pick(password, letters, F.substring(digest, 1, 12))).when(form == 12, F.when(F.pmod(F.shiftright(i, 1), F.lit(2)) == 0, header).otherwise(F.concat(header, F.lit("\n"), base64, F.lit("\n"), F.regexp_replace(header, "BEGIN", "END")))).otherwise(pick(F.substring(digest, 1, 32), F.substring(alnum, 1, 24)))
+    telling_ = F.when(form < 6, telling).when(form < 10, assigned).when((form == 10) | (form == 12), plain).when(form == 11, F.concat(plain, pick("https", "postgres", "redis"), F.lit("://"), word(23), F.lit(":"))).otherwise(F.concat(plain, pick("https://host.org/a?token=", "/v1?page=2&api_key=", "Authorization: Bearer ", "export API_TOKEN=")))
+    worded = (form >= 6) & (form < 9)
+    candidate, before = F.when(is_secret, secret).when(worded, setting).otherwise(other), F.when(is_secret, telling_).when(worded, assigned).otherwise(before)
+    closing = F.when(is_secret & (form == 11), F.lit("@db.host/")).when(F.endswith(before, F.lit('"')), F.lit('" ')).when(F.endswith(before, F.lit("'")), F.lit("' ")).otherwise(F.lit(" "))
+    texts = rows.select("id", F.concat(before, candidate, closing, word(18)).alias("text"))
+    planted = rows.select("id", candidate.alias("planted"), is_secret.alias("of_secret"))
+    label = F.col("of_secret") & (F.contains("planted", F.col("candidate")) | F.contains("candidate", F.col("planted")))
+    return candidates(texts, "id").join(planted, "id").select("candidate", "before", "after", label.cast("double").alias("label"))
 
 
 def train(findings: DataFrame) -> RandomForestClassificationModel:
