@@ -1,8 +1,8 @@
 """Token-ID files: a concatenated id array with Elias-Fano encoded document boundaries.
 
 Documents are dealt by ranges of doc_id, so that parts in order hold doc_ids in order. A file row is a
-block of about BLOCK ids: the ids with 2 bytes each where all fit, else 4; the doc_ids; and the ends of
-its documents in Elias-Fano form. For n ends below u it takes about n (2 + log2(u / n)) bits: the low
+block of about BLOCK ids: the ids with 2 bytes each where all fit, else 4; and its doc_ids above the first
+and the ends of its documents, both in Elias-Fano form. For n ends below u it takes about n (2 + log2(u / n)) bits: the low
 bits as they are, the high bits as a unary bit vector with a sample of every SAMPLE-th one bit, from
 which select(i) finds the i-th end by reading a few bytes. A document's offset in the whole corpus is its
 block's start, the ids of earlier parts and earlier blocks, plus select in its block.
@@ -17,7 +17,10 @@ import os
 import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewell.llm.common import new_folder, table
+from framewell.llm.words import pieces, text_bytes
 
 #: Ids of a block, but for a longer document.
 BLOCK = 1 << 19
 SAMPLE = 64
+#: Text bytes that are encoded at once, but for a longer text.
+PIECE = 16 << 20
 #: Text units whose ids a task remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 END = 0
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 _ONES = _BITS.sum(1)
-FILE = "part int, block int, n_docs long, n_ids long, inside long, width int, ids binary, doc_ids binary, ends binary"
+FILE = "part int, block int, n_docs long, n_ids long, inside long, width int, ids binary, first_doc long, last_doc long, doc_ids binary, ends binary"
 
 
 class EliasFano:
@@ -75,6 +81,8 @@ class EliasFano:
         return ((place - i) << self.low_bits) | self._low(i)
 
     def _low(self, i: int) -> int:
+        if not self.low_bits:
+            return 0
         first = i * self.low_bits
         part = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8].tobytes(), "little")
         return (part >> first % 8) & ((1 << self.low_bits) - 1)
@@ -86,10 +94,44 @@ class EliasFano:
         return ((places - np.arange(self.n)) << self.low_bits) | low
 
 
+def _lead(data: np.ndarray, back: int) -> np.ndarray:
+    """Each byte's neighbour `back` places before; 0 where there is none."""
+    out = np.zeros(len(data), np.uint8)
+    out[back:] = data[:-back]
+    return out
+
+
+def unit_starts(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Places where units of texts start: the first byte of each text that isn't empty, each single space between two other characters, and each single line break there and the byte after it.
+
+    The characters next to the blank are visible ASCII or of a block of UTF-8 without spaces (lead bytes 0xC3 to
+    0xDF and from 0xE4 on), so no space of any kind can stand beside it. The tokenizer's own word pattern starts a
+    word at such places, hence the ids of a text are those of its units in order.
+    """
+    visible = (data > 32) & (data < 127)
+    opens = visible | ((data >= 0xC3) & (data <= 0xDF)) | (data >= 0xE4)
+    two, three, four = (_lead(data, k) for k in (1, 2, 3))
+    tail = (data & 0xC0) == 0x80
+    closes = visible | (tail & (((two >= 0xC3) & (two <= 0xDF)) | ((three >= 0xE4) & (three <= 0xEF)) | (four >= 0xF0)))
+    between = np.zeros(len(data), bool)
+    between[1:-1] = closes[:-2] & opens[2:]
+    between[first[1:] - 1] = False  # the last bytes of texts
+    between[first] = False
+    line = between & (data == 10)
+    cut = line | (between & (data == 32))
+    cut[1:] |= line[:-1]
+    cut[first] = True
+    return np.flatnonzero(cut)
+
+
+#: A unit of a space and a word, and a word alone; letters as in unit_starts, of two bytes at most.
+_SPACED = re.compile(rb" [!-~\xc3-\xdf\x80-\xbf]+").fullmatch
+_BARE = re.compile(rb"[!-~\xc3-\xdf\x80-\xbf]+").fullmatch
+
+
 class Encoder:
-    """Ids of whole texts. A text is cut before single spaces between other characters, where the tokenizer's own word pattern always starts a word; the ids of such units are remembered. New units that are a space and a word go to the tokenizer TOGETHER at once, as a text that it cuts at the same places."""
+    """Ids of whole texts. Texts are cut into units (unit_starts); Arrow finds the distinct ones by their bytes, and the ids of those are remembered. New units go to the tokenizer TOGETHER at once, as a text that it cuts at the same places: words with a space in a row, words alone on lines of their own."""
 
-    _cut = re.compile(r"(?<=\S) (?=\S)")
     TOGETHER = 500
 
     def __init__(self, path: str) -> None:
@@ -98,57 +140,65 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
-        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that start with a space
+        self.spaced, self.line = (np.zeros(max(vocabulary.values()) + 1, bool) for _ in range(2))  # ids that start with a space, or are a line break
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line[vocabulary["\u010a"]] = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _together(self, units: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        # few at a time: an encoding takes far more memory than its ids
+        parts = (texts[i : i + 64] for i in range(0, len(texts), 64))
+        return [np.array(e.ids, np.uint32) for part in parts for e in self.tokenizer.encode_batch([t.decode() for t in part], add_special_tokens=False)]
+
+    def _together(self, units: list[bytes], between: bytes, starts: np.ndarray) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+        """(units, their ids in a row, the number of ids of each). starts: the ids that start a unit, or stand between two."""
         runs = [units[i : i + self.TOGETHER] for i in range(0, len(units), self.TOGETHER)]
-        found, sizes = [], [np.zeros(0, np.int64)]
-        for run, e in zip(runs, self.tokenizer.encode_batch(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.uint32)
-            start = np.flatnonzero(self.spaced[ids])
-            if len(start) != len(run):
-                raise ValueError("this tokenizer doesn't start a token at each space")
-            found.append(ids)
-            sizes.append(np.diff(np.append(start, len(ids))))
-        return found, np.concatenate(sizes)
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        for run, ids in zip(runs, self._encode([between.join(r) for r in runs]), strict=True):
+            at = np.flatnonzero(starts[ids])
+            if between:
+                at, ids = np.concatenate([[0], at - np.arange(len(at))]), np.delete(ids, at)
+            if len(at) != len(run):
+                raise ValueError("this tokenizer doesn't cut at each space and line break")
+            yield run, ids, np.diff(np.append(at, len(ids)))
+
+    def _learn(self, new: list[bytes]) -> None:
+        odd = {u for u in new if any(t in u for t in self.added)} if any(t in b"".join(new) for t in self.added) else set()
+        spaced, bare, rest = [], [], []
+        for u in new:
+            (rest if u in odd else spaced if _SPACED(u) else bare if _BARE(u) else rest).append(u)
+        found = [*self._together(spaced, b"", self.spaced), *self._together(bare, b"\n", self.line), *(([u], ids, [len(ids)]) for u, ids in zip(rest, self._encode(rest), strict=True))]
+        units = [u for run, _, _ in found for u in run]
+        sizes = np.concatenate([x for _, _, x in found])
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, *(ids for _, ids, _ in found)])
+        self.known |= dict(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with END behind it; n + 1 borders)."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        units: list[str] = []
-        count = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                first, *rest = self._cut.split(text)
-                units.append(first)
-                units += [" " + x for x in rest]
-                count[i] = 1 + len(rest)
-        new = [u for u in dict.fromkeys(units) if u not in self.known]
-        if new:
-            plain = [u for u in new if u[0] == " " and u.count(" ") == 1 and len(u.split()) == 1 and not any(t in u for t in self.added)]
-            found, sizes = self._together(plain)
-            if len(plain) < len(new):
-                new = plain + list(dict.fromkeys(new).keys() - set(plain))
-                rest = [e.ids for e in self.tokenizer.encode_batch(new[len(plain) :], add_special_tokens=False)]
-                found, sizes = [*found, *(np.array(x, np.uint32) for x in rest)], np.concatenate([sizes, np.array([len(x) for x in rest], np.int64)])
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.flat = np.concatenate([self.flat, *found])
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        data, borders = text_bytes(texts)
+        starts = unit_starts(data, borders[:-1][np.diff(borders) > 0]) if len(data) else np.zeros(0, np.int64)
+        offsets = pa.array(np.append(starts, len(data)), pa.int64())
+        units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        distinct = units.dictionary.to_pylist()
+        code = np.array([self.known.get(u, -1) for u in distinct], np.int64)
+        if len(new := np.flatnonzero(code < 0)):
+            learned = [distinct[i] for i in new.tolist()]
+            self._learn(learned)
+            code[new] = [self.known[u] for u in learned]
+        at = code[units.indices.to_numpy()]
         sizes = self.size[at]
         ends = np.cumsum(sizes)
-        body = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        units_before = np.concatenate([[0], np.cumsum(count)])
-        body_border = np.concatenate([[0], ends])[units_before]
+        total = int(ends[-1]) if len(ends) else 0
+        body = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(total)]
+        body_border = np.concatenate([[0], ends])[np.searchsorted(starts, borders, side="left")]
         return np.insert(body, body_border[1:], END), body_border + np.arange(len(texts) + 1)
 
 
@@ -162,19 +212,15 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _cut_batch(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(batch), size):
-        yield batch.slice(i, size)
-
-
 def _files(path: str | None, name: str):
     """Blocks of the part's documents, which come in order of doc_id."""
 
     def block(number: int, inside: int, ids: list[np.ndarray], docs: list[int], sizes: list[int]) -> pa.RecordBatch:
         flat = np.concatenate(ids)
         width = 2 if not len(flat) or flat.max() < 1 << 16 else 4
-        values = [TaskContext.get().partitionId(), number, len(docs), len(flat), inside, width, flat.astype(f"<u{width}").tobytes(), np.array(docs, "<i8").tobytes(), EliasFano.encode(np.cumsum(sizes), len(flat))]
-        types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        above = np.array([d - docs[0] for d in docs], np.uint64)
+        values = [TaskContext.get().partitionId(), number, len(docs), len(flat), inside, width, flat.astype(f"<u{width}").tobytes(), docs[0], docs[-1], EliasFano.encode(above, docs[-1] - docs[0]), EliasFano.encode(np.cumsum(sizes), len(flat))]
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=[c.split()[0] for c in FILE.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +232,8 @@ def _files(path: str | None, name: str):
         encode = _encoder(at)
         number, inside, held, ids, docs, sizes = 0, 0, 0, [], [], []
         for batch in batches:
-            for piece in _cut_batch(batch, 256):
-                flat, border = encode(piece.column(1).to_pylist())
+            for piece in pieces(batch, "text", PIECE):
+                flat, border = encode(piece.column(1))
                 for i, doc in enumerate(piece.column(0).to_pylist()):
                     size = int(border[i + 1] - border[i])
                     if held and held + size > BLOCK:
@@ -226,17 +272,59 @@ def open_token_files(spark, path: str) -> DataFrame:
     return files.join(offsets, "part").withColumn("start", F.col("inside") + F.col("before"))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Block:
+    """One file row: documents by place or by id, found by select."""
+
+    def __init__(self, start: int, width: int, ids: bytes, first_doc: int, doc_ids: bytes, ends: bytes) -> None:
+        self.start, self.first_doc = start, first_doc
+        self.ids, self.docs, self.ends = np.frombuffer(ids, f"<u{width}"), EliasFano(doc_ids), EliasFano(ends)
+
+    def document(self, i: int) -> tuple[int, int, np.ndarray]:
+        """(doc_id, offset of its first id in the corpus, ids) of the block's i-th document."""
+        a, b = self.ends.select(i - 1) if i else 0, self.ends.select(i)
+        return self.first_doc + self.docs.select(i), self.start + a, self.ids[a:b]
+
+    def find(self, doc_id: int) -> range:
+        """The places of a doc_id, by binary search over select."""
+        places = range(self.docs.n)
+        first = bisect_left(places, doc_id - self.first_doc, key=self.docs.select)
+        return range(first, bisect_right(places, doc_id - self.first_doc, lo=first, key=self.docs.select))
+
+
+COLUMNS = ["start", "width", "ids", "first_doc", "doc_ids", "ends"]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
-        for start, width, ids, doc_ids, ends in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            flat = np.frombuffer(ids, f"<u{width}").astype("<u4")
-            border = np.concatenate([[0], EliasFano(ends).all()])
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(border[:-1], border[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(doc_ids, "<i8")), pa.array(start + border[:-1]), pa.array(np.diff(border)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        for i in range(len(batch)):
+            yield Block(*(batch.column(c)[i].as_py() for c in range(len(COLUMNS))))
+
+
+def read_digests(blocks: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document of blocks, as open_token_files gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            rows = [(doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, start, ids in map(block.document, range(block.docs.n))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return blocks.select(*COLUMNS).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def look_up(blocks: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, start, ids) of a stated list of documents: only blocks whose range of ids holds one are read, and in them only those documents' ids."""
+    wanted = sorted(set(doc_ids))
+    near = reduce(or_, [F.lit(x).between(F.col("first_doc"), F.col("last_doc")) for x in wanted], F.lit(False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            rows = [block.document(i) for x in wanted for i in block.find(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tolist() for r in rows], pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
+
+    return blocks.where(near).select(*COLUMNS).mapInArrow(run, "doc_id long, start long, ids array<long>")
 
 
 def op5_token_files(spark, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path)
-    blocks = open_token_files(spark, path).select("start", "width", "ids", "doc_ids", "ends")
-    return blocks.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_digests(open_token_files(spark, path))

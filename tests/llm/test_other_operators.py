@@ -6,6 +6,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,21 @@ def test_elias_fano():
     assert len(token_files.EliasFano.encode(np.arange(0, 10**6, 100), 10**6)) < 10**4 * 10 // 8 * 1.5
 
 
+def test_encoder_equals_the_tokenizer_on_random_texts():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    parts = ["word", "été", "\u2019s", "it's", "日本", "\u3000", "\u00a0", "\u2003", "\x85", "\x1c", " ", "  ", "\n", "\t", "12", "\U0001f600", "e\u0301", "à", "<|endoftext|>", "?!", "\u1680", "\x00", "naïve", "Ω", "\u200b"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randint(0, 60))) for _ in range(400)] + [None, "", " ", "a", " a"]
+    encode, tok = token_files.Encoder(path("byte_bpe_50k.json")), Tokenizer.from_file(path("byte_bpe_50k.json"))
+    for _ in range(2):
+        flat, border = encode(pa.array(texts, pa.string()))
+        for t, a, b in zip(texts, border[:-1], border[1:], strict=True):
+            assert flat[a:b].tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 0], t
+        texts = texts[::-1]
+
+
 def test_token_files(spark, monkeypatch):
     from public_tokenizers import path
     from tokenizers import Tokenizer
@@ -67,9 +83,9 @@ def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK", 200)
     at = new_folder(spark, "test-tokens")
     token_files.write_token_files(docs, at)
-    blocks = token_files.open_token_files(spark, at).select("start", "width", "ids", "doc_ids", "ends")
+    blocks = token_files.open_token_files(spark, at)
     assert blocks.count() > 4
-    got = sorted(tuple(r) for r in blocks.mapInArrow(token_files._read, "doc_id long, start long, n_tokens long, ids_crc32 long").collect())
+    got = sorted(tuple(r) for r in token_files.read_digests(blocks).collect())
     tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
     want, start = [], 0
     for i, t, _ in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or "")):
@@ -79,6 +95,9 @@ def test_token_files(spark, monkeypatch):
     assert [g[0] for g in got] == [w[0] for w in want]
     assert sorted(g[2:] for g in got) == sorted(w[2:] for w in want)
     assert [g for g in got if g[0] != 4] == [w for w in want if w[0] != 4]  # texts under one id come in order of a hash
+    found = token_files.look_up(blocks, [4, 1, -5, 2, 10**9]).collect()  # 2 and 10**9 are no documents
+    assert sorted(r.doc_id for r in found) == [-5, 1, 4, 4, 4] and {(r.doc_id, r.start, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in found} <= set(got)
+    assert token_files.look_up(blocks, []).count() == 0
     empty = new_folder(spark, "test-tokens")
     token_files.write_token_files(docs.limit(0), empty)
     assert token_files.open_token_files(spark, empty).count() == 0
