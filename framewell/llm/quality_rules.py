@@ -2,9 +2,12 @@
 
 Four fixed base rules' counts are taken from each text. For the texts that pass the base rules, quantile
 summaries of four measures (Greenwald-Khanna, which merge over tasks) are kept for each language and
-source, and in a second table for each language. The cutoff of a group is its upper quartile plus
-FENCE times the quartile range, and at least the measure's floor; a group of fewer than LEAST rows
-takes its language's cutoff. Rows then meet their cutoffs in a join and are filtered.
+source, for each language and for all rows. What a summary says is the cutoff: the upper quartile plus FENCE
+times the quartile range, or, where the quartiles are equal (most texts have no symbol and no repeated
+line), the upper-tail quantile TAIL; and a small SLACK above, so that values like the group's own stay. A
+group's cutoff is drawn to its language's, and a language's to that of all rows, as if the wider one stood
+for PRIOR rows: large groups decide for themselves and small ones by degrees less, without a switch.
+Rows then meet their cutoffs in a join and are filtered.
 """
 
 from __future__ import annotations
@@ -17,12 +20,15 @@ from pyspark.sql import functions as F
 from framewell.llm.common import table, written
 
 FENCE = 6.0
-#: Rows from which a language and source has cutoffs of its own.
-LEAST = 100
+TAIL = 15 / 16
+#: Rows that the wider group's cutoff weighs as.
+PRIOR = 100
 #: Entries of a quantile summary: ranks are off by 1 / ACCURACY of the rows at most.
 ACCURACY = 10_000
-#: The measures, each with the cutoff that no group goes below. They are wide: a clean text of any group stays below.
-MEASURES = {"word_length": 15.0, "symbol_share": 0.10, "dup_line_share": 0.30, "repeat_share": 0.30}
+#: The measures, each with its slack.
+MEASURES = {"word_length": 0.25, "symbol_share": 0.02, "dup_line_share": 0.05, "repeat_share": 0.05}
+#: Rows of cutoffs that are broadcast, some MB; beyond, the join is a shuffled one.
+BROADCAST = 50_000
 
 _GAP = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -83,14 +89,32 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def cutoffs(rows: DataFrame, by: list[str], fence: float) -> DataFrame:
-    """by, members, and a cutoff max_<measure> for each measure."""
-    aggs = [F.percentile_approx(m, [0.25, 0.75], ACCURACY).alias(m) for m in MEASURES]
+def summaries(rows: DataFrame, by: list[str], fence: float = FENCE) -> DataFrame:
+    """by, members, and for each measure what its quantile summary alone says, max_<measure>."""
+    aggs = [F.percentile_approx(m, [0.25, 0.75, TAIL], ACCURACY).alias(m) for m in MEASURES]
     of = rows.where("not base_failed").groupBy(*by).agg(F.count("*").alias("members"), *aggs)
-    return of.select(*by, "members", *[F.greatest(F.col(m)[1] + fence * (F.col(m)[1] - F.col(m)[0]), F.lit(floor)).alias(f"max_{m}") for m, floor in MEASURES.items()])
 
+    def says(m: str) -> Column:
+        low, high, tail = (F.col(m)[i] for i in range(3))
+        return F.when(high > low, high + fence * (high - low)).otherwise(tail) + MEASURES[m]
 
-def quality_rules(docs: DataFrame, fence: float = FENCE, least: int = LEAST) -> DataFrame:
+    return of.select(*by, "members", *[says(m).alias(f"max_{m}") for m in MEASURES])
+
+
+def cutoffs(rows: DataFrame, fence: float = FENCE, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, members, max_<measure> ...) for each language and source with a row that passes the base rules."""
+    own, wide, all_ = (summaries(rows, by, fence).alias(name) for name, by in (("o", ["lang", "source"]), ("w", ["lang"]), ("a", [])))
+    # one row for all, and one for each language
+    joined = own.join(wide, F.expr("o.lang <=> w.lang")).crossJoin(F.broadcast(all_))
+
+    def drawn(m: str) -> Column:
+        of_lang = (F.col("w.members") * F.col(f"w.max_{m}") + prior * F.col(f"a.max_{m}")) / (F.col("w.members") + prior)
+        return (F.col("o.members") * F.col(f"o.max_{m}") + prior * of_lang) / (F.col("o.members") + prior)
+
+    return joined.select("o.lang", "o.source", "o.members", *[drawn(m).alias(f"max_{m}") for m in MEASURES])
+
+
+def quality_rules(docs: DataFrame, fence: float = FENCE, prior: int = PRIOR) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each row of docs(doc_id, text, lang, source, ...).
 
     Words are runs of other characters than space and \\t-\\r. A null text is an empty one and fails the
@@ -99,16 +123,11 @@ def quality_rules(docs: DataFrame, fence: float = FENCE, least: int = LEAST) ->
     table gives an empty result.
     """
     rows = written(measured(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))), "measures")
-    own = cutoffs(rows, ["lang", "source"], fence).where(F.col("members") >= least)
-    wide = cutoffs(rows, ["lang"], fence)
-    # a row for each language and source, so that the documents are joined once
-    groups = rows.select("lang", "source").distinct()
-    limits = groups.alias("g").join(own.alias("o"), F.expr("g.lang <=> o.lang and g.source <=> o.source"), "left").join(wide.alias("w"), F.expr("g.lang <=> w.lang"), "left")
-    limits = limits.select(F.col("g.lang").alias("l"), F.col("g.source").alias("s"), *[F.coalesce(F.col(f"o.max_{m}"), F.col(f"w.max_{m}"), F.lit(floor)).alias(f"max_{m}") for m, floor in MEASURES.items()])
+    limits = written(cutoffs(rows, fence, prior).withColumnsRenamed({"lang": "l", "source": "s"}), "cutoffs")
     within = ~F.col("base_failed")
     for m in MEASURES:
         within &= F.col(m) <= F.col(f"max_{m}")
-    joined = rows.join(limits, F.expr("lang <=> l and source <=> s"), "left")
+    joined = rows.join(F.broadcast(limits) if limits.count() <= BROADCAST else limits, F.expr("lang <=> l and source <=> s"), "left")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", within.alias("kept"))
 
 
@@ -117,8 +136,10 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    cut = ", ".join(f"greatest(quantile_disc({m}, 0.75) + {FENCE} * (quantile_disc({m}, 0.75) - quantile_disc({m}, 0.25)), {floor}::double) as {m}" for m, floor in MEASURES.items())
-    within = " and ".join(f"m.{m} <= coalesce(o.{m}, l.{m}, {floor}::double)" for m, floor in MEASURES.items())
+    q = {m: [f"quantile_disc({m}, {x})" for x in (0.25, 0.75, TAIL)] for m in MEASURES}
+    cut = ", ".join(f"case when {high} > {low} then {high} + {FENCE}::double * ({high} - {low}) else {tail} end + {MEASURES[m]}::double as {m}" for m, (low, high, tail) in q.items())
+    drawn = ", ".join(f"(o.n * o.{m} + {PRIOR} * ((l.n * l.{m} + {PRIOR} * a.{m}) / (l.n + {PRIOR}))) / (o.n + {PRIOR}) as {m}" for m in MEASURES)
+    within = " and ".join(f"m.{m} <= k.{m}" for m in MEASURES)
     leads = ", ".join(f"lead(x, {i}) over q as x{i}" for i in range(1, 8))
     return rf"""
 with t as (select doc_id, lang, source, coalesce(text, '') as text from documents),
@@ -132,10 +153,10 @@ c as (select w.doc_id, lang, source, len(ws)::bigint as n_words, length(regexp_r
   from w left join r on r.doc_id = w.doc_id),
 m as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, word_chars::double / greatest(n_words, 1) as word_length, n_symbols::double / greatest(word_chars, 1) as symbol_share,
   n_dup_lines::double / greatest(n_words::double / 10, 1) as dup_line_share, n_repeat_words::double / greatest(n_words, 1) as repeat_share from c),
-o as (select lang, source, {cut} from m where not base_failed group by lang, source having count(*) >= {LEAST}),
-l as (select lang, {cut} from m where not base_failed group by lang)
+g as (select * from m where not base_failed), o as (select lang, source, count(*) as n, {cut} from g group by lang, source), l as (select lang, count(*) as n, {cut} from g group by lang), a as (select {cut} from g),
+k as (select o.lang, o.source, {drawn} from o join l on o.lang is not distinct from l.lang cross join a)
 select m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {within} as kept
-from m left join o on o.lang is not distinct from m.lang and o.source is not distinct from m.source left join l on l.lang is not distinct from m.lang"""
+from m left join k on k.lang is not distinct from m.lang and k.source is not distinct from m.source"""
 
 
 SQL = _sql()

@@ -1,11 +1,13 @@
 """Operators on texts against brute force, on small tables with nulls, ties, repeated rows and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from framewell.llm import decontaminate, ngram_join, quality_rules, substring_dedup
 
@@ -184,6 +186,58 @@ def test_quality_rules(spark):
     assert not by_id[901].kept and sum(r.kept for r in got) > 20
 
 
+def test_cutoffs_are_quantile_fences(spark):
+    rng = random.Random(9)
+    names = list(quality_rules.MEASURES)
+    rows = []
+    for lang, source, n in (("en", "a", 300), ("en", "b", 40), ("de", "a", 1), (None, None, 25)):
+        for _ in range(n):
+            values = [rng.gauss(5, 0.4 if source == "a" else 0.1), rng.choice([0.0, 0.0, 0.0, 0.0, rng.random()]), 0.0, rng.random() / 9]
+            rows.append((lang, source, rng.random() < 0.1, *values))
+    df = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, " + ", ".join(f"{m} double" for m in names))
+
+    def says(of, i):
+        x = sorted(r[3 + i] for r in of)
+        low, high, tail = (x[max(0, math.ceil(len(x) * q) - 1)] for q in (0.25, 0.75, 15 / 16))
+        return (high + quality_rules.FENCE * (high - low) if high > low else tail) + quality_rules.MEASURES[names[i]]
+
+    good = [r for r in rows if not r[2]]
+    for got in quality_rules.cutoffs(df).collect():
+        own, wide = [r for r in good if r[:2] == (got.lang, got.source)], [r for r in good if r[0] == got.lang]
+        assert got.members == len(own)
+        for i, m in enumerate(names):
+            of_lang = (len(wide) * says(wide, i) + 100 * says(good, i)) / (len(wide) + 100)
+            assert got[f"max_{m}"] == pytest.approx((len(own) * says(own, i) + 100 * of_lang) / (len(own) + 100))
+
+
+def test_sources_get_cutoffs_of_their_own(spark):
+    """The same text stays where such texts are usual and goes where they are not."""
+    rng = random.Random(11)
+
+    def text(symbols, i):
+        ws = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        return " ".join(w + "###" if k < symbols else w for k, w in enumerate(ws)) + f" t{i}"
+
+    rows = [(i, text(rng.randint(0, 30), i), "en", "code") for i in range(1500)] + [(i, text(0, i), "en", "prose") for i in range(1500, 3000)]
+    odd = text(30, "odd")
+    docs = spark.createDataFrame([*rows, (9001, odd, "en", "code"), (9002, odd, "en", "prose")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs).collect()}
+    assert got[9001] and not got[9002] and all(got[i] for i, *_ in rows)
+
+
+def test_learned_cutoffs_decide(spark):
+    """On the given documents each measure's cutoff rejects rows that pass the base rules, and most rows stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality_rules.written(quality_rules.measured(docs), "measures")
+    limits = quality_rules.cutoffs(rows).withColumnsRenamed({"lang": "l", "source": "s"})
+    good = rows.join(limits, F.expr("lang <=> l and source <=> s")).where("not base_failed")
+    over = good.agg(F.count("*").alias("n"), *[F.count_if(F.col(m) > F.col(f"max_{m}")).alias(m) for m in quality_rules.MEASURES]).first()
+    assert all(over[m] > 0 for m in quality_rules.MEASURES)
+    kept = quality_rules.quality_rules(docs).where("kept").count()
+    assert kept > 0.85 * over.n
+    assert limits.select(*[F.count_distinct(f"max_{m}").alias(m) for m in quality_rules.MEASURES]).first().word_length > 10
+
+
 @pytest.mark.parametrize("operator", [substring_dedup.substring_dedup, ngram_join.ngram_join])
 def test_empty_and_null_ids(spark, operator):
     assert operator(frame(spark, [])).collect() == []
