@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewell.llm.common import table
-from framewell.llm.sketch import commonness, sketch
+from framewell.llm.sketch import Counts, sketch
 from framewell.llm.words import U, Words, mix, ngrams, pieces, signed, words
 
 #: Words of an anchor.
@@ -47,7 +47,7 @@ COMBINE = 8 << 20
 GROUP = 20_000
 
 
-def _anchors(w: Words, window: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(w: Words, window: int, common: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each window: the word it starts with, the word its anchor starts with and the anchor's hash."""
     k = min(ANCHOR, window)
     h, _ = ngrams(w, k)
@@ -55,7 +55,7 @@ def _anchors(w: Words, window: int, common: np.ndarray) -> tuple[np.ndarray, np.
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
     whole = w.row[:n] == w.row[window - 1 :]
-    rank = (commonness(common, h).astype(U) << U(48)) | (h >> U(16))
+    rank = (common.of(h).astype(U) << U(48)) | (h >> U(16))
     low, at = rank[:n].copy(), np.zeros(n, np.int64)
     for i in range(1, window - k + 1):
         less = rank[i : i + n] < low

@@ -6,6 +6,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,39 @@ def test_ngram_join_with_one_hot_group(spark, monkeypatch):
     assert {r.component_id for r in got if r.n_links} == {0}
 
 
+def test_ngram_join_with_several_texts_of_one_id(spark):
+    rng = random.Random(13)
+    a, b, c = ([f"t{rng.randrange(10**6)}" for _ in range(80)] for _ in range(3))
+    near = lambda ws, i: " ".join([*ws[:-1], f"x{i}"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a, 7)), (8, near(b, 8)), (9, " ".join(c)), (3, " ".join(c)), (9, " ".join(c)), (11, near(c, 11)), (6, "alone " * 9), (9, near(a, 9))]
+    got = ngram_join.ngram_join(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i if i == 6 else 3) for i, _ in rows}
+    got = ngram_join.ngram_join(frame(spark, rows[:-1])).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (7, 5), (8, 5), (9, 3), (3, 3), (11, 3), (6, 6)}
+    assert {(r.doc_id, r.n_links) for r in got} == {(5, 1), (7, 1), (8, 1), (9, 2), (3, 2), (11, 2), (6, 0)}  # a repeated row is no other document
+
+
+def test_ngram_join_with_common_tokens(spark, monkeypatch):
+    """Tokens that count as common are dealt to parts: no link is lost."""
+    from framewell.llm import sketch
+
+    rows = corpus(7)
+    plain = {(r.doc_id, r.component_id, r.n_links) for r in ngram_join.ngram_join(frame(spark, rows)).collect()}
+    monkeypatch.setattr(sketch, "COMMON", 1)
+    assert {(r.doc_id, r.component_id, r.n_links) for r in ngram_join.ngram_join(frame(spark, rows), group=3).collect()} == plain
+
+
+def test_sketch_counts_scale():
+    from framewell.llm.sketch import SLOTS, Counts
+
+    counts = np.full(SLOTS, 5_000_000, np.int64)
+    counts[:10] = [2**40 + i for i in range(10)]
+    found = Counts(counts)
+    assert (found.common(np.arange(10, dtype=np.uint64)) > 2**39).all() and not found.common(np.arange(10, 100, dtype=np.uint64)).any()
+    assert (np.diff(Counts(np.arange(SLOTS)).of(np.arange(1000, dtype=np.uint64)).astype(int)) > 0).all()
+
+
 def test_decontaminate(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(5000)]
