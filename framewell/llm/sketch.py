@@ -34,14 +34,14 @@ class Sketch:
 
     def chunks(self) -> tuple[pa.Array, pa.Array, pa.Array]:
         m = SLOTS // CHUNK
-        parts = [c.tobytes() for c in self.counts.reshape(m, CHUNK)]
+        parts = [c.astype(np.uint32).tobytes() for c in self.counts.reshape(m, CHUNK)]  # a task has fewer than 2**32 words
         return pa.array(np.arange(m, dtype=np.int32)), pa.array(np.full(m, TaskContext.get().partitionId(), np.int32)), pa.array(parts, pa.binary())
 
 
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(CHUNK, np.int64)
     for x in pdf["counts"]:
-        total += np.frombuffer(x, np.int64)
+        total += np.frombuffer(x, np.uint32 if len(x) == 4 * CHUNK else np.int64)
     return pd.DataFrame({"chunk": pdf["chunk"][:1], "task": pdf["task"][:1] // FAN_IN, "counts": [total.tobytes()]})
 
 

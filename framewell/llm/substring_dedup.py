@@ -3,25 +3,23 @@
 A window is `window` consecutive words of one document. The operator removes each word covered by a
 window whose word sequence also starts in a document with a smaller doc_id.
 
-The suffixes kept are those at sampled positions: in each window the rarest run of ANCHOR words (by a
-count sketch over all documents, then by hash) is its anchor, so equal windows have equal anchors at
-equal offsets, and about a fifth of all positions are anchors; a common phrase anchors a window only where
-all of the window is common. A suffix starts at its anchor and carries the few words to its left
-that its windows still need. The steps:
-
-1. Anchors that start in one document only can't be part of a repeat. Each task keeps one document
-   for each anchor it meets and passes on what it already knows to repeat, so that an anchor that
-   everything shares is one row a task. A window over the rest finds the anchors of several documents.
-2. Suffixes are partitioned by variable-length prefixes: by the anchor's words, and where a task has
-   the same window in several documents, by all words of the window - there the task keeps the
-   window of the smallest doc_id, and the others are repeats for certain. A group is as large as the
-   number of tasks that meet its prefix, and groups are read in order of prefix, a memory-sized piece
-   at a time.
-3. In a group, the sorted suffixes, cut at window depth, are the subtree: neighbours that share all
-   words are below one internal node of that depth. Such a node is a repeat; of its documents the
-   smallest doc_id keeps the words.
-
-All comparisons of windows are of their words; hashes only choose partitions.
+Suffixes start at each word that starts a window, and are grouped by a prefix that equal windows share: in each
+window the rarest run of ANCHOR words (by a count sketch over all documents, then by hash) is its
+anchor, so equal windows have equal anchors at equal offsets, and about a fifth of all positions are anchors; a
+common phrase anchors a window only where all of the window is common. The steps:
+
+1. Prefixes are counted. Anchors that start in one document only can't be part of a repeat, and fall
+   out. An anchor that more than GROUP suffixes share, or that the sketch says is common, is too short a prefix for
+   a memory-sized group: its suffixes are told apart by longer ones, of all words of the window.
+2. Suffixes are partitioned by these variable-length prefixes. A task combines them first: of a window
+   that several of its documents hold, the smallest doc_id keeps the suffix, and the others are repeats for certain.
+   So an anchor's group has GROUP suffixes at most, and a window's group a row for each task that meets it, which
+   is read as a stream in order of doc_id and never held.
+3. In a group, the sorted suffixes and the words that neighbours have in common from their start are the
+   subtree. Its internal nodes of window depth or deeper are the repeats: of a node's documents the
+   smallest doc_id keeps the words. Places in a row below such nodes form the maximal repeats.
+
+Suffixes are compared word by word, by the words' 64-bit hashes; hashes of windows only choose partitions and order.
 """
 
 from __future__ import annotations
@@ -37,13 +35,13 @@ from pyspark.sql.window import Window
 
 from framewell.llm.common import table
 from framewell.llm.sketch import Counts, sketch
-from framewell.llm.words import U, Words, mix, ngrams, pieces, signed, words
+from framewell.llm.words import STEP, U, Words, mix, ngrams, pieces, signed, words
 
 #: Words of an anchor.
 ANCHOR = 5
 #: Text bytes whose suffixes one task combines before it sends them on.
 COMBINE = 8 << 20
-#: Suffixes of a memory-sized piece of a partition.
+#: Suffixes of a memory-sized group.
 GROUP = 20_000
 
 
@@ -66,16 +64,28 @@ def _anchors(w: Words, window: int, common: Counts) -> tuple[np.ndarray, np.ndar
     return start, at, h[at]
 
 
-def _runs(places: list[int]) -> list[int]:
-    """Places as runs in order: first, after the last, first, after the last, ..."""
-    x = sorted(set(places))
-    out, before = [x[0]], x[0]
-    for p in x[1:]:
-        if p != before + 1:
-            out += (before + 1, p)
-        before = p
-    out.append(before + 1)
-    return out
+def _run_lists(of: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For places sorted by `of` and place: where each value of `of` starts, and its places as runs: first, after the last, first, after the last, ..."""
+    if not len(of):
+        return np.zeros(0, np.int64), pa.array([], pa.list_(pa.int32()))
+    new = np.ones(len(of), bool)
+    new[1:] = of[1:] != of[:-1]
+    begins = new.copy()
+    begins[1:] |= places[1:] > places[:-1] + 1
+    first = np.flatnonzero(begins)
+    stop = places[np.append(first[1:], len(of)) - 1] + 1
+    heads = np.flatnonzero(new)
+    offsets = 2 * np.append(np.searchsorted(first, heads), len(first))
+    return heads, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.stack([places[first], stop], 1).ravel(), pa.int32()))
+
+
+def _expanded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of all places in lists of runs."""
+    runs = lists.flatten().to_numpy().astype(np.int64).reshape(-1, 2)
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()) // 2)
+    size = runs[:, 1] - runs[:, 0]
+    before = np.cumsum(size) - size
+    return np.repeat(owner, size), np.repeat(runs[:, 0] - before, size) + np.arange(size.sum())
 
 
 def _phrases(window: int):
@@ -87,37 +97,30 @@ def _phrases(window: int):
     return run
 
 
-def _distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((row, h))
-    row, h = row[order], h[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-    return row[new], h[new]
-
-
 def _occurrences(window: int, sketch_):
-    """(key, anchor, doc_id, known): known rows repeat for certain, of the others one for each anchor in COMBINE bytes."""
+    """(key, anchor, doc_id, common, uses): how many windows of a document an anchor has in COMBINE bytes of text. key is the anchor, or for a common one a mix of both."""
 
     def flush(ids: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
-        d, h = _distinct(np.concatenate(ids), np.concatenate(hashes))
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        size = np.diff(np.append(np.flatnonzero(first), len(h)))
-        known = np.repeat(size > 1, size)
+        d, h = np.concatenate(ids), np.concatenate(hashes)
+        order = np.lexsort((d, h))
+        d, h = d[order], h[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        first = np.flatnonzero(new)
+        uses = np.diff(np.append(first, len(d)))
+        d, h = d[first], h[first]
+        common = sketch_.value.common(h) > 0
         with np.errstate(over="ignore"):
-            spread = mix(h ^ mix(d.view(U)))
-        key = np.concatenate([h[first], spread[known]])
-        flag = np.concatenate([np.zeros(first.sum(), bool), np.ones(known.sum(), bool)])
-        return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(np.concatenate([h[first], h[known]]))), pa.array(np.concatenate([d[first], d[known]])), pa.array(flag)], names=["key", "anchor", "doc_id", "known"])
+            key = np.where(common, mix(h ^ mix(d.view(U))), h)
+        return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(h)), pa.array(d), pa.array(common), pa.array(uses)], names=["key", "anchor", "doc_id", "common", "uses"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hashes, held = [], [], 0
         for batch in batches:
             for piece in pieces(batch, "text"):
                 w = words(piece.column(1))
-                _, at, h = _anchors(w, window, sketch_.value)
-                row, h = _distinct(w.row[at], h)
-                ids.append(piece.column(0).to_numpy()[row])
+                start, _, h = _anchors(w, window, sketch_.value)
+                ids.append(piece.column(0).to_numpy()[w.row[start]])
                 hashes.append(h)
                 held += len(w.data)
                 if held >= COMBINE:
@@ -129,60 +132,121 @@ def _occurrences(window: int, sketch_):
     return run
 
 
+SUFFIX = "key long, doc_id long, text long, at long, words binary, starts array<int>, kind int"
+#: Kinds of rows: suffixes of a short prefix, of one of all words of the window, and places that repeat for certain.
+SHORT, LONG, KNOWN = 0, 1, 2
+
+
+class _Texts:
+    """Words of several pieces, and the windows of interest in them."""
+
+    def __init__(self) -> None:
+        self.words: list[Words] = []
+        self.windows: list[tuple[np.ndarray, ...]] = []  # (word it starts with, doc_id, hash of its text, place, offset and hash of its anchor, hot)
+        self.n_words = self.n_bytes = 0
+
+    def add(self, w: Words, start: np.ndarray, doc: np.ndarray, text: np.ndarray, offset: np.ndarray, anchor: np.ndarray, hot: np.ndarray) -> None:
+        self.windows.append((start + self.n_words, doc, text, start - w.first[w.row[start]], offset, anchor, hot))
+        self.words.append(w)
+        self.n_words += len(w.hash)
+        self.n_bytes += len(w.data)
+
+    def all(self) -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate(x) for x in zip(*self.windows, strict=True))
+
+    def hashes(self) -> np.ndarray:
+        return np.concatenate([w.hash for w in self.words])
+
+    def slices(self, first: np.ndarray, stop: np.ndarray) -> list[bytes]:
+        """Words first up to stop, with one space between."""
+        base = np.cumsum([0, *(len(w.data) for w in self.words)])
+        start = np.concatenate([w.start + b for w, b in zip(self.words, base, strict=False)])
+        end = np.concatenate([w.end + b for w, b in zip(self.words, base, strict=False)])
+        data = np.concatenate([w.data for w in self.words])
+        odd = np.zeros(len(start) + 1, np.int64)  # gaps before a word that aren't one space
+        odd[1:-1] = np.cumsum((start[1:] != end[:-1] + 1) | (data[np.minimum(end[:-1], len(data) - 1)] != 32))
+        plain, raw = (odd[stop - 1] == odd[first]).tolist(), data.tobytes()
+        return [raw[i:j] if one else b" ".join(raw[i:j].split()) for i, j, one in zip(start[first].tolist(), end[stop - 1].tolist(), plain, strict=True)]
+
+
+def _row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of pairs of integers."""
+    with np.errstate(over="ignore"):
+        return signed(mix(mix(a.view(U)) + b.view(U)))
+
+
+def _suffix_rows(key: np.ndarray, doc: np.ndarray, text: np.ndarray, at: np.ndarray, body: pa.Array, starts: pa.Array, kind: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(text), pa.array(at), body, starts, pa.array(np.full(len(key), kind, np.int32))], names=[c.split()[0] for c in SUFFIX.split(", ")])
+
+
+def _combined(texts: _Texts, window: int) -> Iterator[pa.RecordBatch]:
+    """Rows of SUFFIX. SHORT and LONG: windows start at the offsets in the runs `starts` of `words`, which start at word `at` of the document; with at -1 `words` is one window, and `starts` are all its places in the document. KNOWN: runs of places where windows repeat."""
+    hashes = texts.hashes()
+    word, doc, text, place, offset, anchor, hot = texts.all()
+    with np.errstate(over="ignore"):
+        whole = np.zeros(len(word), U)
+        for k in range(window):
+            whole = whole * STEP + hashes[word + k]
+        whole = mix(whole)
+    order = np.lexsort((place, doc, whole))
+    word, doc, text, place, offset, anchor, hot, whole = (x[order] for x in (word, doc, text, place, offset, anchor, hot, whole))
+    row = _row(doc, text)
+    new = np.ones(len(word), bool)
+    new[1:] = whole[1:] != whole[:-1]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(word)), 0))
+    rest = np.flatnonzero(~new)
+    equal = np.ones(len(rest), bool)
+    for k in range(window):
+        equal &= hashes[word[rest] + k] == hashes[word[head[rest]] + k]
+    new[rest[~equal]] = True  # other words with the same hash
+    head[rest[~equal]] = rest[~equal]
+    own = doc == doc[head]
+    several = np.bincount(head[own], minlength=len(head))[head] > 1
+    one = np.flatnonzero(own & ~several & ~hot)
+    one = one[np.lexsort((place[one], (place + offset)[one], row[one]))]
+    if len(one):
+        # the windows of one place of an anchor overlap: they share a row
+        body = np.ones(len(one), bool)
+        body[1:] = (row[one][1:] != row[one][:-1]) | ((place + offset)[one][1:] != (place + offset)[one][:-1])
+        first = one[body]
+        last = one[np.append(np.flatnonzero(body)[1:], len(one)) - 1]
+        nth = np.cumsum(body) - 1
+        _, starts = _run_lists(nth, place[one] - place[first][nth])
+        yield _suffix_rows(anchor[first], doc[first], text[first], place[first], pa.array(texts.slices(word[first], word[last] + window), pa.binary()), starts, SHORT)
+    for kind in (SHORT, LONG):
+        some = np.flatnonzero(own & (hot if kind == LONG else several & ~hot))
+        some = some[np.lexsort((place[some], row[some], head[some]))]
+        if len(some):
+            heads, starts = _run_lists(_row(head[some], row[some]), place[some])
+            first = some[heads]
+            key = signed(whole[first]) if kind == LONG else anchor[first]
+            yield _suffix_rows(key, doc[first], text[first], np.full(len(first), -1), pa.array(texts.slices(word[first], word[first] + window), pa.binary()), starts, kind)
+    known = np.flatnonzero(~own)
+    known = known[np.lexsort((place[known], row[known]))]
+    if len(known):
+        heads, starts = _run_lists(row[known], place[known])
+        of = known[heads]
+        yield _suffix_rows(row[of], doc[of], text[of], np.zeros(len(of), np.int64), pa.nulls(len(of), pa.binary()), starts, KNOWN)
+
+
 def _suffixes(window: int, sketch_):
-    """(key, doc_id, at, words, starts, known). Not known: a suffix, whose windows start at the offsets in the runs `starts` of `words`, which start at word `at` of the document; with at -1 `words` is one window, and `starts` are all its places in the document. Known: runs of positions where windows repeat."""
-
-    def flush(first: dict, repeats: dict) -> pa.RecordBatch:
-        places: dict = {}
-        rows = []
-        for text, (doc, starts, anchor, offset) in first.items():
-            if len(starts) > 1:
-                rows.append((anchor, doc, -1, text, _runs(starts), False))
-            else:
-                places.setdefault((anchor, doc, starts[0] + offset), []).append((starts[0], text))
-        for (anchor, doc, _), windows in places.items():
-            windows.sort()
-            at = windows[0][0]
-            body = windows[0][1].split(b" ")
-            for s, text in windows[1:]:  # windows of one anchor overlap
-                new = s + window - at - len(body)
-                body += text.rsplit(b" ", new)[-new:]
-            rows.append((anchor, doc, at, b" ".join(body), _runs([s - at for s, _ in windows]), False))
-        for doc, starts in repeats.items():
-            rows.append((int(signed(mix(np.array([doc], np.int64).view(U)))[0]), doc, 0, None, _runs(starts), True))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["key", "doc_id", "at", "words", "starts", "known"])
+    """Rows of SUFFIX from (doc_id, text, its hash, anchors, hot anchors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, repeats, size = {}, {}, 0
+        texts = _Texts()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 w = words(piece.column(1))
                 start, at, h = _anchors(w, window, sketch_.value)
-                keep = _listed(w.row[start], signed(h), piece.column(2))
+                keep = _listed(w.row[start], signed(h), piece.column(3))
                 start, at, h = start[keep], at[keep], signed(h[keep])
-                data, ids = w.data.tobytes(), piece.column(0).to_pylist()
-                odd = np.zeros(len(w.hash) + 1, np.int64)  # gaps before a word that aren't one space
-                odd[1:-1] = np.cumsum((w.start[1:] != w.end[:-1] + 1) | (w.data[np.minimum(w.end[:-1], len(w.data) - 1)] != 32))
-                plain = odd[start + window - 1] == odd[start]
-                for s, a, anchor, row, one, i, j in zip(start.tolist(), at.tolist(), h.tolist(), w.row[start].tolist(), plain.tolist(), w.start[start].tolist(), w.end[start + window - 1].tolist(), strict=True):
-                    text = data[i:j] if one else b" ".join(data[i:j].split())
-                    doc, pos = ids[row], s - int(w.first[row])
-                    if (old := first.get(text)) is None:
-                        first[text] = (doc, [pos], anchor, a - s)
-                    elif old[0] == doc:
-                        old[1].append(pos)
-                    elif old[0] < doc:
-                        repeats.setdefault(doc, []).append(pos)
-                    else:
-                        repeats.setdefault(old[0], []).extend(old[1])
-                        first[text] = (doc, [pos], anchor, a - s)
-                size += len(data)
-                if size >= COMBINE:
-                    yield flush(first, repeats)
-                    first, repeats, size = {}, {}, 0
-        if size:
-            yield flush(first, repeats)
+                row = w.row[start]
+                texts.add(w, start, piece.column(0).to_numpy()[row], piece.column(2).to_numpy()[row], at - start, h, _listed(row, h, piece.column(4)))
+                if texts.n_bytes >= COMBINE:
+                    yield from _combined(texts, window)
+                    texts = _Texts()
+        if texts.n_bytes:
+            yield from _combined(texts, window)
 
     return run
 
@@ -199,51 +263,92 @@ def _listed(row: np.ndarray, anchor: np.ndarray, lists: pa.Array) -> np.ndarray:
     return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
 
 
+def _matrix(text: pa.Array, window: int, row: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """The word hashes of the windows at word `offset` of each row's text."""
+    w = words(text.cast(pa.string()))
+    return w.hash[(w.first[row] + offset)[:, None] + np.arange(window)]
+
+
+def subtree(suffixes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which suffixes, as rows of words, have an equal one in a smaller doc: suffixes are sorted, and each run of neighbours with all words in common is an internal node of full depth."""
+    order = np.lexsort(suffixes.T[::-1])
+    ranked, docs = suffixes[order], doc[order]
+    equal = ranked[1:] == ranked[:-1]
+    common = np.where(equal.all(1), suffixes.shape[1], equal.argmin(1))  # words from the start that neighbours share
+    node = np.flatnonzero(np.append(True, common < suffixes.shape[1]))
+    least = np.repeat(np.minimum.reduceat(docs, node), np.diff(np.append(node, len(docs))))
+    found = np.zeros(len(doc), bool)
+    found[order] = docs > least
+    return found
+
+
+def _marks(doc: np.ndarray, text: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    row = _row(doc, text)
+    order = np.lexsort((place, row))
+    heads, starts = _run_lists(row[order], place[order])
+    return pa.RecordBatch.from_arrays([pa.array(doc[order][heads]), pa.array(text[order][heads]), starts], names=["doc_id", "digest", "starts"])
+
+
 def _trees(window: int):
-    """(doc_id, starts): runs of places where windows start that a smaller doc_id has too. Rows come in order of key."""
-
-    def repeats(rows: list[tuple]) -> pa.RecordBatch:
-        # a suffix for each window, sorted; neighbours that share all words are below one internal node
-        suffixes = []  # (window, doc_id, place), or in place of it -1 - the row with the places
-        for i, (doc, at, body, starts) in enumerate(rows):
-            if at < 0:
-                suffixes.append((body, doc, -1 - i))
-                continue
-            parts = body.split(b" ")
-            for first, stop in zip(starts[::2], starts[1::2], strict=True):
-                suffixes += [(b" ".join(parts[s : s + window]), doc, at + s) for s in range(first, stop)]
-        suffixes.sort()
-        found: dict[int, list[int]] = {}
-        runs: dict[int, list[int]] = {}
-        node, low = None, None
-        for text, doc, start in suffixes:
-            if text != node:
-                node, low = text, doc
-            elif doc != low:
-                if start < 0:
-                    runs.setdefault(doc, []).extend(rows[-1 - start][3])
-                else:
-                    found.setdefault(doc, []).append(start)
-        for doc, places in found.items():
-            runs.setdefault(doc, []).extend(_runs(places))
-        return pa.RecordBatch.from_arrays([pa.array(list(runs), pa.int64()), pa.array(list(runs.values()), pa.list_(pa.int32()))], names=["doc_id", "starts"])
+    """(doc_id, digest, starts): runs of places where windows start that a smaller doc_id has too. Rows come in order of key and doc_id."""
+
+    def of_group(rows: pa.RecordBatch) -> pa.RecordBatch:
+        doc, text, at, starts = rows.column(1).to_numpy(), rows.column(2).to_numpy(), rows.column(3).to_numpy(), rows.column(5)
+        row, place = _expanded(starts)
+        several = at[row] < 0
+        once = np.flatnonzero(at < 0)  # one window, whatever the number of its places
+        of = np.concatenate([row[~several], once])
+        offset = np.concatenate([place[~several], np.zeros(len(once), np.int64)])
+        found = subtree(_matrix(rows.column(4), window, of, offset), doc[of])
+        n = int((~several).sum())
+        marked = np.zeros(len(doc), bool)
+        marked[once[found[n:]]] = True
+        hit = several & marked[row]
+        single = found[:n]
+        row = np.concatenate([row[hit], of[:n][single]])
+        return _marks(doc[row], text[row], np.concatenate([place[hit], (at[of] + offset)[:n][single]]))
+
+    class Stream:
+        """Windows with a prefix of all their words: the first row of a key has the smallest doc_id."""
+
+        def __init__(self) -> None:
+            self.key, self.owners = None, {}
+
+        def marks(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+            key, doc = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            suffix = _matrix(rows.column(4), window, np.arange(len(key)), np.zeros(len(key), np.int64))
+            later = np.zeros(len(key), bool)
+            for i, (k, d) in enumerate(zip(key.tolist(), doc.tolist(), strict=True)):
+                if k != self.key:
+                    self.key, self.owners = k, {}
+                later[i] = self.owners.setdefault(suffix[i].tobytes(), d) < d
+            row, place = _expanded(rows.column(5))
+            row, place = row[later[row]], place[later[row]]
+            return _marks(doc[row], rows.column(2).to_numpy()[row], place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, last = [], None
-        for b in batches:
-            known = b.column(5).to_numpy(zero_copy_only=False)
-            if known.any():
-                mark = b.filter(pa.array(known))
-                yield pa.RecordBatch.from_arrays([mark.column(1), mark.column(4)], names=["doc_id", "starts"])
-            rest = b.filter(pa.array(~known))
-            for key, *row in zip(*(rest.column(i).to_pylist() for i in range(5)), strict=True):
-                if key != last and len(group) >= GROUP:
-                    yield repeats(group)
-                    group = []
-                group.append(row)
-                last = key
-        if group:
-            yield repeats(group)
+        held, stream = [], Stream()
+        for batch in batches:
+            kind = batch.column(6).to_numpy()
+            for which in (KNOWN, LONG, SHORT):
+                rows = batch if (kind == which).all() else batch.filter(pa.array(kind == which))
+                if not len(rows):
+                    continue
+                if which == KNOWN:
+                    yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), rows.column(5)], names=["doc_id", "digest", "starts"])
+                elif which == LONG:
+                    yield stream.marks(rows)
+                else:
+                    held.append(rows)
+                    if sum(map(len, held)) >= GROUP:
+                        group = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                        key = group.column(0).to_numpy()
+                        whole = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+                        if whole:
+                            yield of_group(group.slice(0, whole))
+                        held = [group.slice(whole)]
+        if sum(map(len, held)):
+            yield of_group(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     return run
 
@@ -277,23 +382,26 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     Words are maximal runs of other characters than space and \\t-\\r, compared unchanged. Windows are
     judged on the input, not on what is left of it. A null, empty or blank text has no words; a text
     of fewer than `window` words keeps all. Repeats inside one document stay. Rows with a null
-    doc_id are left out, since they can't be ordered; identical rows that repeat a doc_id come back
-    as often and count as one document. Extra columns are ignored; an empty table gives an empty
+    doc_id are left out, since they can't be ordered; rows that repeat a doc_id come back as often and count
+    as one document, each with its own text. Extra columns are ignored; an empty table gives an empty
     result.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     common = spark.sparkContext.broadcast(sketch(docs.select("text"), _phrases(window)))
-    found = docs.mapInArrow(_occurrences(window, common), "key long, anchor long, doc_id long, known boolean")
-    same = Window.partitionBy("known", "key")
-    found = found.withColumn("low", F.min("doc_id").over(same)).withColumn("high", F.max("doc_id").over(same)).where("known or low < high")
-    lists = found.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    found = docs.mapInArrow(_occurrences(window, common), "key long, anchor long, doc_id long, common boolean, uses long")
+    same = Window.partitionBy("key")
+    found = found.withColumn("low", F.min("doc_id").over(same)).withColumn("high", F.max("doc_id").over(same)).withColumn("uses", F.sum("uses").over(same)).where("common or low < high")
+    lists = found.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("common") | (F.col("uses") > GROUP), F.col("anchor"))).alias("hot"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.repartition(n, "doc_id")
-    suffixes = dealt.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_suffixes(window, common), "key long, doc_id long, at long, words binary, starts array<int>, known boolean")
-    marks = suffixes.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_trees(window), "doc_id long, starts array<int>")
-    marks = marks.groupBy("doc_id").agg(F.collect_list("starts").alias("lists"))
-    return dealt.join(marks, "doc_id", "left").select("doc_id", "text", "lists").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    digest = F.xxhash64("text").alias("digest")
+    suffixes = dealt.join(lists, "doc_id").select("doc_id", "text", digest, "anchors", "hot").mapInArrow(_suffixes(window, common), SUFFIX)
+    marks = suffixes.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_trees(window), "doc_id long, digest long, starts array<int>")
+    # dealt by doc_id as the texts are; texts that differ under one doc_id have marks of their own
+    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "starts")).alias("lists"))
+    own = F.transform(F.filter("lists", lambda x: x["digest"] == F.xxhash64("text")), lambda x: x["starts"])
+    return dealt.join(marks, "doc_id", "left").select("doc_id", "text", own.alias("lists")).mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

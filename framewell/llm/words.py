@@ -17,7 +17,7 @@ U = np.uint64
 #: Text bytes worked on at once; a longer text stands alone.
 PIECE = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
-_STEP = U(0xD6E8FEB86659FD93)
+STEP = U(0xD6E8FEB86659FD93)
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -104,7 +104,7 @@ def ngrams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         h = np.zeros(n, U)
         for i in range(k):
-            h = h * _STEP + w.hash[i : i + n]
+            h = h * STEP + w.hash[i : i + n]
         return mix(h), w.row[:n] == w.row[k - 1 :]
 
 
@@ -118,7 +118,7 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
             if len(r := np.flatnonzero(counts == m)):
                 at, x = w.first[r], np.full(len(r), m, U)
                 for i in range(m):
-                    x = x * _STEP + w.hash[at + i]
+                    x = x * STEP + w.hash[at + i]
                 rows.append(r)
                 hashes.append(mix(x))
     row, hash_ = np.concatenate(rows), np.concatenate(hashes)

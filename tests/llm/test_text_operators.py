@@ -58,26 +58,67 @@ def shingles(text, k=5):
     return {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if len(ws) >= k else ({tuple(ws)} if ws else set())
 
 
-def test_substring_dedup(spark):
-    rows = corpus()
+def deduplicated(rows):
+    """(words, words removed, digest of the rest) of each row."""
     first = {}
     for i, t in rows:
         ws = words(t)
         for p in range(len(ws) - 12):
             w = tuple(ws[p : p + 13])
             first[w] = min(first.get(w, i), i)
-    want = {}
+    out = []
     for i, t in rows:
         ws, gone = words(t), set()
         for p in range(len(ws) - 12):
             if first[tuple(ws[p : p + 13])] < i:
                 gone.update(range(p, p + 13))
-        kept = " ".join(w for p, w in enumerate(ws) if p not in gone)
-        want[i] = (len(ws), len(gone), hashlib.sha256(kept.encode()).hexdigest())
-    got = substring_dedup.substring_dedup(frame(spark, rows)).collect()
-    assert len(got) == len(rows)
-    assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got} == want
-    assert any(v[1] for v in want.values())
+        out.append((i, len(ws), len(gone), hashlib.sha256(" ".join(w for p, w in enumerate(ws) if p not in gone).encode()).hexdigest()))
+    return sorted(out)
+
+
+def digests(df):
+    return sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in df.collect())
+
+
+def test_substring_dedup(spark):
+    rows = corpus()
+    want = deduplicated(rows)
+    assert digests(substring_dedup.substring_dedup(frame(spark, rows))) == want
+    assert any(v[2] for v in want)
+
+
+def test_substring_dedup_with_several_texts_of_one_id(spark):
+    rng = random.Random(21)
+    a, b = (" ".join(f"q{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (4, a + " tail"), (4, "x " * 40 + b), (4, "x " * 40 + b), (2, b), (4, None), (3, "x " * 40)]
+    assert digests(substring_dedup.substring_dedup(frame(spark, rows))) == deduplicated(rows)
+
+
+@pytest.mark.parametrize(("group", "common"), [(10, 1 << 12), (20_000, 1), (3, 2)])
+def test_prefixes_over_the_bound_are_lengthened(spark, monkeypatch, group, common):
+    """A phrase that many documents share: its suffixes go by all their words, and none is lost."""
+    from framewell.llm import sketch
+
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    monkeypatch.setattr(substring_dedup, "COMBINE", 4000)
+    monkeypatch.setattr(sketch, "COMMON", common)
+    rng = random.Random(22)
+    phrase = "the one common phrase that all the documents of this small table hold in them".split()
+    rows = corpus(3)
+    for i in range(60):
+        ws = [f"z{rng.randrange(40)}" for _ in range(30)]
+        ws[rng.randrange(30) : 0] = phrase
+        rows.append((1000 + i, " ".join(ws * 2)))
+    assert digests(substring_dedup.substring_dedup(frame(spark, rows).repartition(5))) == deduplicated(rows)
+
+
+def test_subtree_against_all_pairs():
+    rng = np.random.default_rng(5)
+    suffixes, doc = rng.integers(0, 2, (400, 5)).astype(np.uint64), rng.integers(0, 30, 400)
+    least = {}
+    for x, d in zip(map(tuple, suffixes.tolist()), doc.tolist(), strict=True):
+        least[x] = min(d, least.get(x, d))
+    assert substring_dedup.subtree(suffixes, doc).tolist() == [d > least[tuple(x)] for x, d in zip(suffixes.tolist(), doc.tolist(), strict=True)]
 
 
 def test_substring_dedup_over_pieces(spark, monkeypatch):
