@@ -189,8 +189,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, group: int = GROU
 
     # tokens of several classes; a common one is kept as it is, in PARTS parts
     tokens = docs.mapInArrow(_tokens(k, percent, sketch), "token long, fp long, fp2 long, n long, common long")
-    of_token = Window.partitionBy("token", F.when(F.col("common") > 0, F.pmod("fp", F.lit(PARTS))))
-    shared = tokens.withColumn("low", F.min("fp").over(of_token)).withColumn("high", F.max("fp").over(of_token)).withColumn("sharing", F.count("*").over(of_token)).where("low < high or common > 0")
+    of_token = Window.partitionBy("token", "part")
+    shared = tokens.withColumn("part", F.when(F.col("common") > 0, F.pmod("fp", F.lit(PARTS)))).withColumn("low", F.min("fp").over(of_token)).withColumn("high", F.max("fp").over(of_token)).withColumn("sharing", F.count("*").over(of_token)).where("low < high or common > 0")
     shared = written(shared.select("token", *key, "n", F.greatest("sharing", "common").alias("sharing")).distinct(), "shared-tokens")
 
     # groups: classes of about one size with the same most shared token, split into about equal parts
