@@ -19,7 +19,7 @@ CHUNK = 1 << 14
 #: Partial sketches that one task adds up.
 FAN_IN = 64
 #: Counts above twice the mean by this many are common.
-COMMON = 1 << 12
+COMMON = 1 << 16
 SCHEMA = "chunk int, task int, counts binary"
 
 

@@ -43,6 +43,10 @@ ANCHOR = 5
 COMBINE = 8 << 20
 #: Suffixes of a memory-sized group.
 GROUP = 20_000
+#: Places that a task gathers before it sends them on.
+MARKS = 1 << 20
+#: Parts that the documents of a common anchor are dealt to while anchors are counted.
+PARTS = 64
 
 
 def _anchors(w: Words, window: int, common: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +102,7 @@ def _phrases(window: int):
 
 
 def _occurrences(window: int, sketch_):
-    """(key, anchor, doc_id, common, uses): how many windows of a document an anchor has in COMBINE bytes of text. key is the anchor, or for a common one a mix of both."""
+    """(anchor, part, doc_id, uses): how many windows of a document an anchor has in COMBINE bytes of text. part is null, or for a common anchor the part of PARTS that its documents are dealt to."""
 
     def flush(ids: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
         d, h = np.concatenate(ids), np.concatenate(hashes)
@@ -109,10 +113,8 @@ def _occurrences(window: int, sketch_):
         first = np.flatnonzero(new)
         uses = np.diff(np.append(first, len(d)))
         d, h = d[first], h[first]
-        common = sketch_.value.common(h) > 0
-        with np.errstate(over="ignore"):
-            key = np.where(common, mix(h ^ mix(d.view(U))), h)
-        return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(h)), pa.array(d), pa.array(common), pa.array(uses)], names=["key", "anchor", "doc_id", "common", "uses"])
+        part = pa.array((d % PARTS).astype(np.int32), mask=sketch_.value.common(h) == 0)
+        return pa.RecordBatch.from_arrays([pa.array(signed(h)), part, pa.array(d), pa.array(uses.astype(np.int32))], names=["anchor", "part", "doc_id", "uses"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hashes, held = [], [], 0
@@ -132,7 +134,7 @@ def _occurrences(window: int, sketch_):
     return run
 
 
-SUFFIX = "key long, doc_id long, text long, at long, words binary, starts array<int>, kind int"
+SUFFIX = "key long, doc_id long, text int, at long, words binary, starts array<int>, kind int"
 #: Kinds of rows: suffixes of a short prefix, of one of all words of the window, and places that repeat for certain.
 SHORT, LONG, KNOWN = 0, 1, 2
 
@@ -172,7 +174,7 @@ class _Texts:
 def _row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of pairs of integers."""
     with np.errstate(over="ignore"):
-        return signed(mix(mix(a.view(U)) + b.view(U)))
+        return signed(mix(mix(a.astype(np.int64).view(U)) + b.astype(np.int64).view(U)))
 
 
 def _suffix_rows(key: np.ndarray, doc: np.ndarray, text: np.ndarray, at: np.ndarray, body: pa.Array, starts: pa.Array, kind: int) -> pa.RecordBatch:
@@ -282,17 +284,32 @@ def subtree(suffixes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return found
 
 
-def _marks(doc: np.ndarray, text: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    row = _row(doc, text)
-    order = np.lexsort((place, row))
-    heads, starts = _run_lists(row[order], place[order])
-    return pa.RecordBatch.from_arrays([pa.array(doc[order][heads]), pa.array(text[order][heads]), starts], names=["doc_id", "digest", "starts"])
+class _Marks:
+    """Places of a task, gathered to a row for each text."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, doc: np.ndarray, text: np.ndarray, place: np.ndarray) -> None:
+        self.parts.append((doc, text, place))
+        self.held += len(doc)
+
+    def rows(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if self.held < least:
+            return
+        doc, text, place = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        row = _row(doc, text)
+        order = np.lexsort((place, row))
+        heads, starts = _run_lists(row[order], place[order])
+        self.parts, self.held = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(doc[order][heads]), pa.array(text[order][heads]), starts], names=["doc_id", "digest", "starts"])
 
 
 def _trees(window: int):
     """(doc_id, digest, starts): runs of places where windows start that a smaller doc_id has too. Rows come in order of key and doc_id."""
 
-    def of_group(rows: pa.RecordBatch) -> pa.RecordBatch:
+    def of_group(rows: pa.RecordBatch, marks: _Marks) -> None:
         doc, text, at, starts = rows.column(1).to_numpy(), rows.column(2).to_numpy(), rows.column(3).to_numpy(), rows.column(5)
         row, place = _expanded(starts)
         several = at[row] < 0
@@ -306,7 +323,7 @@ def _trees(window: int):
         hit = several & marked[row]
         single = found[:n]
         row = np.concatenate([row[hit], of[:n][single]])
-        return _marks(doc[row], text[row], np.concatenate([place[hit], (at[of] + offset)[:n][single]]))
+        marks.add(doc[row], text[row], np.concatenate([place[hit], (at[of] + offset)[:n][single]]))
 
     class Stream:
         """Windows with a prefix of all their words: the first row of a key has the smallest doc_id."""
@@ -314,7 +331,7 @@ def _trees(window: int):
         def __init__(self) -> None:
             self.key, self.owners = None, {}
 
-        def marks(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        def read(self, rows: pa.RecordBatch, marks: _Marks) -> None:
             key, doc = rows.column(0).to_numpy(), rows.column(1).to_numpy()
             suffix = _matrix(rows.column(4), window, np.arange(len(key)), np.zeros(len(key), np.int64))
             later = np.zeros(len(key), bool)
@@ -324,10 +341,10 @@ def _trees(window: int):
                 later[i] = self.owners.setdefault(suffix[i].tobytes(), d) < d
             row, place = _expanded(rows.column(5))
             row, place = row[later[row]], place[later[row]]
-            return _marks(doc[row], rows.column(2).to_numpy()[row], place)
+            marks.add(doc[row], rows.column(2).to_numpy()[row], place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, stream = [], Stream()
+        held, stream, marks = [], Stream(), _Marks()
         for batch in batches:
             kind = batch.column(6).to_numpy()
             for which in (KNOWN, LONG, SHORT):
@@ -335,9 +352,10 @@ def _trees(window: int):
                 if not len(rows):
                     continue
                 if which == KNOWN:
-                    yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), rows.column(5)], names=["doc_id", "digest", "starts"])
+                    row, place = _expanded(rows.column(5))
+                    marks.add(rows.column(1).to_numpy()[row], rows.column(2).to_numpy()[row], place)
                 elif which == LONG:
-                    yield stream.marks(rows)
+                    stream.read(rows, marks)
                 else:
                     held.append(rows)
                     if sum(map(len, held)) >= GROUP:
@@ -345,10 +363,12 @@ def _trees(window: int):
                         key = group.column(0).to_numpy()
                         whole = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
                         if whole:
-                            yield of_group(group.slice(0, whole))
+                            of_group(group.slice(0, whole), marks)
                         held = [group.slice(whole)]
+            yield from marks.rows(MARKS)
         if sum(map(len, held)):
-            yield of_group(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            of_group(pa.Table.from_batches(held).combine_chunks().to_batches()[0], marks)
+        yield from marks.rows()
 
     return run
 
@@ -389,18 +409,18 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     common = spark.sparkContext.broadcast(sketch(docs.select("text"), _phrases(window)))
-    found = docs.mapInArrow(_occurrences(window, common), "key long, anchor long, doc_id long, common boolean, uses long")
-    same = Window.partitionBy("key")
-    found = found.withColumn("low", F.min("doc_id").over(same)).withColumn("high", F.max("doc_id").over(same)).withColumn("uses", F.sum("uses").over(same)).where("common or low < high")
-    lists = found.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("common") | (F.col("uses") > GROUP), F.col("anchor"))).alias("hot"))
+    found = docs.mapInArrow(_occurrences(window, common), "anchor long, part int, doc_id long, uses int")
+    same = Window.partitionBy("anchor", "part")
+    found = found.withColumn("low", F.min("doc_id").over(same)).withColumn("high", F.max("doc_id").over(same)).withColumn("uses", F.sum("uses").over(same)).where("part is not null or low < high")
+    lists = found.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("part").isNotNull() | (F.col("uses") > GROUP), F.col("anchor"))).alias("hot"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.repartition(n, "doc_id")
-    digest = F.xxhash64("text").alias("digest")
+    digest = F.hash("text").alias("digest")
     suffixes = dealt.join(lists, "doc_id").select("doc_id", "text", digest, "anchors", "hot").mapInArrow(_suffixes(window, common), SUFFIX)
-    marks = suffixes.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_trees(window), "doc_id long, digest long, starts array<int>")
+    marks = suffixes.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_trees(window), "doc_id long, digest int, starts array<int>")
     # dealt by doc_id as the texts are; texts that differ under one doc_id have marks of their own
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "starts")).alias("lists"))
-    own = F.transform(F.filter("lists", lambda x: x["digest"] == F.xxhash64("text")), lambda x: x["starts"])
+    own = F.transform(F.filter("lists", lambda x: x["digest"] == F.hash("text")), lambda x: x["starts"])
     return dealt.join(marks, "doc_id", "left").select("doc_id", "text", own.alias("lists")).mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
