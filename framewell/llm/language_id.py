@@ -15,7 +15,7 @@ than CLEAN of the rightly identified training texts would fall below it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewell.llm.common import table
+from framewell.llm.common import table, written
 from framewell.llm.words import pieces, text_bytes
 
-#: Hashed n-grams: with LANGUAGES languages, the counts at the driver are 32 MB at most.
+#: Hashed n-grams.
 DIMS = 1 << 14
-LANGUAGES = 256
 NGRAMS = 3
-#: Bits of a code for many languages; for few, all ways to part them.
+#: Bits of a code for more than five languages, and 16 for each binary digit of their number beyond 64; for few, all ways to part them.
 BITS = 32
 #: Gaps below this are ambiguous: the second language has over a third of the text.
 AMBIGUOUS = 0.30
@@ -48,10 +47,13 @@ def codewords(languages: int) -> np.ndarray:
     if languages <= 5:
         parts = np.arange(1, 1 << (languages - 1))
         return np.array([[1 if p >> i & 1 else -1 for p in parts] for i in range(languages)])
+    bits = BITS if languages <= 64 else 16 * languages.bit_length()
     best, apart = None, -1
-    for seed in range(64):
+    for seed in range(64 if languages <= 64 else 1):  # many random codewords are apart without a search
         rng = np.random.default_rng(seed)
-        code = np.stack([rng.permutation(np.where(np.arange(languages) < languages // 2, 1, -1)) for _ in range(BITS)], 1)
+        code = np.stack([rng.permutation(np.where(np.arange(languages) < languages // 2, 1, -1)) for _ in range(bits)], 1)
+        if languages > 64:
+            return code
         least = min(int((code[i] != code[j]).sum()) for i in range(languages) for j in range(i))
         if least > apart:
             best, apart = code, least
@@ -104,20 +106,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    def __init__(self, langs: list[str], counts: np.ndarray) -> None:
-        """counts: n-grams of each language, in order of langs."""
+    def __init__(self, langs: list[str], counts: Callable[[], Iterable[tuple[str, int, int]]]) -> None:
+        """langs in order; counts() gives (language, n-gram, n) as often as it is called. What is held grows with the bits of the code, not with the languages."""
         self.langs, self.code = langs, codewords(len(langs))
-        share = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
-        self.weights = np.zeros((self.code.shape[1], DIMS), np.float32)
-        spread = np.ones((self.code.shape[1], 2))
+        bits, at = self.code.shape[1], {v: i for i, v in enumerate(langs)}
+        size = np.full(len(langs), 0.5 * DIMS)
+        for lang, _, n in counts():
+            size[at[lang]] += n
+        sides = [self.code > 0, self.code < 0]  # languages x bits
+        share = np.zeros((2, bits, DIMS))
+        for side, member in zip(share, sides, strict=True):
+            side += (0.5 / size @ member)[:, None]
+        for lang, gram, n in counts():
+            i = at[lang]
+            share[0, sides[0][i], gram] += n / size[i]
+            share[1, sides[1][i], gram] += n / size[i]
+        self.weights = np.zeros((bits, DIMS), np.float32)
+        self.middle, self.scale = np.zeros(bits), np.ones(bits)
         if len(langs) > 1:
-            for j, bit in enumerate(self.code.T):
-                self.weights[j] = np.log(share[bit > 0].mean(0)) - np.log(share[bit < 0].mean(0))
-                # mean margins of the two sides, from the counts themselves
-                mean = share @ self.weights[j]
-                plus, minus = mean[bit > 0].mean(), mean[bit < 0].mean()
-                spread[j] = (plus + minus) / 2, max(1e-6, (plus - minus) / 2)
-        self.middle, self.scale = spread[:, 0], spread[:, 1]
+            members = np.stack([m.sum(0) for m in sides])
+            self.weights = (np.log(share[0] / members[0][:, None]) - np.log(share[1] / members[1][:, None])).astype(np.float32)
+            # mean margins of the two sides, from the counts themselves
+            plus, minus = (np.einsum("bd,bd->b", s, self.weights) / m for s, m in zip(share, members, strict=True))
+            self.middle, self.scale = (plus + minus) / 2, np.maximum(1e-6, (plus - minus) / 2)
         self.limit = AMBIGUOUS
 
     def predict(self, x: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +141,7 @@ class Model:
             for j in range(bits):
                 margin[full, j] = np.add.reduceat(self.weights[j][x], border[:-1][full], dtype=np.float64) / n[full]
         margin = np.clip((margin - self.middle) / self.scale, -3, 3)
-        loss = np.exp(-margin[:, None, :] * self.code[None]).sum(2)
+        loss = np.cosh(margin).sum(1, keepdims=True) - np.sinh(margin) @ self.code.T  # the sum of exp(-bit * margin)
         p = np.exp(-(loss - loss.min(1, keepdims=True)))
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
@@ -146,20 +157,14 @@ class Model:
 
 
 def train(docs: DataFrame) -> Model | None:
-    """From all rows of docs(text, lang) where neither is null; None if there are none. More than LANGUAGES languages are an error."""
+    """From all rows of docs(text, lang) where neither is null, for any number of languages; None if there are none."""
     rows = docs.select("text", "lang").where("text is not null and lang is not null")
-    counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = counts.where("gram = -1").select("lang").limit(LANGUAGES + 1).collect()
-    langs = sorted(r.lang for r in found)
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
+    counts = written(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
+    langs = sorted(r.lang for r in counts.where("gram = -1").select("lang").collect())  # a row for each language
     if not langs:
         return None
-    at = {v: i for i, v in enumerate(langs)}
-    table_ = np.zeros((len(langs), DIMS))
-    for r in counts.where("gram >= 0").toLocalIterator():  # DIMS rows a language at most
-        table_[at[r.lang], r.gram] = r.n
-    model = Model(langs, table_)
+    grams_ = counts.where("gram >= 0")
+    model = Model(langs, lambda: ((r.lang, r.gram, r.n) for r in grams_.toLocalIterator()))  # DIMS rows a language at most
     if len(langs) > 1:
         model.limit = min(AMBIGUOUS, clean_gap(rows, model))
     return model
@@ -196,14 +201,14 @@ def identify(docs: DataFrame, model: Model | None, ambiguous: float | None = Non
     a model. Columns of docs with the new names are replaced; rows are kept as they come.
     """
     new = {"lang_pred", "score", "ambiguous"}
-    docs = docs.select(*[c for c in docs.columns if c not in new])
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in new])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for piece in pieces(batch, "text", 1 << 20):
-                col = piece.column(piece.schema.get_field_index("text"))
+                col = piece.column(next(i for i, c in enumerate(piece.schema.names) if c.lower() == "text"))
                 letter = pc.fill_null(pc.match_substring_regex(col, r"\pL"), False).to_numpy(zero_copy_only=False)
                 if model is None:
                     letter = np.zeros(len(piece), bool)

@@ -12,13 +12,17 @@ id, so no bucket meets in one task; only the last batch of a part may be short.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framewell.llm.common import table, written
+from framewell.llm.common import free_name, table, written
+from framewell.llm.token_files import PIECE, encoder
+from framewell.llm.words import pieces
 
 PART = 10_000
 
@@ -82,32 +86,39 @@ def pack(rows: DataFrame, key: str, length: str, buckets: int = 8, budget: int =
     that repeat a key are packed like any others. An empty table gives an empty result.
     """
     new = ("bucket", "bucket_len", "batch_id", "slot", "padding")
-    rows = rows.select(*[F.col(c) for c in rows.columns if c not in (*new, length)], F.coalesce(F.col(length), F.lit(0)).cast("long").alias(length))
+    rows = rows.select(*[F.col(c) for c in rows.columns if c.lower() not in (*new, length.lower())], F.coalesce(F.col(length), F.lit(0)).cast("long").alias(length))
     cells = histogram(rows, length)
     if not cells:
         return rows.select("*", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("bucket_len"), F.lit("").alias("batch_id"), F.lit(0).alias("slot"), F.lit(0).cast("long").alias("padding"))
     borders = best_borders([x for x, _ in cells], [n for _, n in cells], buckets)
     inside = [sum(n for x, n in cells if lo < x <= hi) for lo, hi in zip([-1, *borders[:-1]], borders, strict=True)]
+    part, place = free_name(rows.columns, "_part"), free_name(rows.columns, "_place")
     bucket, pads, parts = F.lit(len(borders) - 1), F.lit(max(1, borders[-1])), F.lit(-(-inside[-1] // PART))
     for i in reversed(range(len(borders) - 1)):
         here = F.col(length) <= borders[i]
         bucket, pads, parts = F.when(here, i).otherwise(bucket), F.when(here, max(1, borders[i])).otherwise(pads), F.when(here, max(1, -(-inside[i] // PART))).otherwise(parts)
-    dealt = rows.select("*", bucket.alias("bucket"), pads.cast("long").alias("bucket_len"), F.pmod(F.xxhash64(key), parts).alias("_part"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "_part").orderBy(key, length)) - 1
+    dealt = rows.select("*", bucket.alias("bucket"), pads.cast("long").alias("bucket_len"), F.pmod(F.xxhash64(key), parts).alias(part))
+    rank = F.row_number().over(Window.partitionBy("bucket", part).orderBy(key, length)) - 1
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len")))
-    dealt = dealt.withColumn("_rank", rank)
+    dealt = dealt.withColumn(place, rank)
     return dealt.select(
         *rows.columns, "bucket", "bucket_len",
-        F.concat_ws("-", "bucket", "_part", F.floor(F.col("_rank") / room)).alias("batch_id"),
-        F.pmod("_rank", room).cast("int").alias("slot"), (F.col("bucket_len") - F.col(length)).alias("padding"),
+        F.concat_ws("-", "bucket", part, F.floor(F.col(place) / room)).alias("batch_id"),
+        F.pmod(place, room).cast("int").alias("slot"), (F.col("bucket_len") - F.col(length)).alias("padding"),
     )
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens): words of other characters than space and \\t-\\r, and one end token; null and blank texts have the end token alone."""
-    words = F.size(F.split(F.trim(F.regexp_replace(F.col("text"), r"[\x20\x09-\x0D]+", " ")), " "))
-    blank = F.coalesce(F.trim(F.regexp_replace(F.col("text"), r"[\x20\x09-\x0D]+", " ")) == "", F.lit(True))
-    return docs.select("doc_id", (F.when(blank, 0).otherwise(words) + 1).cast("long").alias("n_tokens"))
+def token_counts(docs: DataFrame, tokenizer: str | None = None, name: str = "byte_bpe_50k.json") -> DataFrame:
+    """(doc_id, n_tokens): the ids of the whole text, as token_files writes them, with the end id; null and empty texts have the end id alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer, name)
+        for batch in batches:
+            for piece in pieces(batch, "text", PIECE):
+                _, border = encode(piece.column(1))
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(border[1:] - border[:-1])], names=["doc_id", "n_tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def pack_documents(docs: DataFrame, buckets: int = 8, budget: int = 16_384) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewell.llm.common import table
+from framewell.llm.common import free_name, table, written
 
 #: Labelled findings that the forest is fitted on, at most.
 FINDINGS = 6000
@@ -27,6 +27,8 @@ TREES, DEPTH, SEED = 24, 7, 7
 #: Characters before and after a candidate that count as its neighbourhood.
 NEAR = 48
 REDACTED = "[SECRET]"
+#: Bytes of secrets that are broadcast; beyond, they meet their texts in a shuffled join.
+BROADCAST = 32 << 20
 #: A mark that texts don't hold; where one does, it counts as a space while searching.
 _MARK = "\x01"
 
@@ -183,14 +185,17 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: flo
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5) -> DataFrame:
-    """docs with each secret of `text` replaced by REDACTED and n_chars, where it is a column, counted anew. Rows and other columns stay as they are."""
-    found = scan(docs.where("doc_id is not null"), model, threshold).where("is_secret")
-    # a row for each document with secrets: at most as long as its text
-    secrets = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("candidate").alias("_secrets"))
-    joined = docs.join(secrets.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
-    longest_first = F.array_sort("_secrets", lambda a, b: F.length(b) - F.length(a))
-    text = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(F.aggregate(longest_first, F.col("text"), lambda t, s: F.replace(t, s, F.lit(REDACTED))))
-    columns = {"text": text, "n_chars": F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {"text": text}
+    """docs with each secret of `text` replaced by REDACTED and n_chars, where it is a column, counted anew. Rows and other columns, whatever their names, stay as they are; rows with a null doc_id and repeated rows are redacted like any others."""
+    digest, secrets = free_name(docs.columns, "_digest"), free_name(docs.columns, "_secrets")
+    keyed = docs.withColumn(digest, F.md5(F.col("text").cast("binary")))
+    found = scan(keyed.select(F.col(digest).alias("digest"), "text"), model, threshold, "digest").where("is_secret")
+    # a row for each text with secrets: at most as long as the text
+    of_text = written(found.groupBy(F.col("digest").alias(digest)).agg(F.collect_set("candidate").alias(secrets)), "secrets")
+    size = of_text.agg(F.sum(F.aggregate(secrets, F.lit(50), lambda n, s: n + F.length(s) + 8).cast("long"))).first()[0] or 0
+    joined = keyed.join(F.broadcast(of_text) if size <= BROADCAST else of_text.hint("merge"), digest, "left")
+    longest_first = F.array_sort(secrets, lambda a, b: F.length(b) - F.length(a))
+    text = F.when(F.col(secrets).isNull(), F.col("text")).otherwise(F.aggregate(longest_first, F.col("text"), lambda t, s: F.replace(t, s, F.lit(REDACTED))))
+    columns = {"text": text, "n_chars": F.when(F.col(secrets).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {"text": text}
     return joined.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
 
 

@@ -113,10 +113,19 @@ class ShardTable:
             self._scan(merged).coalesce(shards).write.parquet(f"{self.path}/{name}")
             gone = {r["run"] for r in merged}
             new = {"run": old["next"], "level": 1 + max(r["level"] for r in merged), "path": name, "bytes": self._bytes(name)}
-            self.commit(old, [*(r for r in old["runs"] if r["run"] not in gone), new], old["next"] + 1)
-
-    def vacuum(self, keep: int = 1) -> None:
-        """Deletes runs and manifests that none of the latest `keep` versions names."""
+            while True:
+                try:
+                    self.commit(old, [*(r for r in old["runs"] if r["run"] not in gone), new], old["next"] + 1)
+                    break
+                except Conflict:  # the merge holds on as long as its runs do
+                    old = self.manifest()
+                    if not gone <= {r["run"] for r in old["runs"]}:
+                        self._fs.delete(self._at(name), True)
+                        break
+                    new |= {"run": old["next"]}
+
+    def vacuum(self, keep: int = 1, abandoned_hours: float = 24) -> None:
+        """Deletes runs and manifests that none of the latest `keep` versions names, and run folders that no manifest ever named and that are older than abandoned_hours: those of writers that were lost or came second."""
         last = self.version()
         kept = {r["path"] for v in range(max(1, last - keep + 1), last + 1) for r in self.manifest(v)["runs"]}
         for v in range(1, last - keep + 1):
@@ -126,6 +135,12 @@ class ShardTable:
                     if r["path"] not in kept:
                         self._fs.delete(self._at(r["path"]), True)
                 self._fs.delete(at, False)
+        before = self.spark._jvm.java.lang.System.currentTimeMillis() - int(abandoned_hours * 3_600_000)
+        tops = {"/".join(r.split("/")[:2]) for r in kept}
+        if self._fs.exists(self._at("runs")):
+            for status in self._fs.listStatus(self._at("runs")):
+                if f"runs/{status.getPath().getName()}" not in tops and status.getModificationTime() < before:
+                    self._fs.delete(status.getPath(), True)
 
     def _scan(self, runs: list[dict]) -> DataFrame:
         frames = [self.spark.read.parquet(f"{self.path}/{r['path']}") for r in runs]
@@ -142,11 +157,12 @@ class ShardTable:
         return self._scan(runs) if runs else None
 
     def shards(self, version: int | None = None) -> DataFrame | None:
-        """The rows of a version plus (run, level, shard)."""
+        """The rows of a version plus (run, level, shard); columns of the rows with these names, in any case, are left out here, read() has them."""
         out = None
         for r in self.manifest(version)["runs"]:
             shard = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-            part = self.spark.read.parquet(f"{self.path}/{r['path']}").select("*", F.lit(r["run"]).alias("run"), F.lit(r["level"]).alias("level"), shard.alias("shard"))
+            rows = self.spark.read.parquet(f"{self.path}/{r['path']}")
+            part = rows.select(*[F.col(c) for c in rows.columns if c.lower() not in ("run", "level", "shard")], F.lit(r["run"]).alias("run"), F.lit(r["level"]).alias("level"), shard.alias("shard"))
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out
 

@@ -205,8 +205,12 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    """One for each file and Python worker: a worker runs many tasks."""
+def encoder(path: str | None, name: str) -> Encoder:
+    """One for each file and Python worker, since a worker runs many tasks. path: the tokenizer's file, by default that of `name` among the public tokenizers of the executor."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(name)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -224,12 +228,7 @@ def _files(path: str | None, name: str):
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=[c.split()[0] for c in FILE.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = path
-        if at is None:
-            import public_tokenizers
-
-            at = public_tokenizers.path(name)
-        encode = _encoder(at)
+        encode = encoder(path, name)
         number, inside, held, ids, docs, sizes = 0, 0, 0, [], [], []
         for batch in batches:
             for piece in pieces(batch, "text", PIECE):

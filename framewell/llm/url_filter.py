@@ -1,14 +1,15 @@
 """URL filters: host and path rules, and a Bloom filter cascade for the hosts that no rule fits.
 
 The cascade answers membership in a list of keys exactly for every key of a known universe, here all
-hosts of the table, without a join: level 1 is a Bloom filter of the listed keys, level 2 one of the
+hosts of the table, without joining keys: level 1 is a Bloom filter of the listed keys, level 2 one of the
 universe's false positives of level 1, level 3 one of the listed keys that level 2 would take back, and
 so on until a level makes no mistake. The first level that doesn't hold a key decides: listed at even
 levels, not listed at odd ones. Sizes follow from the counts of listed and other keys: about
 1.44 log2(1.4 others / listed) + 4 bits a listed key in all.
 
-Levels are built by aggregation and probed as literals inside the scan's stage. Their size is checked:
-beyond MAX_BYTES the same answer comes from a join with the listed keys.
+The levels are a table of shards by hash of the key, some SHARD bytes each, at any size: built by aggregation
+alone, nothing of it passes the driver, and a row of pages meets the one shard of its host. The table is
+broadcast while it is small, which its size decides; beyond, shards and pages are dealt by shard.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewell.llm.common import table, written
+from framewell.llm.common import free_name, table, written
 
-#: Bytes of all levels that a plan may carry.
-MAX_BYTES = 8 << 20
+#: Bytes of a shard, about.
+SHARD = 64 << 10
+#: Bytes of all shards that are broadcast.
+BROADCAST = 128 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (verdict, host, path): the rule fits its host and all subdomains where the path starts with its path.
@@ -41,66 +44,71 @@ def under(host: Column, domain: str) -> Column:
 
 
 class Cascade:
-    """Levels as (bits, number of bits, hashes)."""
+    """table: (shard, n0, l0, n1, l1, ...): each level's number of bits and its bits in words of 64, null where a shard has no such level. hashes: of each level."""
 
-    def __init__(self, levels: list[tuple[bytes, int, int]]) -> None:
-        self.levels = levels
+    def __init__(self, table: DataFrame, shards: int, hashes: list[int], size: int) -> None:
+        self.table, self.shards, self.hashes, self.size = table, shards, hashes, size
 
-    def __len__(self) -> int:
-        return sum(len(bits) for bits, _, _ in self.levels)
+    def contains(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """rows plus the boolean `name`: whether the key is listed, for keys of the universe; null keys are not."""
+        shard = free_name(rows.columns, "shard")
+        levels = self.table.withColumnRenamed("shard", shard)
+        joined = rows.withColumn(shard, shard_of(F.col(key), self.shards)).join(F.broadcast(levels) if self.size <= BROADCAST else levels, shard, "left")
+        return joined.select(*rows.columns, F.coalesce(self.verdict(F.col(key)), F.lit(False)).alias(name))
 
-    def contains(self, key: Column) -> Column:
-        """Whether the key is listed, for keys of the universe."""
-        listed = F.lit(len(self.levels) % 2 == 1)
-        for i in reversed(range(len(self.levels))):
-            bits, n, hashes = self.levels[i]
+    def verdict(self, key: Column) -> Column:
+        listed = F.lit(len(self.hashes) % 2 == 1)
+        for i in reversed(range(len(self.hashes))):
             inside = F.lit(True)
-            for at in _positions(key, i, n, hashes):
-                byte = F.conv(F.hex(F.substring(F.lit(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-                inside &= F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
-            listed = F.when(inside, listed).otherwise(F.lit(i % 2 == 1))
-        return F.coalesce(listed, F.lit(False))
+            for at in _positions(key, i, F.col(f"n{i}"), self.hashes[i]):
+                inside &= F.getbit(F.get(f"l{i}", F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
+            # where a shard has no such level, the one before decided
+            listed = F.when(F.coalesce(inside, F.lit(False)), listed).otherwise(F.lit(i % 2 == 1))
+        return listed
 
 
-def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)) for i in range(hashes)]
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(shards)).cast("int")
 
 
-def _level(keys: DataFrame, level: int, count: int, p: float) -> tuple[bytes, int, int]:
-    hashes = max(1, round(-math.log2(p)))
-    n = max(64, math.ceil(1.4427 * count * -math.log2(p)))
-    at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, n, hashes))).alias("at"))
-    words = at.groupBy(F.floor(F.col("at") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(at, 32) as int))")).alias("bits"))
-    out = bytearray(4 * math.ceil(n / 32))
-    for r in words.collect():  # n / 32 rows, of the size that cascade() has checked
-        out[4 * r.word : 4 * r.word + 4] = r.bits.to_bytes(4, "little")
-    return bytes(out), n, hashes
+def _positions(key: Column, level: int, bits: Column, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), bits) for i in range(hashes)]
 
 
-def cascade(universe: DataFrame, max_bytes: int = MAX_BYTES) -> Cascade | None:
-    """universe: distinct (key, listed). None if the levels would take over max_bytes."""
+def _level(keys: DataFrame, level: int, p: float, hashes: int) -> DataFrame:
+    """(shard, n, l) of keys (shard, key)."""
+    sizes = keys.groupBy("shard").agg(F.count("*").alias("keys")).select("shard", F.greatest(F.lit(64), F.ceil(F.col("keys") * (1.4427 * -math.log2(p)))).alias("n"))
+    at = keys.join(sizes, "shard").select("shard", F.explode(F.array(*_positions(F.col("key"), level, F.col("n"), hashes))).alias("at"))
+    set_ = at.select("shard", F.floor(F.col("at") / 64).alias("word"), F.expr("shiftleft(1L, cast(pmod(at, 64) as int))").alias("bits"))
+    empty = sizes.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 64))).alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = set_.unionByName(empty).groupBy("shard", "word").agg(F.bit_or("bits").alias("bits"))
+    # a shard's words, some SHARD bytes
+    arrays = words.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("l"))
+    return arrays.join(sizes, "shard").select("shard", F.col("n").alias(f"n{level}"), F.transform("l", lambda x: x["bits"]).alias(f"l{level}"))
+
+
+def cascade(universe: DataFrame, shard_bytes: int = SHARD) -> Cascade:
+    """universe: distinct (key, listed)."""
     universe = written(universe, "universe")
     listed, others = (x or 0 for x in universe.agg(F.count_if(F.col("listed")), F.count_if(~F.col("listed"))).first())
-    levels: list[tuple[bytes, int, int]] = []
-    if not listed:
-        return Cascade(levels)
-    p = min(0.5, listed * math.sqrt(0.5) / max(1, others))
-    if listed * (1.4427 * -math.log2(p) + 5) / 8 > max_bytes:
-        return None
-    count = listed
-    while count:
-        # what the levels so far say is wrong for this side only: listed keys at odd levels, others at even ones
-        side = F.col("listed") if len(levels) % 2 == 0 else ~F.col("listed")
-        wrong = universe.where(side) if not levels else universe.where(side & (Cascade(levels).contains(F.col("key")) != F.col("listed")))
-        if levels:
-            count = wrong.count()
-            if not count:
-                break
-        levels.append(_level(wrong.select("key"), len(levels), count, p if not levels else 0.5))
-    return Cascade(levels)
-
-
-def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_bytes: int = MAX_BYTES) -> DataFrame:
+    p = min(0.5, listed * math.sqrt(0.5) / max(1, others)) if listed else 0.5
+    size = math.ceil(listed * (1.4427 * -math.log2(p) + 5) / 8)
+    shards = max(1, -(-size // shard_bytes))
+    universe = universe.withColumn("shard", shard_of(F.col("key"), shards))
+    found = Cascade(universe.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")), shards, [], size)
+    wrong = universe.where("listed")
+    while wrong.head(1):
+        level = len(found.hashes)
+        hashes = max(1, round(-math.log2(p))) if not level else 1
+        table_ = found.table.join(_level(wrong.select("shard", "key"), level, p if not level else 0.5, hashes), "shard", "left")
+        found = Cascade(written(table_, "cascade"), shards, [*found.hashes, hashes], size)
+        # what the levels so far say is wrong for one side only: others after even levels, listed keys after odd ones
+        side = universe.where("not listed" if level % 2 == 0 else "listed")
+        wrong = found.contains(side, "key", "said").where("said <> listed")
+    return found
+
+
+def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES, shard_bytes: int = SHARD) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages(page_id, url, ...).
 
     rule is the longest rule that fits (of equally long ones the first), as host and path, else null;
@@ -118,12 +126,9 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     parsed = parsed.select("*", rule.alias("rule"), verdict.alias("ruled"))
     keys = parsed.where("host <> ''").select(F.col("host").alias("key")).distinct()
     marks = listed.select(F.col("host").alias("key"), F.lit(True).alias("listed")).where("key is not null").distinct()
-    found = cascade(keys.join(marks, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), max_bytes)
-    if found is not None:
-        blocked = (F.col("host") != "") & found.contains(F.col("host"))
-    else:
-        parsed = parsed.join(marks.withColumnRenamed("key", "host"), "host", "left")
-        blocked = (F.col("host") != "") & F.coalesce("listed", F.lit(False))
+    found = cascade(keys.join(marks, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")), shard_bytes)
+    parsed = found.contains(parsed, "host", "in_list")
+    blocked = (F.col("host") != "") & F.col("in_list")
     return parsed.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(blocked, "block").otherwise("allow")).alias("verdict"))
 
 

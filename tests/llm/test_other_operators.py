@@ -17,17 +17,17 @@ from framewell.llm.common import new_folder
 SF = "/root/testdata/sf0.001"
 
 
-def test_cascade_is_exact(spark):
+@pytest.mark.parametrize("shard_bytes", [1 << 16, 40])
+def test_cascade_is_exact(spark, shard_bytes):
     rows = [(f"h{i}.example", i % 7 == 0 or i > 1900) for i in range(2000)] + [("é.example", True), ("ß", False)]
     universe = spark.createDataFrame(rows, "key string, listed boolean")
-    found = url_filter.cascade(universe)
-    assert len(found.levels) > 2
-    got = universe.select("listed", found.contains(F.col("key")).alias("got")).where("listed <> got").count()
-    assert got == 0
-    assert url_filter.cascade(universe, max_bytes=8) is None
-    assert url_filter.cascade(universe.where("not listed")).levels == []
-    everything = url_filter.cascade(universe.where("listed"))
-    assert universe.where("listed").where(~everything.contains(F.col("key"))).count() == 0
+    found = url_filter.cascade(universe, shard_bytes)
+    assert len(found.hashes) > 2 and (found.shards > 5) == (shard_bytes < 1000)
+    assert found.contains(universe, "key", "said").where("listed <> said").count() == 0
+    none = url_filter.cascade(universe.where("not listed"), shard_bytes)
+    assert none.hashes == [] and none.contains(universe, "key", "said").where("said").count() == 0
+    everything = url_filter.cascade(universe.where("listed"), shard_bytes)
+    assert everything.contains(universe.where("listed"), "key", "said").where("not said").count() == 0
 
 
 URLS = [
@@ -37,11 +37,11 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("max_bytes", [1 << 20, 1])
-def test_url_filter(spark, max_bytes):
+@pytest.mark.parametrize("shard_bytes", [1 << 16, 1])
+def test_url_filter(spark, shard_bytes):
     pages = spark.createDataFrame([(i, u[0], "h", "v") for i, u in enumerate(URLS)] + [(0, URLS[0][0], None, None)], "page_id long, url string, host string, verdict string")
     listed = spark.createDataFrame([("bad.net",), ("bad.net",), (None,), ("other.net",)], "host string")
-    got = sorted((tuple(r) for r in url_filter.url_filter(pages, listed, max_bytes=max_bytes).collect()), key=lambda r: r[0])
+    got = sorted((tuple(r) for r in url_filter.url_filter(pages, listed, shard_bytes=shard_bytes).collect()), key=lambda r: r[0])
     assert got[1:] == [(i, *u[1:]) for i, u in enumerate(URLS)]
     assert url_filter.url_filter(pages.limit(0), listed).count() == 0
 
@@ -133,6 +133,35 @@ def test_texts_of_two_languages_are_ambiguous(spark, langs):
     assert 0.1 < model.limit <= language_id.AMBIGUOUS
 
 
+def test_many_languages(spark):
+    """A dirty lang column with hundreds of values stops nothing."""
+    rows = [(f"{'abcdefghijklmnopqrstuvwxyz'[i % 26] * 3}{'abcdefghijklmnopqrstuvwxyz'[i // 26] * 2} " * 30, f"l{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = language_id.train(docs)
+    assert len(model.langs) == 300
+    got = language_id.identify(docs, model).select("lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 285
+    assert language_id.identify(docs.withColumn("Score", F.lit(1)), model).columns == ["text", "lang", "lang_pred", "score", "ambiguous"]
+
+
+def test_decoding_against_brute_force():
+    """The language whose codeword has the least sum of exp(-bit * margin), with weights from the counts."""
+    rng = np.random.default_rng(3)
+    langs = list("abcd")
+    counts = rng.integers(0, 50, (4, language_id.DIMS))
+    model = language_id.Model(langs, lambda: ((v, g, int(counts[i, g])) for i, v in enumerate(langs) for g in np.flatnonzero(counts[i])))
+    share = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
+    weights = np.stack([np.log(share[bit > 0].mean(0)) - np.log(share[bit < 0].mean(0)) for bit in model.code.T])
+    assert np.allclose(weights, model.weights, atol=1e-5)
+    x = rng.integers(0, language_id.DIMS, 900)
+    border = np.array([0, 300, 300, 900])
+    best, score, _ = model.predict(x, border)
+    for i, (a, b) in enumerate(zip(border[:-1], border[1:], strict=True)):
+        raw = weights[:, x[a:b]].mean(1) if b > a else np.zeros(len(weights))
+        loss = np.exp(-np.clip((raw - model.middle) / model.scale, -3, 3)[None] * model.code).sum(1)
+        assert loss.argmin() == best[i] and np.isclose(score[i], np.exp(-loss).max() / np.exp(-loss).sum(), atol=1e-4)
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 5, 6, 30, 100):
         code = language_id.codewords(n)
@@ -156,7 +185,10 @@ def test_secrets(spark):
     out = {r.doc_id: r for r in secrets_scan.redact(docs, model).collect()}
     assert out[1].text == 'use token = "[SECRET]" here' and out[1].n_chars == len(out[1].text)
     assert out[2].text == text[2] and out[3].text == text[3] and out[4].text is None and key not in out[6].text
-    assert out[9].text == 'token = "[SECRET]" secret = "[SECRET]" é'
+    assert out[9].text == 'token = "[SECRET]" secret = "[SECRET]" é' and out[None].text == 'token = "[SECRET]"'
+    clash = docs.select("*", F.lit("a").alias("_id"), F.lit("b").alias("_digest"), F.lit("c").alias("_secrets"))
+    again = secrets_scan.redact(clash, model)
+    assert again.columns == clash.columns and again.where("_id = 'a' and _digest = 'b' and _secrets = 'c'").count() == len(rows) and not any(key in (r.text or "") for r in again.collect() if r.doc_id not in (2, None))
     assert secrets_scan.scan(docs.limit(0), model).count() == 0
 
 
@@ -216,8 +248,15 @@ def test_packing(spark):
         assert len({r.bucket for r in rows_}) == 1 and sorted(r.slot for r in rows_) == list(range(len(rows_)))
         assert len(rows_) == 1 or len(rows_) * rows_[0].bucket_len <= 2000
     assert packing.pack(spark.createDataFrame([], "id long, n long"), "id", "n").count() == 0
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, " a\tb\x0bc\n"), (4, "é ü")], "doc_id long, text string")
-    assert {r.doc_id: r.n_tokens for r in packing.token_counts(docs).collect()} == {1: 1, 2: 1, 3: 4, 4: 3}
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    texts = [None, "", " a\tb\x0bc\n", "é ü", "some longer text, with words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.n_tokens for r in packing.token_counts(docs).collect()} == {i: 1 + len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    clash = spark.createDataFrame([(i, i % 7, "p", "q", "r") for i in range(50)], "id long, N long, _part string, _place string, Bucket string")
+    assert sorted((r.id, r._part, r._place) for r in packing.pack(clash, "id", "n").collect()) == [(i, "p", "q") for i in range(50)]
 
 
 def test_packing_is_optimal_with_many_lengths_and_a_giant_row(spark):
@@ -245,8 +284,13 @@ def test_sharding(spark):
     with pytest.raises(sharding.Conflict):  # another writer that read the old version
         store.commit(before, before["runs"], before["next"])
     assert store.manifest() == new
+    docs.limit(1).write.parquet(f"{store.path}/runs/r000099-lost")  # a writer that was lost
     store.vacuum()
-    assert store.read().count() == len(rows) + 3
+    assert store.read().count() == len(rows) + 3 and spark.read.parquet(f"{store.path}/runs/r000099-lost").count() == 1
+    store.vacuum(abandoned_hours=-1)
+    assert store.read().count() == len(rows) + 3 and "r000099-lost" not in [s.getPath().getName() for s in store._fs.listStatus(store._at("runs"))]
+    clash = sharding.compacted(docs.withColumnRenamed("arrival", "Run").withColumn("shard", F.lit("x")), arrivals=2)
+    assert clash.shards().columns == ["doc_id", "text", "run", "level", "shard"] and clash.read().columns == ["doc_id", "text", "Run", "shard"]
     assert sharding.compacted(docs.limit(0)).read() is None
 
 
