@@ -102,3 +102,11 @@ def slug(x: Column) -> Column:
 def fixed(x: Column, places: int = 4) -> Column:
     """A number with fixed decimals, `-` for null."""
     return F.coalesce(F.format_string(f"%.{places}f", x), F.lit("-"))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, longer by underscores where columns have it in upper or lower case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -44,28 +44,30 @@ def trimmed(frames: DataFrame, most: int = 6, keep: int = 24) -> DataFrame:
 
 
 def best_span(frames: DataFrame, start_below: int, least: int) -> DataFrame:
-    """Per clip the loop span with the most similar ends: start at most start_below, at least `least` frames; late starts and early ends cost a little. Modes: too_short, not_found, best_span.
+    """Per clip the loop span with the most similar ends: `least` frames on at least, start at most start_below and n - least - 1; late starts and early ends cost a little. Modes: too_short (fewer than least + 2 frames), not_found, best_span.
 
     A range self-join inside a clip; the start side is bounded, so a clip of n frames makes n * start_below pairs.
     """
     clips = frames.groupBy("clip").agg(F.count("*").cast("int").alias("n"))
+    long = clips.where(F.col("n") >= least + 2)
     a = frames.where(F.col("f") <= start_below).select("clip", F.col("f").alias("start"), F.col("e").alias("ea"))
     b = frames.select("clip", F.col("f").alias("end"), F.col("e").alias("eb"))
-    pairs = a.join(b, "clip").where(F.col("end") >= F.col("start") + least).join(clips, "clip")
+    pairs = a.join(b, "clip").where(F.col("end") >= F.col("start") + least).join(long, "clip").where(F.col("start") <= F.col("n") - least - 1)
     score = F.round(X.l1_mean(F.col("ea"), F.col("eb")) + 0.000025 * (F.col("n") - F.col("end")) + 0.00004 * F.col("start"), 9)
     best = pairs.select("clip", "start", "end", score.alias("score")).groupBy("clip").agg(F.min(F.struct("score", "start", "end")).alias("_b"))
     out = clips.join(best, "clip", "left")
-    mode = F.when(F.col("n") < least, "too_short").when(F.col("_b").isNull(), "not_found").otherwise("best_span")
+    mode = F.when(F.col("n") < least + 2, "too_short").when(F.col("_b").isNull(), "not_found").otherwise("best_span")
     return out.select("clip", "n", mode.alias("mode"), "_b.start", "_b.end", "_b.score")
 
 
 def crossfade(frames: DataFrame, most: int = 8) -> DataFrame:
-    """The last k = min(most, n // 5) frames blended with the first k, the weight rising to the head's: (clip, i, e)."""
+    """The closed clip (clip, f, e): its frames, the last k = min(most, n // 5) blended with the first k, the weight rising to the head's."""
     rows = counted(frames).withColumn("k", F.least(F.lit(most), F.floor(F.col("n") / 5)))
-    tail = rows.where(F.col("f") >= F.col("n") - F.col("k")).select("clip", "k", (F.col("f") - (F.col("n") - F.col("k"))).alias("i"), F.col("e").alias("t"))
     head = rows.where(F.col("f") < F.col("k")).select("clip", F.col("f").cast("long").alias("i"), F.col("e").alias("h"))
+    i = F.col("f") - (F.col("n") - F.col("k"))
     w = (F.col("i") + 1) / (F.col("k") + 1)
-    return tail.join(head, ["clip", "i"]).select("clip", "i", F.zip_with("t", "h", lambda t, h: t * (1 - w) + h * w).alias("e"))
+    both = rows.withColumn("i", i).join(head, ["clip", "i"], "left")
+    return both.select("clip", "f", F.when(F.col("h").isNull(), F.col("e")).otherwise(F.zip_with("e", "h", lambda t, h: t * (1 - w) + h * w)).alias("e"))
 
 
 def seam(frames: DataFrame, limit: float = 0.012) -> DataFrame:

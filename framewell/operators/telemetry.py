@@ -125,3 +125,4 @@ def prioritised(rows: DataFrame, key: str, value: str, order: Sequence[Column |
 def edge_profile(setting: Column, name: Column, markers: Sequence[str]) -> Column:
     """A setting other than `auto`, else cartoon where the name has one of the markers, else real."""
     return F.when(setting != "auto", setting).when(F.rlike(F.lower(name), F.lit("|".join(markers))), "cartoon").otherwise("real")
+

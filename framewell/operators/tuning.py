@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewell.functions.exprs import finite_or_null, ratio
+from framewell.operators.ranks import placed
 
 #: Rows that the local pruning of a frontier holds at once.
 PRUNE = 4096
+#: Tasks whose frontiers one task merges.
+MERGE = 16
 
 
 def normalised(configs: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -47,24 +50,39 @@ def row_errors(rows: DataFrame, keys: Sequence[str], checks: Sequence[tuple[str,
     return rows.select(*keys, F.explode(messages).alias("error"))
 
 
+def out_of_bounds(rows: DataFrame, keys: Sequence[str], values: str, bounds: DataFrame) -> DataFrame:
+    """A row for each value of the map `values` that isn't between its bounds: bounds(parameter, lo, hi) is a table that users add rows to. Nulls are in no bounds."""
+    each = rows.select(*keys, F.explode(values).alias("parameter", "value")).join(F.broadcast(bounds), "parameter")
+    return each.where(~F.coalesce(F.col("value").between(F.col("lo"), F.col("hi")), F.lit(False))).select(*keys, "parameter", "value")
+
+
 def duplicates(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The second and later rows of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn > 1").drop("_rn")
 
 
-def against_baseline(configs: DataFrame, baseline: DataFrame, metrics: Sequence[str], limits: dict[str, float]) -> DataFrame:
-    """Delta and ratio (null where the baseline is 0 or null) of each metric to a one-row baseline, and a guardrail for each limit: at most the baseline's value times the limit; null fails."""
+def baseline_of(configs: DataFrame, candidate: Column, metrics: Sequence[str], legacy: DataFrame) -> DataFrame:
+    """One row of metrics and its source: the candidate (the first by key) that has all of them, else the row of legacy."""
+    complete = candidate
+    for m in metrics:
+        complete &= F.col(m).isNotNull()
+    best = configs.where(complete).select(F.lit(0).alias("tier"), F.col("key").alias("source"), *metrics)
+    rest = legacy.select(F.lit(1).alias("tier"), F.lit("legacy").alias("source"), *metrics)
+    first = F.min_by(F.struct("source", *metrics), F.struct("tier", "source")).alias("_b")
+    return best.unionByName(rest).agg(first).where("_b is not null").select("_b.*")
+
+
+def against_baseline(configs: DataFrame, baseline: DataFrame, metrics: Sequence[str], limits: Sequence[tuple[str, str, float, float]]) -> DataFrame:
+    """Delta and ratio (null where the baseline is 0 or null) of each metric to a one-row baseline, and a guardrail for each limit (name, metric, factor, least): at most the baseline's value times the factor, or `least` if that is more; null fails."""
     base = baseline.select(*[F.col(m).alias(f"base_{m}") for m in metrics]).limit(1)  # one row
     out = configs.crossJoin(F.broadcast(base))
     for m in metrics:
         out = out.withColumn(f"delta_{m}", F.col(m) - F.col(f"base_{m}")).withColumn(f"ratio_{m}", ratio(F.col(m), F.col(f"base_{m}")))
-    guards = [F.coalesce(F.col(m) <= F.col(f"base_{m}") * limit, F.lit(False)) for m, limit in limits.items()]
-    for m, g in zip(limits, guards, strict=True):
-        out = out.withColumn(f"guard_{m}", g)
     every = F.lit(True)
-    for g in guards:
-        every &= g
+    for name, m, factor, least in limits:
+        guard = F.coalesce(F.col(m) <= F.greatest(F.col(f"base_{m}") * factor, F.lit(least)), F.lit(False))
+        out, every = out.withColumn(f"guard_{name}", guard), every & guard
     return out.withColumn("guardrail", every).drop(*[f"base_{m}" for m in metrics])
 
 
@@ -90,26 +108,26 @@ def _local_frontier(key: str, metrics: Sequence[str]):
 def frontier(configs: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
     """Keys that no row dominates (all metrics at most, one less); rows with a null metric are out, equal rows keep each other.
 
-    Each task first drops what its own rows dominate; what is left is compared across tasks.
+    Tasks drop what their own rows dominate; what is left is dealt to fewer tasks, until one has seen all. It holds the
+    frontier and a few rows more, whatever the number of configurations.
     """
-    complete = configs.select(key, *[F.col(m).cast("double").alias(m) for m in metrics]).dropna()
-    local = complete.mapInPandas(_local_frontier(key, metrics), complete.schema)
-    a, b = local.alias("a"), local.alias("b")
-    beats = F.lit(True)
-    strictly = F.lit(False)
-    for m in metrics:
-        beats &= F.col(f"b.{m}") <= F.col(f"a.{m}")
-        strictly |= F.col(f"b.{m}") < F.col(f"a.{m}")
-    return a.join(b, beats & strictly, "left_anti").select(key)
+    rows = configs.select(key, *[F.col(m).cast("double").alias(m) for m in metrics]).dropna()
+    local, tasks = _local_frontier(key, metrics), int(configs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.mapInPandas(local, rows.schema)
+    while tasks > 1:
+        tasks = -(-tasks // MERGE)
+        rows = rows.repartition(tasks).mapInPandas(local, rows.schema)
+    return rows.select(key)
 
 
 def selection_scores(configs: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
-    """key and the weighted sum of normalised ranks, rank / (n - 1), ties in order of key."""
-    n = F.greatest(F.lit(1), F.count("*").over(Window.partitionBy()) - 1)
-    score = F.lit(0.0)
+    """key and the weighted sum of normalised ranks over all rows, rank / (n - 1), ties in order of key."""
+    n = max(1, configs.count() - 1)
+    out, score = configs.select(key), F.lit(0.0)
     for m, w in weights.items():
-        score += w * (F.row_number().over(Window.orderBy(m, key)) - 1) / n
-    return configs.select(key, score.alias("score"))
+        out = out.join(placed(configs.select(key, m), F.col(m), [m, key], f"_rank_{m}").select(key, f"_rank_{m}"), key)
+        score += w * F.col(f"_rank_{m}") / n
+    return out.select(key, score.alias("score"))
 
 
 def group_scores(configs: DataFrame, group: str, key: str, weights: dict[str, float]) -> DataFrame:

@@ -49,7 +49,7 @@ def _(spark, d):
 
 
 _SPAN = f"""{NF}, p as (select a.clip, a.f as start, b.f as "end", round({_L1.format(a='a.e', b='b.e')} + 0.000025::double * (n - b.f) + 0.00004::double * a.f, 9) as score
-  from frames a join frames b on a.clip = b.clip and a.f <= 8 and b.f >= a.f + 20 join n on n.clip = a.clip)"""
+  from frames a join frames b on a.clip = b.clip and a.f <= 8 and b.f >= a.f + 20 join n on n.clip = a.clip where n >= 22 and a.f <= n - 21)"""
 
 
 @query("j14_span_pairs", f'with {_SPAN} select clip, count(*) as pairs, round(min(score), 6) as lowest from p group by clip')
@@ -57,22 +57,23 @@ def _(spark, d):
     fr = frames(spark, d)
     n = fr.groupBy("clip").agg(F.count("*").alias("n"))
     a = fr.where("f <= 8").select("clip", F.col("f").alias("start"), F.col("e").alias("ea"))
-    p = a.join(fr.select("clip", F.col("f").alias("end"), F.col("e").alias("eb")), "clip").where("end >= start + 20").join(n, "clip")
+    p = a.join(fr.select("clip", F.col("f").alias("end"), F.col("e").alias("eb")), "clip").where("end >= start + 20").join(n.where("n >= 22"), "clip").where("start <= n - 21")
     score = X.l1_mean(F.col("ea"), F.col("eb")) + 0.000025 * (F.col("n") - F.col("end")) + 0.00004 * F.col("start")
     return rounded(p.groupBy("clip").agg(F.count("*").alias("pairs"), F.min(score).alias("lowest")), "lowest")
 
 
 @query("t3_best_span", f"""with {_SPAN}, b as (select clip, arg_min(start, (score, start, "end")) as start, arg_min("end", (score, start, "end")) as "end", min(score) as score from p group by clip)
-select n.clip, n.n, case when n.n < 20 then 'too_short' when b.clip is null then 'not_found' else 'best_span' end as mode, b.start, b."end", round(b.score, 6) as score from n left join b on b.clip = n.clip""")
+select n.clip, n.n, case when n.n < 22 then 'too_short' when b.clip is null then 'not_found' else 'best_span' end as mode, b.start, b."end", round(b.score, 6) as score from n left join b on b.clip = n.clip""")
 def _(spark, d):
     return rounded(C.best_span(frames(spark, d).select("clip", "f", "e"), 8, 20), "score")
 
 
-@query("w11_crossfade", f"""with {NF}, k as (select frames.*, n, least(8, n // 5) as k from frames join n using (clip)), t as (select clip, k, f - (n - k) as i, e from k where f >= n - k), h as (select clip, f as i, e from k where f < k)
-select t.clip, t.i::bigint as i, p::bigint as pos, round(t.e[p + 1]::double * (1 - (t.i + 1)::double / (t.k + 1)) + h.e[p + 1]::double * ((t.i + 1)::double / (t.k + 1)), 6) as v from t join h on t.clip = h.clip and t.i = h.i, unnest(range(64)) u(p)""")
+@query("w11_crossfade", f"""with {NF}, k as (select frames.*, n, least(8, n // 5) as k from frames join n using (clip)), h as (select clip, f as i, e as h from k where f < k)
+select k.clip, k.f, p::bigint as pos, round(case when h.h is null then k.e[p + 1]::double else k.e[p + 1]::double * (1 - (h.i + 1)::double / (k.k + 1)) + h.h[p + 1]::double * ((h.i + 1)::double / (k.k + 1)) end, 6) as v
+from k left join h on k.clip = h.clip and k.f - (k.n - k.k) = h.i, unnest(range(64)) u(p)""")
 def _(spark, d):
     out = C.crossfade(frames(spark, d).select("clip", "f", "e"))
-    return out.select("clip", F.col("i").cast("long").alias("i"), F.posexplode("e").alias("pos", "v")).select("clip", "i", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("v"))
+    return out.select("clip", "f", F.posexplode("e").alias("pos", "v")).select("clip", "f", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("v"))
 
 
 @query("w12_seam", f"with {NF}, b as (select a.clip, {_L1.format(a='a.e', b='b.e')} as s from frames a join n on n.clip = a.clip and a.f = 0 join frames b on b.clip = a.clip and b.f = n.n - 1) select clip, round(s, 6) as seam, case when s <= 0.012 then 'direct' else 'crossfade' end as closure from b")
@@ -139,7 +140,7 @@ def _(spark, d):
     return rounded(out.groupBy("clip", "f").agg(F.count_if("core").alias("core"), F.count_if(F.expr("core and was < 0.6")).alias("repaired"), F.count_if("severe").alias("severe"), F.sum("v").alias("mass")), "mass")
 
 
-@query("c4_unmix", f"with {PX1}, l as (select a.clip, a.f, a.y, a.x, avg(b.v) as loc from px a join px b on a.clip = b.clip and a.f = b.f and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by all) select clip, f, y, x, round(least(1, greatest(0, 1 - v / greatest(loc, 1e-6))), 6) as coverage from px join l using (clip, f, y, x)")
+@query("c4_unmix", f"with {PX1}, l0 as (select *, avg(v) over (partition by clip, f, y order by x range between 1 preceding and 1 following) as row_mean from px), l as (select *, avg(row_mean) over (partition by clip, f, x order by y range between 1 preceding and 1 following) as loc from l0) select clip, f, y, x, round(least(1, greatest(0, 1 - v / greatest(loc, 1e-6))), 6) as coverage from l")
 def _(spark, d):
     return rounded(C.unmixed(px1(spark, d), "v"), "coverage")
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from framewell.functions import exprs as X
 from framewell.operators import telemetry as T
+from framewell.operators.ranks import placed
 from framewell.plans.registry import query, table
 
 K = "cast(json_extract_string(props, '$.k') as bigint)"
@@ -94,10 +95,10 @@ def _(spark, d):
 
 @query("p10_runtime_shapes", f"""
 select event_id, case event_type when 'view' then value * 1000 when 'click' then value when 'purchase' then value * 1000 / 96
-  when 'signup' then {K} / 1000.0 else null end as frame_ms from events""")
+  when 'signup' then {K} / 1000.0 when 'error' then value / 2 end as frame_ms from events""")
 def _(spark, d):
     v = F.col("value")
-    ms = F.when(F.col("event_type") == "view", v * 1000).when(F.col("event_type") == "click", v).when(F.col("event_type") == "purchase", v * 1000 / 96).when(F.col("event_type") == "signup", _k() / F.lit(1000.0))
+    ms = F.when(F.col("event_type") == "view", v * 1000).when(F.col("event_type") == "click", v).when(F.col("event_type") == "purchase", v * 1000 / 96).when(F.col("event_type") == "signup", _k() / F.lit(1000.0)).when(F.col("event_type") == "error", v / 2).otherwise(F.raise_error(F.concat(F.lit("no runtime shape for "), F.coalesce("event_type", F.lit("null")))))
     return table(spark, d, "events").select("event_id", ms.alias("frame_ms"))
 
 
@@ -286,11 +287,11 @@ def _(spark, d):
     return T.first_acceptable(table(spark, d, "events"), "user_id", [F.col("ts"), F.col("event_id")], F.col("value") > 80, "event_id")
 
 
-@query("t5_latest_listing", "select o_custkey, max(o_orderdate) as last_order, row_number() over (order by max(o_orderdate) desc, o_custkey) as pos from orders group by o_custkey order by pos limit 100")
+@query("t5_latest_listing", "select o_custkey, max(o_orderdate) as last_order, row_number() over (order by max(o_orderdate) desc, o_custkey) as pos from orders group by o_custkey order by pos")
 def _(spark, d):
     last = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_order"))
-    top = last.orderBy(F.desc("last_order"), "o_custkey").limit(100)  # a top-k report
-    return top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("last_order"), "o_custkey")).cast("long"))
+    newest = -F.unix_date(F.col("last_order").cast("date")).cast("double")
+    return placed(last, newest, [F.desc("last_order"), "o_custkey"], "pos").withColumn("pos", F.col("pos") + 1)
 
 
 @query("t7_explicit_order", "select event_id, coalesce(list_position(['purchase', 'click', 'view'], event_type), 0)::bigint as pos from events")

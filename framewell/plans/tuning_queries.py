@@ -93,11 +93,15 @@ def _(spark, d):
     return table(spark, d, "nation").select("n_nationkey", merged["name"].alias("name"), merged["region"].alias("region"))
 
 
-@query("p17_bounds", """
-select p_partkey, case when p_size not between 5 and 40 then 'size' else 'price' end as parameter from part where p_size not between 5 and 40 or p_retailprice not between 910 and 1500""")
+#: parameter, column, least, most
+BOUNDS = [("size", "p_size", 5.0, 40.0), ("price", "p_retailprice", 910.0, 1500.0)]
+
+
+@query("p17_bounds", "with b(parameter, lo, hi) as (values ('size', 5.0::double, 40.0::double), ('price', 910.0::double, 1500.0::double)), v as (select p_partkey, 'size' as parameter, p_size::double as value from part union all select p_partkey, 'price', p_retailprice::double from part) select p_partkey, parameter, value from v join b using (parameter) where value not between lo and hi")
 def _(spark, d):
-    size, price = F.col("p_size").between(5, 40), F.col("p_retailprice").between(910, 1500)
-    return table(spark, d, "part").where(~size | ~price).select("p_partkey", F.when(~size, "size").otherwise("price").alias("parameter"))
+    bounds = spark.createDataFrame([(name, lo, hi) for name, _, lo, hi in BOUNDS], "parameter string, lo double, hi double")
+    values = F.map_from_arrays(F.array(*[F.lit(name) for name, *_ in BOUNDS]), F.array(*[F.col(c).cast("double") for _, c, *_ in BOUNDS]))
+    return U.out_of_bounds(table(spark, d, "part").select("p_partkey", values.alias("values")), ["p_partkey"], "values", bounds).select("p_partkey", "parameter", "value")
 
 
 @query("p21_viable", f"{CFG} select key from cfg where mae <= 0.051 and leak <= 0.335 and status = 'ok'")
@@ -105,27 +109,52 @@ def _(spark, d):
     return configs(spark, d).where("mae <= 0.051 and leak <= 0.335 and status = 'ok'").select("key")
 
 
-_BASE = f"""{CFG}, base as (select * from cfg where id = 1),
+# the baseline: supplier 1's measures, scaled down so that the guardrails part the rows
+_BASE = f"""{CFG}, base as (select mae * 0.66::double as mae, fringe * 0.68::double as fringe, leak * 0.24::double as leak, temporal, runtime_ms from cfg where id = 1),
 cmp as (select c.*, c.mae - b.mae as dm, c.fringe - b.fringe as df, c.mae / nullif(b.mae, 0) as rm, c.fringe / nullif(b.fringe, 0) as rf,
-  coalesce(c.mae <= b.mae * 1.05, false) as gm, coalesce(c.fringe <= b.fringe * 1.02, false) as gf, coalesce(c.temporal <= b.temporal * 1.1, false) as gt from cfg c cross join base b)"""
-LIMITS = {"mae": 1.05, "fringe": 1.02, "temporal": 1.1}
+  coalesce(c.mae <= greatest(b.mae * 1.5, 0), false) as gm, coalesce(c.leak <= greatest(b.leak * 4.0, 0.004::double), false) as gl, coalesce(c.fringe <= greatest(b.fringe * 1.5, 0), false) as gf from cfg c cross join base b)"""
+#: name, metric, factor, least: of the foreground (here mae), the background (here leak) and the green edge
+LIMITS = [("foreground_retention", "mae", 1.5, 0.0), ("background_control", "leak", 4.0, 0.004), ("green_edge", "fringe", 1.5, 0.0)]
+
+
+def baseline(cfg):
+    return cfg.where("id = 1").select((F.col("mae") * 0.66).alias("mae"), (F.col("fringe") * 0.68).alias("fringe"), (F.col("leak") * 0.24).alias("leak"), "temporal", "runtime_ms")
 
 
 @query("j3_baseline_comparison", f"""{_BASE}
-select key, round(dm, 6) as delta_mae, round(df, 6) as delta_fringe, round(rm, 6) as ratio_mae, round(rf, 6) as ratio_fringe, gm as guard_mae, gf as guard_fringe, gt as guard_temporal, gm and gf and gt as guardrail from cmp""")
+select key, round(dm, 6) as delta_mae, round(df, 6) as delta_fringe, round(rm, 6) as ratio_mae, round(rf, 6) as ratio_fringe, gm as guard_foreground_retention, gl as guard_background_control, gf as guard_green_edge, gm and gl and gf as guardrail from cmp""")
+def _(spark, d):
+    cfg = configs(spark, d)
+    out = U.against_baseline(cfg, baseline(cfg), METRICS, LIMITS)
+    return out.select("key", *[F.round(c, 6).alias(c) for c in ("delta_mae", "delta_fringe", "ratio_mae", "ratio_fringe")], *[f"guard_{name}" for name, *_ in LIMITS], "guardrail")
+
+
+@query("j3_tuned_baseline", f"""{CFG}, c as (select 'complete' as wanted, 5 as id union all select 'incomplete', 13 union all select 'absent', -1),
+t as (select wanted, key as source, mae, fringe, leak, temporal from c join cfg using (id) where mae is not null and fringe is not null and leak is not null and temporal is not null),
+l as (select mae, fringe, leak, temporal from cfg where id = 1)
+select c.wanted, coalesce(t.source, 'legacy') as source, coalesce(t.mae, l.mae) as mae, coalesce(t.temporal, l.temporal) as temporal from c left join t using (wanted) cross join l""")
 def _(spark, d):
     cfg = configs(spark, d)
-    out = U.against_baseline(cfg, cfg.where("id = 1"), METRICS, LIMITS)
-    return out.select("key", *[F.round(c, 6).alias(c) for c in ("delta_mae", "delta_fringe", "ratio_mae", "ratio_fringe")], "guard_mae", "guard_fringe", "guard_temporal", "guardrail")
+    found = [U.baseline_of(cfg, F.col("id") == i, METRICS[:4], cfg.where("id = 1")).select(F.lit(w).alias("wanted"), "source", "mae", "temporal") for w, i in (("complete", 5), ("incomplete", 13), ("absent", -1))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 _DOMINATES = " and ".join(f"b.{m} <= a.{m}" for m in METRICS) + " and (" + " or ".join(f"b.{m} < a.{m}" for m in METRICS) + ")"
 _COMPLETE = " and ".join(f"{m} is not null" for m in METRICS)
 
 
-@query("j4_pareto_all", f"{CFG} select key from cfg a where {_COMPLETE} and not exists (select 1 from cfg b where {_DOMINATES})")
+_OK = "ok as (select * from cfg where status = 'ok')"
+
+
+@query("j4_pareto_all", f"{CFG}, {_OK} select key from ok a where {_COMPLETE} and not exists (select 1 from ok b where {_DOMINATES})")
 def _(spark, d):
-    return U.frontier(configs(spark, d), "key", METRICS)
+    return U.frontier(configs(spark, d).where("status = 'ok'"), "key", METRICS)
+
+
+@query("j4_pareto_recommended", f"{CFG}, f as (select * from cfg where status = 'ok' and id % 5 = 0 and {_ELIGIBLE}) select key from f a where {_COMPLETE} and not exists (select 1 from f b where {_DOMINATES})")
+def _(spark, d):
+    recommended = table(spark, d, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("id"))
+    return U.frontier(U.eligibility(configs(spark, d), RULES).where("eligible and status = 'ok'").join(recommended, "id", "left_semi"), "key", METRICS)
 
 
 @query("j4_pareto_final", f"{CFG}, f as (select * from cfg where status = 'ok' and {_ELIGIBLE}) select key from f a where {_COMPLETE} and not exists (select 1 from f b where {_DOMINATES})")
@@ -133,16 +162,16 @@ def _(spark, d):
     return U.frontier(U.eligibility(configs(spark, d), RULES).where("eligible and status = 'ok'"), "key", METRICS)
 
 
-@query("j4_pareto_guarded", f"{_BASE}, f as (select * from cmp where gm and gf and gt and {_ELIGIBLE}) select key from f a where {_COMPLETE} and not exists (select 1 from f b where {_DOMINATES})")
+@query("j4_pareto_guarded", f"{_BASE}, f as (select * from cmp where status = 'ok' and gm and gl and gf and {_ELIGIBLE}) select key from f a where {_COMPLETE} and not exists (select 1 from f b where {_DOMINATES})")
 def _(spark, d):
     cfg = configs(spark, d)
-    guarded = U.against_baseline(cfg, cfg.where("id = 1"), METRICS, LIMITS).where("guardrail")
+    guarded = U.against_baseline(cfg, baseline(cfg), METRICS, LIMITS).where("guardrail and status = 'ok'")
     return U.frontier(U.eligibility(guarded, RULES).where("eligible"), "key", METRICS)
 
 
-@query("t8_sorted_frontier", f"{CFG} select string_agg(key, ',' order by key) as keys from cfg a where {_COMPLETE} and not exists (select 1 from cfg b where {_DOMINATES})")
+@query("t8_sorted_frontier", f"{CFG}, {_OK} select string_agg(key, ',' order by key) as keys from ok a where {_COMPLETE} and not exists (select 1 from ok b where {_DOMINATES})")
 def _(spark, d):
-    return U.frontier(configs(spark, d), "key", METRICS).agg(F.array_join(F.sort_array(F.collect_list("key")), ",").alias("keys"))
+    return U.frontier(configs(spark, d).where("status = 'ok'"), "key", METRICS).agg(F.array_join(F.sort_array(F.collect_list("key")), ",").alias("keys"))
 
 
 _RANKS = " + ".join(f"{w} * (row_number() over (partition by provider order by {m}, key) - 1) / greatest(1, count(*) over (partition by provider) - 1)" for m, w in WEIGHTS.items())
@@ -154,6 +183,15 @@ def _(spark, d):
     return U.group_scores(rows, "provider", "key", WEIGHTS).withColumn("score", F.round("score", 6))
 
 
+_ALL_RANKS = " + ".join(f"{w} * (row_number() over (order by {m}, key) - 1) / greatest(1, count(*) over () - 1)" for m, w in WEIGHTS.items())
+
+
+@query("w7_rank_scores_all", f"{CFG}, ok as (select * from cfg where status = 'ok' and {_COMPLETE}) select key, round({_ALL_RANKS}, 6) as score from ok")
+def _(spark, d):
+    rows = configs(spark, d).where(f"status = 'ok' and {_COMPLETE}")
+    return U.selection_scores(rows, "key", WEIGHTS).withColumn("score", F.round("score", 6))
+
+
 @query("t1_guarded_best", f"""{CFG}, t as (select *, case when coalesce(temporal, 9) < 0.26 and mae <= 0.051 then 0 when mae <= 0.051 then 1 else 2 end as tier from cfg)
 select provider, arg_min(key, (tier, fringe, mae, key)) as key, min(tier) as tier from t group by provider""")
 def _(spark, d):
@@ -185,10 +223,8 @@ def _(spark, d):
 
 @query("j10_default_override", "select p_partkey, coalesce(case when p_partkey % 3 = 0 then p_size end, 25) as width, coalesce(case when p_partkey % 5 = 0 then p_type end, 'auto') as mode from part")
 def _(spark, d):
-    parts = table(spark, d, "part")
-    wide = parts.where("p_partkey % 3 = 0").select("p_partkey", F.col("p_size").alias("w"))
-    mode = parts.where("p_partkey % 5 = 0").select("p_partkey", F.col("p_type").alias("m"))
-    return parts.select("p_partkey").join(wide, "p_partkey", "left").join(mode, "p_partkey", "left").select("p_partkey", F.coalesce("w", F.lit(25)).alias("width"), F.coalesce("m", F.lit("auto")).alias("mode"))
+    width, mode = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size")), F.when(F.col("p_partkey") % 5 == 0, F.col("p_type"))
+    return table(spark, d, "part").select("p_partkey", F.coalesce(width, F.lit(25)).alias("width"), F.coalesce(mode, F.lit("auto")).alias("mode"))
 
 
 @query("j11_comparison_cube", """
@@ -203,25 +239,25 @@ def _(spark, d):
     return out.unionByName(out.where("s_suppkey = 1").withColumn("s_name", F.concat("s_name", F.lit(" (copy)"))))
 
 
-_PARETO = f"select key from cmp a where {_COMPLETE} and {_ELIGIBLE} and not exists (select 1 from (select * from cmp where {_ELIGIBLE}) b where {_DOMINATES})"
+_PARETO = f"select key from cmp a where {_COMPLETE} and status = 'ok' and {_ELIGIBLE} and not exists (select 1 from (select * from cmp where status = 'ok' and {_ELIGIBLE}) b where {_DOMINATES})"
 
 
 @query("i10_tuning_aggregate", f"""{_BASE}, front as ({_PARETO})
-select cmp.key, {_ELIGIBLE} as eligible, gm and gf and gt as guardrail, round(dm, 6) as delta_mae, round(rm, 6) as ratio_mae, front.key is not null as on_frontier,
+select cmp.key, {_ELIGIBLE} as eligible, gm and gl and gf as guardrail, round(dm, 6) as delta_mae, round(rm, 6) as ratio_mae, front.key is not null as on_frontier,
   case when status = 'unknown' or temporal is null then 'error' else 'ok' end as state from cmp left join front on front.key = cmp.key""")
 def _(spark, d):
     cfg = configs(spark, d)
-    rows = U.eligibility(U.against_baseline(cfg, cfg.where("id = 1"), METRICS, LIMITS), RULES)
-    front = U.frontier(rows.where("eligible"), "key", METRICS).withColumn("on_frontier", F.lit(True))
+    rows = U.eligibility(U.against_baseline(cfg, baseline(cfg), METRICS, LIMITS), RULES)
+    front = U.frontier(rows.where("eligible and status = 'ok'"), "key", METRICS).withColumn("on_frontier", F.lit(True))
     return rows.join(front, "key", "left").select(
         "key", "eligible", "guardrail", F.round("delta_mae", 6).alias("delta_mae"), F.round("ratio_mae", 6).alias("ratio_mae"), F.coalesce("on_frontier", F.lit(False)).alias("on_frontier"),
         F.when((F.col("status") == "unknown") | F.col("temporal").isNull(), "error").otherwise("ok").alias("state"),
     )
 
 
-@query("i10_header", f"""{_BASE} select count(distinct provider) as providers, count(*) as configs, count(*) filter ({_ELIGIBLE}) as eligible, count(*) filter ({_ELIGIBLE} and gm and gf and gt) as eligible_guarded,
+@query("i10_header", f"""{_BASE} select count(distinct provider) as providers, count(*) as configs, count(*) filter ({_ELIGIBLE}) as eligible, count(*) filter ({_ELIGIBLE} and gm and gl and gf) as eligible_guarded,
   count(*) filter (status = 'unknown' or temporal is null) as errors from cmp""")
 def _(spark, d):
     cfg = configs(spark, d)
-    rows = U.eligibility(U.against_baseline(cfg, cfg.where("id = 1"), METRICS, LIMITS), RULES)
+    rows = U.eligibility(U.against_baseline(cfg, baseline(cfg), METRICS, LIMITS), RULES)
     return rows.agg(F.count_distinct("provider").alias("providers"), F.count("*").alias("configs"), F.count_if("eligible").alias("eligible"), F.count_if(F.expr("eligible and guardrail")).alias("eligible_guarded"), F.count_if(F.expr("status = 'unknown' or temporal is null")).alias("errors"))

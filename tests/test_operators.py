@@ -91,5 +91,123 @@ def test_upsert_is_idempotent(spark):
 
 def test_baseline_zero_and_null(spark):
     df = spark.createDataFrame([("a", 0.0, 1.0), ("b", 2.0, None)], "key string, m double, n double")
-    got = {r.key: r for r in U.against_baseline(df, df.where("key = 'a'"), ["m", "n"], {"m": 1.0, "n": 1.0}).collect()}
+    got = {r.key: r for r in U.against_baseline(df, df.where("key = 'a'"), ["m", "n"], [("m", "m", 1.0, 0.0), ("n", "n", 1.0, 0.0)]).collect()}
     assert got["b"].ratio_m is None and not got["b"].guardrail and got["a"].guardrail
+
+
+def rgba(spark, rows):
+    return spark.createDataFrame([("c", 0, y, x, *map(float, p)) for y, row in enumerate(rows) for x, p in enumerate(row)], "clip string, f int, y int, x int, r double, g double, b double, a double")
+
+
+GREEN, RED, GREY = (0.1, 0.9, 0.1), (0.9, 0.1, 0.1), (0.5, 0.5, 0.5)
+
+
+def test_confident_background_is_reached_from_the_border(spark):
+    grid = [[(*GREEN, 0)] * 5, [(*GREEN, 0), *[(*RED, 1)] * 3, (*GREEN, 0)], [(*GREEN, 0), (*RED, 1), (*GREEN, 1), (*RED, 1), (*GREEN, 0)], [(*GREEN, 0), *[(*RED, 1)] * 3, (*GREEN, 0)], [(*GREEN, 0)] * 5]
+    px = P.confident(rgba(spark, grid), 5, 5)
+    assert {(r.y, r.x) for r in px.where("bg").collect()} == {(y, x) for y in range(5) for x in range(5) if y in (0, 4) or x in (0, 4)}
+    assert px.where("fg").count() == 8 and not px.where("y = 2 and x = 2").first().reached
+
+
+def test_frame_metrics_by_hand(spark):
+    # background: alpha 0, 0.2 (mean 0.1); foreground: alpha 1, 0.7 (loss 0.15); the grey pixel is foreground too: its score is 0
+    grid = [[(*GREEN, 0.0), (*GREEN, 0.2)], [(*RED, 1.0), (*GREY, 0.7)]]
+    px = P.confident(rgba(spark, grid), 2, 2).withColumns({f"out_{c}": F.col(c) for c in "rgb"})
+    got = P.frame_metrics(px, 2).first()
+    assert got.background_alpha_mean == pytest.approx(0.1) and got.foreground_loss_mean == pytest.approx(0.15) and got.pseudo_mae == pytest.approx(0.125)
+    assert got.green_fringe == pytest.approx((0.8 * 0.2 + 0.0) / 2)  # soft: alpha 0.2 with green over red and blue by 0.8, and 0.7 with none
+    assert got.opaque_green_leak_pct == 0 and got.soft_alpha_pct == 50 and got.coverage_pct == 75
+    assert got.fragment_pct == 0 and got.fragment_count == -1  # one component of three pixels, none of four
+    nothing = P.frame_metrics(P.confident(rgba(spark, [[(*GREY, 0.0)]]), 1, 1).withColumns({f"out_{c}": F.col(c) for c in "rgb"}), 1).first()
+    assert nothing.background_alpha_mean == 1 and nothing.foreground_loss_mean == 1 and nothing.fragment_count == 0
+
+
+def test_fragments_by_hand(spark):
+    grid = ["1111.1", "......", "11..11", "11..11"]
+    px = rgba(spark, [[(*GREY, 1.0 if c == "1" else 0.0) for c in row] for row in grid])
+    got = P.fragments(px, F.col("a") > 0.08, 6).first()
+    assert got.fragment_pct == pytest.approx(9 / 13 * 100) and got.fragment_count == 2  # areas 4, 1, 4, 4
+
+
+def test_matte_qa_by_hand(spark):
+    rows = []
+    for f in range(7):  # step 1, six samples, the middle one is frame 3
+        for i in range(8):
+            seen = f != 5 and i < (2 if f == 3 else 4)
+            rows.append(("c", f, 0, i, 0.2, 0.9 if f == 2 and i == 0 else 0.2, 0.2, 1.0 if seen else 0.0))
+    px = spark.createDataFrame(rows, "clip string, f int, y int, x int, r double, g double, b double, a double")
+    got = P.matte_qa(px).first()
+    assert got.residual == 1.0 and got.mid_visible == 0.25 and got.sampled == 6  # frame 5 is empty
+    got = P.matte_qa(px.where("f <> 5")).first()
+    assert got.residual == 0.0  # pixel 0 is more than two pixels from the outside in frame 2: only what is in the frame counts
+
+
+def test_plane_comparison_by_hand(spark):
+    want = plane(spark, [[[1.0, 1.0, 1.0, 0.0]]])
+    got = P.plane_comparison(plane(spark, [[[1.0, 0.9, 0.4, 0.1]]]), want, "v").first()
+    assert got.reference_interior_soft_fraction == pytest.approx(2 / 3) and got.reference_interior_hole_fraction == pytest.approx(1 / 3) and got.reference_background_leak_fraction == 1
+    assert got.alpha_mae == pytest.approx((0 + 25 + 153 + 26) / 255 / 4)
+
+
+def test_edge_luminance_by_hand(spark):
+    white, dark = (1.0, 1.0, 1.0), (0.2, 0.2, 0.2)
+    px = rgba(spark, [[(*white, 0.0), (*white, 1.0), (*dark, 1.0), (*dark, 1.0)]])
+    got = P.edge_luminance(px, 1.0, (2.0, 3.0), 3).first()
+    assert (got.edge_luma_mean, got.inner_luma_mean, got.bright_neutral_edge_pct) == (pytest.approx(1.0), pytest.approx(0.2), 100)
+    thin = P.edge_luminance(px.where("x < 2"), 1.0, (2.0, 3.0), 3).first()
+    assert thin.inner_luma_mean == thin.edge_luma_mean and thin.edge_luma_excess == 0
+
+
+def test_spans_near_the_least_length(spark):
+    def of(n):
+        return [(f"n{n}", f, [float(f)]) for f in range(n)]
+
+    frames = spark.createDataFrame(of(21) + of(22) + of(40), "clip string, f int, e array<double>")
+    spans = {r.clip: r for r in C.best_span(frames, 8, 20).collect()}
+    assert spans["n21"].mode == "too_short" and spans["n21"].start is None
+    assert spans["n22"].mode == "best_span" and spans["n22"].start <= 1
+
+
+def test_crossfade_closes_the_clip(spark):
+    frames = spark.createDataFrame([("c", f, [float(f)]) for f in range(10)] + [("d", f, [float(f)]) for f in range(4)], "clip string, f int, e array<double>")
+    got = {(r.clip, r.f): r.e[0] for r in C.crossfade(frames).collect()}
+    assert len(got) == 14 and [got["c", f] for f in range(8)] == list(map(float, range(8)))
+    assert got["c", 8] == pytest.approx(8 * 2 / 3) and got["c", 9] == pytest.approx(9 / 3 + 2 / 3)
+    assert [got["d", f] for f in range(4)] == [0, 1, 2, 3]
+
+
+def test_guardrails_and_fallback_baseline(spark):
+    cfg = spark.createDataFrame([("a", 1.0, 0.001), ("b", 1.5, 0.004), ("c", 1.6, 0.0041), ("d", None, 0.0)], "key string, loss double, back double")
+    limits = [("fg", "loss", 1.5, 0.0), ("bg", "back", 4.0, 0.004)]
+    got = {r.key: (r.guard_fg, r.guard_bg, r.guardrail) for r in U.against_baseline(cfg, cfg.where("key = 'a'"), ["loss", "back"], limits).collect()}
+    assert got == {"a": (True, True, True), "b": (True, True, True), "c": (False, False, False), "d": (False, True, False)}
+    assert U.baseline_of(cfg, F.col("key") == "b", ["loss", "back"], cfg.where("key = 'a'")).first().source == "b"
+    assert U.baseline_of(cfg, F.col("key") == "d", ["loss", "back"], cfg.where("key = 'a'")).first().source == "legacy"
+
+
+def test_out_of_bounds_reports_every_parameter(spark):
+    rows = spark.createDataFrame([(1, {"a": 5.0, "b": 9.0}), (2, {"a": 0.0, "b": 1.0})], "id int, values map<string,double>")
+    bounds = spark.createDataFrame([("a", 0.0, 1.0), ("b", 0.0, 1.0)], "parameter string, lo double, hi double")
+    assert sorted((r.id, r.parameter) for r in U.out_of_bounds(rows, ["id"], "values", bounds).collect()) == [(1, "a"), (1, "b")]
+
+
+def test_places_over_ranges(spark):
+    from framewell.operators.ranks import placed
+
+    rows = [((i * 37) % 101 % 20, i) for i in range(500)]
+    got = {(r.v, r.i): r.place for r in placed(spark.createDataFrame(rows, "v int, i int").repartition(7), F.col("v").cast("double"), ["v", "i"], "place").collect()}
+    assert [got[r] for r in sorted(rows)] == list(range(500))
+
+
+def test_nearest_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    cells = [("c", f, y, x, rng.random(), rng.choice(["w", "s", "n"])) for f in range(3) for y in range(9) for x in range(7)]
+    px = spark.createDataFrame(cells, "clip string, f int, y int, x int, v double, kind string")
+    got = {(r.f, r.y, r.x): (r.v, r.distance) for r in P.nearest(px, F.col("kind") == "w", F.col("kind") == "s", "v", 2).collect()}
+    for _, f, y, x, _, kind in cells:
+        if kind == "w":
+            near = sorted(((b - y) ** 2 + (a - x) ** 2, b, a, v) for _, g, b, a, v, k in cells if g == f and k == "s" and abs(b - y) <= 2 and abs(a - x) <= 2)
+            want = (near[0][3], near[0][0] ** 0.5) if near else (None, None)
+            assert got[f, y, x] == pytest.approx(want) if near else got[f, y, x] == want

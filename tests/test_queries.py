@@ -23,7 +23,7 @@ def duck():
 def text(v) -> str:
     if v is None or v is pd.NaT or v != v:
         return "~"
-    return str(v) if isinstance(v, (bool, str)) or not hasattr(v, "__float__") else f"{float(v):.9g}"
+    return str(v) if isinstance(v, (bool, str)) or not hasattr(v, "__float__") else f"{float(v) + 0.0:.9g}"
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
