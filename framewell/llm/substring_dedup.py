@@ -45,6 +45,8 @@ COMBINE = 8 << 20
 GROUP = 20_000
 #: Places that a task gathers before it sends them on.
 MARKS = 1 << 20
+#: Partitions of texts for one of suffixes.
+SHARE = 3
 #: Parts that the documents of a common anchor are dealt to while anchors are counted.
 PARTS = 64
 
@@ -417,7 +419,8 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     dealt = docs.repartition(n, "doc_id")
     digest = F.hash("text").alias("digest")
     suffixes = dealt.join(lists, "doc_id").select("doc_id", "text", digest, "anchors", "hot").mapInArrow(_suffixes(window, common), SUFFIX)
-    marks = suffixes.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_trees(window), "doc_id long, digest int, starts array<int>")
+    # suffixes are small: fewer and larger tasks send on fewer rows for each text
+    marks = suffixes.repartition(max(1, n // SHARE), "key").sortWithinPartitions("key", "doc_id").mapInArrow(_trees(window), "doc_id long, digest int, starts array<int>")
     # dealt by doc_id as the texts are; texts that differ under one doc_id have marks of their own
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "starts")).alias("lists"))
     own = F.transform(F.filter("lists", lambda x: x["digest"] == F.hash("text")), lambda x: x["starts"])
