@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewell.llm.common import table
+from framewell.llm.common import free_name, identity, table
 from framewell.llm.words import U, mix, ngrams, pieces, shingle_sets, words
 
 #: Items that are broadcast at once: about 8 bytes a shingle and permutation, some MB.
@@ -162,8 +162,10 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 8
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns kept, that contain no item."""
-    return docs.join(contaminated(docs, items, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, all columns kept, that contain no item. Rows with a null doc_id are searched too; rows that repeat a doc_id go together."""
+    key = free_name(docs.columns, "_key")
+    found = contaminated(docs.select(identity().alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, identity()).join(found, key, "left_anti").select(*docs.columns)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
