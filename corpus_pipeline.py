@@ -1,16 +1,17 @@
 """A corpus pipeline of five stages over `documents`.
 
 Each stage takes what the stage before it kept, as Parquet, and all but the last return the columns
-of documents. Rows with a null doc_id pass the stages that only judge text; the join drops them, since they
-have no identity to keep one of a group by.
+of documents. A row with a null doc_id is judged as any other: where a stage needs an identity, a hash of
+its text is taken, above all ids, so that of a group of copies a row with an id stays before one without.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framewell.llm import decontaminate, language_id, ngram_join, packing, secrets_scan
-from framewell.llm.common import table, written
+from framewell.llm.common import free_name, identity, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +21,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of linked documents."""
-    joined = ngram_join.ngram_join(docs)
-    kept = joined.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps the document with the smallest doc_id of each group of linked documents; rows that repeat its doc_id are one document and stay together."""
+    key = free_name(docs.columns, "_key")
+    joined = ngram_join.ngram_join(docs.select(identity().alias("doc_id"), "text"))
+    kept = joined.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, identity()).join(kept, key, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
