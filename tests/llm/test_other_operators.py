@@ -314,3 +314,20 @@ def test_pipeline(spark):
     assert not whole & kept[2]
     assert len({t for t in texts.values()}) == len(texts)
     assert stages[3][1].where(F.rlike("text", F.lit('token = "[0-9a-f]{40}"'))).count() == 0
+
+
+def test_pipeline_null_ids(spark):
+    """Rows without an id are compared and searched as others; a row with an id stays before one without, and an extra column named as ours is kept."""
+    rng = random.Random(5)
+    long = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4)]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").orderBy("item_id").first().text
+    rows = [(7, long[0]), (None, long[0]), (None, long[1]), (None, long[1] + " more"), (None, None), (None, ""), (8, None), (42, long[2]), (None, f"{long[3]} {item}")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _KEY string")
+    stages = dict(corpus_pipeline.STAGES)
+    joined = stages["n-gram Jaccard join"](spark, docs, SF)
+    assert joined.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in joined.collect()]
+    assert sorted(got, key=str) == sorted([r for r in rows if r not in ((None, long[0]), (None, long[1]), (None, long[1] + " more"))] + [r for r in got if (r[1] or "").startswith(long[1])], key=str)
+    assert sum((t or "").startswith(long[1]) for _, t in got) == 1
+    clean = stages["benchmark decontamination"](spark, docs, SF)
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted(rows[:-1], key=str)
