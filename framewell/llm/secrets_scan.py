@@ -54,7 +54,12 @@ FORMS = [
     ("", CANDIDATE),
 ]
 _FORM = "|".join(f"({before})({candidate})" for before, candidate in FORMS)
+#: The forms that need no telling name, and those that need neither `=` nor `:`.
+_UNNAMED = "|".join(before + candidate for before, candidate in FORMS if _NAME not in before)
+_BARE = "|".join(candidate for before, candidate in FORMS if not before)
 _MARKED = "".join(f"${2 * k + 1}" for k in range(len(FORMS))) + "\x01" + "".join(f"${2 * k + 2}" for k in range(len(FORMS))) + "\x01"
+#: Parts of a text whose start is summed at a time.
+BLOCK = 256
 #: No candidate is shorter, so that NEAR characters hold less than NEAR / SHORTEST of them.
 SHORTEST = 6
 TELLING = r"(?i)(token|secret|passw|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|auth|bearer)"
@@ -62,17 +67,24 @@ HARMLESS = r"(?i)(sha|md5|commit|digest|checksum|etag|uuid|guid|revision|example
 WORDS = "about access account admin all and api app are auth base because build bytes cache check class client code com commit config content count data date default docs download en example example1 false file files first for from get group have hello home html http https image index info input issue item json key last lib line link list local main make message model module more name net new node not null number object of on one option order org output page part path people php png post product public query read release report request response root sample script search section server service session set site size source start static status string style system table tag temp test text that the their there this time title type update upload uri url use user username users util value version view web when which with word world www year you your".split()
 
 
+def _held(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows plus a column that comes from a generator: a plain one would be copied into the functions that read it, and computed for each element."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def candidates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, start, candidate, before, after): start counts code points from 0."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), _MARK, " ")
-    marked = F.when(F.rlike(text, F.lit(_FORM)), F.split(F.regexp_replace(text, _FORM, _MARKED), _MARK))
     # between marks: plain, candidate, plain, candidate, ..., plain
-    parts = docs.select(key, marked.alias("parts")).where("parts is not null")
-    lengths = F.transform("parts", F.length)
-    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
-    tails = F.transform("parts", lambda x: F.substring(x, F.greatest(F.lit(1), F.length(x) - NEAR + 1), F.lit(NEAR)))
-    heads = F.transform("parts", lambda x: F.substring(x, 1, NEAR))
-    parts = parts.select(key, "parts", starts.alias("starts"), tails.alias("tails"), heads.alias("heads"))
+    # all other forms need one of these signs, most of them a telling name: the long pattern is for texts that have them
+    some = F.when(~F.rlike(text, F.lit("[=:]")), F.rlike(text, F.lit(_BARE))).when(F.rlike(text, F.lit(_NAME)), F.rlike(text, F.lit(_FORM))).otherwise(F.rlike(text, F.lit(_UNNAMED)))
+    rows = _held(docs.where(some).select(key, text.alias("text")), "parts", F.split(F.regexp_replace("text", _FORM, _MARKED), _MARK)).drop("text")
+    rows = _held(rows, "lengths", F.transform("parts", F.length))
+    rows = _held(rows, "tails", F.transform("parts", lambda x: F.substring(x, F.greatest(F.lit(1), F.length(x) - NEAR + 1), F.lit(NEAR))))
+    rows = _held(rows, "heads", F.transform("parts", lambda x: F.substring(x, 1, NEAR)))
+    # where each block of parts begins; inside its block a part's start is summed anew
+    sums = F.transform(F.sequence(F.lit(1), F.size("lengths"), F.lit(BLOCK)), lambda first: F.aggregate(F.slice("lengths", first, F.lit(BLOCK)), F.lit(0), lambda n, x: n + x))
+    rows = _held(rows, "begins", F.aggregate(sums, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n))))
     at = F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2))
     near = 2 * -(-NEAR // SHORTEST) + 1  # parts that hold NEAR characters, if there are as many
 
@@ -80,11 +92,15 @@ def candidates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         joined = F.array_join(F.slice("tails", F.greatest(F.lit(1), i - near + 1), F.least(i, F.lit(near))), "")
         return F.substring(joined, F.greatest(F.lit(1), F.length(joined) - NEAR + 1), F.lit(NEAR))
 
+    def start(i: Column) -> Column:
+        block = F.floor(i / F.lit(BLOCK)).cast("int")
+        return F.get("begins", block) + F.aggregate(F.slice("lengths", block * BLOCK + 1, i % BLOCK), F.lit(0), lambda n, x: n + x)
+
     found = F.transform(at, lambda i: F.struct(
-        F.get("starts", i).alias("start"), F.get("parts", i).alias("candidate"),
+        start(i).alias("start"), F.get("parts", i).alias("candidate"),
         before(i).alias("before"), F.substring(F.array_join(F.slice("heads", i + 2, F.lit(near)), ""), 1, NEAR).alias("after"),
     ))
-    return parts.select(key, F.explode(found).alias("f")).select(key, "f.*")
+    return rows.select(key, F.explode(found).alias("f")).select(key, "f.*")
 
 
 FEATURES = ["length", "digits", "uppers", "symbols", "changes", "distinct", "dictionary", "hex", "path", "address", "uuid", "telling", "assigned", "quoted", "harmless", "known"]
@@ -162,14 +178,14 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     worded = (form >= 6) & (form < 9)
     candidate, before = F.when(is_secret, secret).when(worded, setting).otherwise(other), F.when(is_secret, telling_).when(worded, assigned).otherwise(before)
     closing = F.when(is_secret & (form == 11), F.lit("@db.host/")).when(F.endswith(before, F.lit('"')), F.lit('" ')).when(F.endswith(before, F.lit("'")), F.lit("' ")).otherwise(F.lit(" "))
-    texts = rows.select("id", F.concat(before, candidate, closing, word(18)).alias("text"))
-    planted = rows.select("id", candidate.alias("planted"), is_secret.alias("of_secret"))
+    # written, since expressions over the rule's columns are too long to compile
+    texts = written(rows.select("id", F.concat(before, candidate, closing, word(18)).alias("text"), candidate.alias("planted"), is_secret.alias("of_secret")), "labelled-texts")
     label = F.col("of_secret") & (F.contains("planted", F.col("candidate")) | F.contains("candidate", F.col("planted")))
-    return candidates(texts, "id").join(planted, "id").select("candidate", "before", "after", label.cast("double").alias("label"))
+    return candidates(texts, "id").join(texts.drop("text"), "id").select("candidate", "before", "after", label.cast("double").alias("label"))
 
 
 def train(findings: DataFrame) -> RandomForestClassificationModel:
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(findings)).select("features", "label")
+    rows = written(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(findings)).select("features", "label"), "labelled-features")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(rows)
 
 
