@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,23 +88,59 @@ def motion(px: DataFrame, value: str, threshold: float, grow: int = 1) -> DataFr
     return P.morphology(moved, "motion", "max", grow)
 
 
-def smoothed(px: DataFrame, value: str, static: float, weight: float, band: float = 0.5) -> DataFrame:
-    """Forward recursive smoothing of each pixel: towards the smoothed value before, by `weight` where the input moved less than `static`, by `band` where it is soft, else not.
+def _folded(kinds: dict[str, str]):
+    """Rows (clip, f, y, x, v, w, place) of some pixels of a clip, v moved by w towards the result at the place before; the frame at the first place stays as it is."""
 
-    Every output depends on the output before it, so each pixel's series is folded; a series has a value a frame.
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("place", "ascending"), ("y", "ascending"), ("x", "ascending")])
+        v, w = (rows[c].to_numpy().copy() for c in ("v", "w"))
+        pixel = np.unique(rows["y"].to_numpy().astype(np.int64) << 32 | rows["x"].to_numpy(), return_inverse=True)[1]
+        place = rows["place"].to_numpy()
+        last = np.full(pixel.max() + 1, np.nan)
+        starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        for i, j in zip(starts, np.append(starts[1:], len(v))):
+            at, before = pixel[i:j], last[pixel[i:j]]
+            out = v[i:j] + w[i:j] * (before - v[i:j])
+            out = np.where(out < 0.012, 0.0, np.where(out > 0.992, 1.0, out))
+            last[at] = v[i:j] = np.where(np.isnan(before), v[i:j], out)
+        return rows.select(P.PIXEL).append_column("v", pa.array(v))
+
+    return run, ", ".join(f"{c} {kinds[c]}" for c in P.PIXEL) + ", v double"
+
+
+def smoothed(px: DataFrame, value: str, source: list[str], static: float = 0.65, band: float = 0.5, still: float = 0.006, trusted: float = 0.09, both: bool = True, lower: bool = False) -> DataFrame:
+    """(clip, f, y, x, value): each pixel's alpha drawn to the smoothed one of the frame before, then, with `both`, of the frame after; without optical flow, so that a pixel's neighbour is the same place.
+
+    The pull is `static` where the source's colours (mean difference over a 3 x 3 window) moved by less than
+    `still`, else `band` at most one pixel from a soft alpha, else none; all of it falls to 0 as the difference
+    nears `trusted`. Values under 0.012 and over 0.992 snap to 0 and 1. Clips of fewer than 3 frames stay as
+    they are. lower: the lower part of the subject's box keeps its alpha, since fast feet leave ghosts.
+    Pixels are dealt by clip, row and tiles of 64, so that a task holds a tile's series and not a clip.
     """
-    series = px.groupBy("clip", "y", "x").agg(F.array_sort(F.collect_list(F.struct("f", F.col(value).alias("v")))).alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("raw"), F.lit(None).cast("double").alias("out"), F.array().cast("array<double>").alias("all"))
-
-    def step(acc, x):
-        v = x["v"]
-        w = F.when(acc["raw"].isNull(), 0.0).when(F.abs(v - acc["raw"]) < static, weight).when((v > 0.02) & (v < 0.98), band).otherwise(0.0)
-        out = v + w * (F.coalesce(acc["out"], v) - v)
-        out = F.when(out < 0.012, 0.0).when(out > 0.992, 1.0).otherwise(out)
-        return F.struct(v.alias("raw"), out.alias("out"), F.concat(acc["all"], F.array(out)).alias("all"))
-
-    folded = series.select("clip", "y", "x", "s", F.aggregate("s", start, step)["all"].alias("all"))
-    return folded.select("clip", "y", "x", F.explode(F.arrays_zip("s", "all")).alias("z")).select("clip", F.col("z.s.f").alias("f"), "y", "x", F.col("z.all").alias(value))
+    w = Window.partitionBy("clip", "y", "x").orderBy("f")
+    step = sum((F.abs(F.col(c) - F.lag(c).over(w)) for c in source), F.lit(0.0)) / len(source)
+    base = px.select(*P.PIXEL, F.col(value).cast("double").alias("v"), step.alias("moved"))
+    moved = P.morphology(base, "moved", "avg", 1).withColumn("moved_next", F.lead("moved").over(w))
+
+    def swept(rows: DataFrame, change: str, place: Column) -> DataFrame:
+        rows = P.morphology(rows.withColumn("soft", ((F.col("v") > 0.02) & (F.col("v") < 0.98)).cast("int")), "soft", "max", 1)
+        pull = F.when(F.col(change) < still, static).when(F.col("soft") == 1, band).otherwise(0.0)
+        weight = F.coalesce(X.clamp(1 - F.col(change) / trusted) * pull, F.lit(0.0))
+        run, schema = _folded(dict(rows.dtypes))
+        held = rows.select(*P.PIXEL, "v", weight.alias("w"), place.alias("place"), F.floor(F.col("x") / 64).alias("tile"))
+        return held.groupBy("clip", "y", "tile").applyInArrow(lambda group: run(group.drop_columns("tile")), schema)
+
+    out = swept(moved, "moved", F.col("f").cast("long"))
+    if both:
+        out = swept(out.join(moved.select(*P.PIXEL, "moved_next"), P.PIXEL), "moved_next", -F.col("f").cast("long"))
+    n = base.groupBy("clip").agg(F.count_distinct("f").alias("n"))
+    rows = base.select(*P.PIXEL, F.col("v").alias("was")).join(out, P.PIXEL).join(n, "clip")
+    kept = F.col("n") < 3
+    if lower:
+        tall = base.where("v > 0.55").groupBy(*P.FRAME).agg((F.min("y") + F.rint((F.max("y") - F.min("y") + 1) * 0.52)).alias("cut"))
+        rows = rows.join(tall, P.FRAME, "left")
+        kept = kept | F.coalesce(F.col("y") >= F.col("cut"), F.lit(False))
+    return rows.select(*P.PIXEL, F.when(kept, F.col("was")).otherwise(F.col("v")).alias(value))
 
 
 def unsupported_fragments(mask: DataFrame, full: DataFrame, width: int, support: float = 0.25, cap: float = 0.08, least: int = 1) -> DataFrame:

@@ -107,16 +107,33 @@ def _(spark, d):
     return rounded(s.where("step is not null"), "step")
 
 
+_BOX3 = "range between 1 preceding and 1 following"
 _SNAP = "case when {o} < 0.012 then 0 when {o} > 0.992 then 1 else {o} end"
-_W = "case when abs(p.v - r.raw) < 0.3 then 0.65::double when p.v > 0.02 and p.v < 0.98 then 0.5::double else 0 end"
-_O = f"(p.v + ({_W}) * (r.o - p.v))"
 
 
-@query("w15_smoother", f"""with recursive {PX1}, r as (select clip, f, y, x, v as raw, ({_SNAP.format(o='v')})::double as o from px where f = 0
-  union all select p.clip, p.f, p.y, p.x, p.v, ({_SNAP.format(o=_O)})::double from r join px p on p.clip = r.clip and p.y = r.y and p.x = r.x and p.f = r.f + 1)
-select clip, f, y, x, round(o, 6) as v from r""")
+def _sweep(name: str, of: str, change: str, first: str, step: str) -> str:
+    """{name}: rows of `of` (clip, f, y, x, v and the change to the neighbour), folded from the frame `first` on by `step`."""
+    pull = f"coalesce(least(1, greatest(0, 1 - {change} / 0.9::double)) * case when {change} < 0.3 then 0.65::double when soft = 1 then 0.5::double else 0 end, 0)"
+    out = "(w.v + w.w * (r.o - w.v))"
+    return f"""{name}x as (select *, max((v > 0.02 and v < 0.98)::int) over (partition by clip, f, y order by x {_BOX3}) as soft_x from {of}),
+{name}y as (select *, max(soft_x) over (partition by clip, f, x order by y {_BOX3}) as soft from {name}x), {name}w as (select *, {pull} as w from {name}y),
+{name} as (select clip, f, y, x, v as o from {name}w where f = {first} union all select w.clip, w.f, w.y, w.x, ({_SNAP.format(o=out)})::double from {name} r join {name}w w on w.clip = r.clip and w.y = r.y and w.x = r.x and w.f = r.f {step} 1)"""
+
+
+_MOVED = f"""n as (select clip, count(*)::int as n from frames group by clip), d0 as (select *, abs(v - lag(v) over (partition by clip, y, x order by f)) as d from px), d1 as (select *, avg(d) over (partition by clip, f, y order by x {_BOX3}) as dx from d0),
+d2 as (select *, avg(dx) over (partition by clip, f, x order by y {_BOX3}) as moved from d1), mv as (select clip, f, y, x, v, moved, lead(moved) over (partition by clip, y, x order by f) as moved_next, n - 1 as final from d2 join n using (clip))"""
+_BOTH = f"with recursive {PX1}, {_MOVED}, {_sweep('fw', 'mv', 'moved', '0', '+')}, back as (select mv.* exclude (v), fw.o as v from mv join fw using (clip, f, y, x)), {_sweep('bw', 'back', 'moved_next', 'final', '-')}"
+
+
+@query("w15_smoother", f"{_BOTH} select clip, f, y, x, round(case when n < 3 then px.v else o end, 6) as v from px join bw using (clip, f, y, x) join n using (clip)")
+def _(spark, d):
+    return rounded(C.smoothed(px1(spark, d), "v", ["v"], still=0.3, trusted=0.9), "v")
+
+
+@query("w15_smoother_lower", f"""{_BOTH}, low as (select clip, f, min(y) + round_even((max(y) - min(y) + 1) * 0.52::double, 0) as cut from px where v > 0.55 group by clip, f)
+select clip, f, px.y, px.x, round(case when n < 3 or coalesce(px.y >= cut, false) then px.v else o end, 6) as v from px join bw using (clip, f, y, x) join n using (clip) left join low using (clip, f)""")
 def _(spark, d):
-    return rounded(C.smoothed(px1(spark, d), "v", 0.3, 0.65), "v")
+    return rounded(C.smoothed(px1(spark, d), "v", ["v"], still=0.3, trusted=0.9, lower=True), "v")
 
 
 @query("w16_fragment_voting", f"""with recursive {PX1}, m as (select clip, f, y, x from px where v > 0.7),

@@ -211,3 +211,18 @@ def test_nearest_against_all_pairs(spark):
             near = sorted(((b - y) ** 2 + (a - x) ** 2, b, a, v) for _, g, b, a, v, k in cells if g == f and k == "s" and abs(b - y) <= 2 and abs(a - x) <= 2)
             want = (near[0][3], near[0][0] ** 0.5) if near else (None, None)
             assert got[f, y, x] == pytest.approx(want) if near else got[f, y, x] == want
+
+
+def test_smoothing_sweeps_forward_and_back(spark):
+    rows = [("a", f, 0, 0, v, 0.5) for f, v in enumerate([0.4, 0.8, 0.6])] + [("b", f, 0, 0, v, 0.5) for f, v in enumerate([0.4, 0.8])]
+    px = spark.createDataFrame(rows, "clip string, f int, y int, x int, a double, s double")
+
+    def series(clip, **how):
+        return [r.a for r in C.smoothed(px, "a", ["s"], **how).where(f"clip = '{clip}'").orderBy("f").collect()]
+
+    # forward: 0.4, 0.8 - 0.65 * 0.4 = 0.54, 0.6 - 0.65 * 0.06 = 0.561; back: 0.54 + 0.65 * 0.021, 0.4 + 0.65 * 0.15365
+    assert series("a", both=False) == pytest.approx([0.4, 0.54, 0.561])
+    assert series("a") == pytest.approx([0.4998725, 0.55365, 0.561])
+    assert series("b") == [0.4, 0.8]  # two frames stay as they are
+    # the box of alphas over 0.55 is one pixel tall: its lower part starts at 0 + rint(0.52) = 1, below it
+    assert series("a", lower=True) == pytest.approx([0.4998725, 0.55365, 0.561])
