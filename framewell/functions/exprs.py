@@ -110,3 +110,11 @@ def free_name(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def quoted(c: Column) -> Column:
+    """c percent-encoded for a URL path: letters, digits, `_.-~` and `/` stay."""
+    out = F.url_encode(c)
+    for form, path in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(form), F.lit(path))
+    return out

@@ -459,6 +459,12 @@ def _(spark, d):
     return rounded(P.morphology(px1(spark, d), "v", "avg", 2), "v")
 
 
+@query("w9_close", f"""with {PX1}, hi as (select a.clip, a.f, a.y, a.x, max(b.v) as v from px a join px b on a.clip = b.clip and a.f = b.f and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by all)
+select a.clip, a.f, a.y, a.x, round(min(b.v), 6) as v from hi a join hi b on a.clip = b.clip and a.f = b.f and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by all""")
+def _(spark, d):
+    return rounded(P.morphology(P.morphology(px1(spark, d), "v", "max", 1), "v", "min", 1), "v")
+
+
 @query("i4_boundary_distance", f"""with {PX1}, near as (select a.clip, a.f, a.y, a.x, min(sqrt(pow(b.y - a.y, 2) + pow(b.x - a.x, 2))) as dist from px a join px b on a.clip = b.clip and a.f = b.f and abs(a.y - b.y) <= 3 and abs(a.x - b.x) <= 3 where a.v > 0.4 and b.v <= 0.4 group by all)
 select px.clip, px.f, px.y, px.x, round(least(coalesce(dist, 4), 4), 6) as distance from px left join near using (clip, f, y, x) where px.v > 0.4""")
 def _(spark, d):

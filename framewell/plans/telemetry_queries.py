@@ -149,6 +149,11 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", X.slug(F.col("p_name")).alias("slug"), X.fixed(F.col("p_retailprice"), 2).alias("price"))
 
 
+@query("p19_quote", "select page_id, replace(url_encode(url), '%2F', '/') as quoted from pages")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", X.quoted(F.col("url")).alias("quoted"))
+
+
 @query("a3_run_totals", """
 select user_id, round(sum(case when event_type <> 'view' then value else 0 end), 6) as api_seconds,
   round(sum(case when event_type = 'view' then value else 0 end), 6) as local_seconds, round(sum(value), 6) as total_seconds,

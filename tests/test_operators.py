@@ -226,3 +226,8 @@ def test_smoothing_sweeps_forward_and_back(spark):
     assert series("b") == [0.4, 0.8]  # two frames stay as they are
     # the box of alphas over 0.55 is one pixel tall: its lower part starts at 0 + rint(0.52) = 1, below it
     assert series("a", lower=True) == pytest.approx([0.4998725, 0.55365, 0.561])
+
+
+def test_quoted_like_a_path(spark):
+    row = spark.createDataFrame([("a b/c*~+é?.-_",), (None,)], "s string").select(X.quoted(F.col("s")).alias("q")).collect()
+    assert [r.q for r in row] == ["a%20b/c%2A~%2B%C3%A9%3F.-_", None]
