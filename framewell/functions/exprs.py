@@ -118,3 +118,9 @@ def quoted(c: Column) -> Column:
     for form, path in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
         out = F.replace(out, F.lit(form), F.lit(path))
     return out
+
+
+def compact(parameters: Column) -> Column:
+    """A map's entries as `key=value, key=value`, in its order; `default` for an empty or null one. A null value shows as None."""
+    shown = F.transform(F.map_entries(parameters), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"].cast("string"), F.lit("None"))))
+    return F.coalesce(F.nullif(F.array_join(shown, ", "), F.lit("")), F.lit("default"))

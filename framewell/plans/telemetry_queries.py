@@ -149,6 +149,13 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", X.slug(F.col("p_name")).alias("slug"), X.fixed(F.col("p_retailprice"), 2).alias("price"))
 
 
+@query("p19_compact", "select p_partkey, case when p_size < 10 then 'default' else 'size=' || p_size::varchar || ', brand=' || p_brand end as parameters from part")
+def _(spark, d):
+    # small parts run with no parameters of their own
+    parameters = F.when(F.col("p_size") >= 10, F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.col("p_brand")))
+    return table(spark, d, "part").select("p_partkey", X.compact(parameters).alias("parameters"))
+
+
 @query("p19_quote", "select page_id, replace(url_encode(url), '%2F', '/') as quoted from pages")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", X.quoted(F.col("url")).alias("quoted"))

@@ -231,3 +231,8 @@ def test_smoothing_sweeps_forward_and_back(spark):
 def test_quoted_like_a_path(spark):
     row = spark.createDataFrame([("a b/c*~+é?.-_",), (None,)], "s string").select(X.quoted(F.col("s")).alias("q")).collect()
     assert [r.q for r in row] == ["a%20b/c%2A~%2B%C3%A9%3F.-_", None]
+
+
+def test_compact_parameters(spark):
+    rows = spark.createDataFrame([({"a": "1", "b": None},), ({},), (None,)], "m map<string, string>")
+    assert sorted(r.c for r in rows.select(X.compact(F.col("m")).alias("c")).collect()) == ["a=1, b=None", "default", "default"]
