@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from framewell.llm import decontaminate, fill_in_middle, language_id, ngram_join, packing, quality_rules, resampling, secrets_scan, sharding, substring_dedup, token_files, url_filter
+from framewell.llm import decontaminate, fill_in_middle, language_id, license_scan, ngram_join, packing, quality_rules, resampling, secrets_scan, sharding, substring_dedup, token_files, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_packing": packing.op9_packing,
         "op10_sharding": sharding.op10_sharding,
+        "op11_license_scan": license_scan.op11_license_scan,
         "op12_importance_resampling": resampling.op12_importance_resampling,
         "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
         "pipeline": corpus_pipeline.run,
@@ -31,6 +32,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_ngram_join": ngram_join.SQL,
         "op4_url_filter": url_filter.SQL,
         "op8_quality_rules": quality_rules.SQL,
+        "op11_license_scan": license_scan.SQL,
         "op12_importance_resampling": resampling.SQL,
         "op13_fill_in_middle": fill_in_middle.SQL,
     }
