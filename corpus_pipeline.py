@@ -21,11 +21,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of linked documents; rows that repeat its doc_id are one document and stay together."""
-    key = free_name(docs.columns, "_key")
+    """Keeps the document with the smallest doc_id of each group of linked documents. Of rows with the same doc_id and text, or without a doc_id and with the same text, one stays."""
+    key, digest = free_name(docs.columns, "_key"), free_name(docs.columns, "_digest")
     joined = ngram_join.ngram_join(docs.select(identity().alias("doc_id"), "text"))
-    kept = joined.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.withColumn(key, identity()).join(kept, key, "left_semi").select(*docs.columns)
+    first = joined.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    rows = docs.withColumn(key, identity()).withColumn(digest, F.xxhash64("text"))
+    kept = rows.join(first, key, "left_semi")
+    # mostly none: only rows that repeat another meet in a shuffle with their texts, one for each task
+    twice = written(rows.groupBy(key, digest).agg(F.count("*").alias("n")).where("n > 1").select(key, digest), "repeated")
+    if not twice.isEmpty():
+        kept = kept.join(twice, [key, digest], "left_anti").unionByName(kept.join(twice, [key, digest], "left_semi").dropDuplicates([key, digest]))
+    return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ as many padded rows as the token budget allows.
 
 The histogram holds every distinct length at any size, so the choice is optimal: d distinct lengths
 need rows of d * d / 2 tokens in all, so 30 GB of text have some 100 000 of them at most. Rows
-are dealt to parts of a bucket by hash, about PART rows each, and batched inside a part in order of
+are dealt to parts of a bucket by a hash of key, length and row number, about PART rows each whatever key repeats, and batched inside a part in order of
 id, so no bucket meets in one task; only the last batch of a part may be short.
 """
 
@@ -97,7 +97,7 @@ def pack(rows: DataFrame, key: str, length: str, buckets: int = 8, budget: int =
     for i in reversed(range(len(borders) - 1)):
         here = F.col(length) <= borders[i]
         bucket, pads, parts = F.when(here, i).otherwise(bucket), F.when(here, max(1, borders[i])).otherwise(pads), F.when(here, max(1, -(-inside[i] // PART))).otherwise(parts)
-    dealt = rows.select("*", bucket.alias("bucket"), pads.cast("long").alias("bucket_len"), F.pmod(F.xxhash64(key), parts).alias(part))
+    dealt = rows.select("*", bucket.alias("bucket"), pads.cast("long").alias("bucket_len"), F.pmod(F.xxhash64(key, length, F.monotonically_increasing_id()), parts).alias(part))
     rank = F.row_number().over(Window.partitionBy("bucket", part).orderBy(key, length)) - 1
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len")))
     dealt = dealt.withColumn(place, rank)

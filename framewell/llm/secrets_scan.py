@@ -1,7 +1,7 @@
 """Secret scans: patterns propose candidates, a random forest removes the false positives.
 
 Candidates are runs of 16 or more token characters with a digit and a letter, values of 8 or more
-characters behind a name and `=`, values of any shape from 8 characters behind an assignment to a telling
+characters behind a name and `=`, values of any shape from 7 characters behind an assignment to a telling
 name, passwords in URLs, and keys of known formats. The forest sees a candidate's length, the transitions between its character
 classes, the share of it that dictionary words cover, whether it looks like a path, an address or a
 digest, and the neighbouring words. It learns from labelled findings; labelled_findings() makes a bounded
@@ -27,7 +27,7 @@ TREES, DEPTH, SEED = 24, 7, 7
 #: Characters before and after a candidate that count as its neighbourhood.
 NEAR = 48
 REDACTED = "[SECRET]"
-#: Bytes of secrets that are broadcast; beyond, they meet their texts in a shuffled join.
+#: Bytes of secrets' places that are broadcast; beyond, they meet their texts in a shuffled join.
 BROADCAST = 32 << 20
 #: A mark that texts don't hold; where one does, it counts as a space while searching.
 _MARK = "\x01"
@@ -35,22 +35,35 @@ _MARK = "\x01"
 # What candidates look like, names that tell of secrets, and everyday words.
 _MIXED = r"(?=[A-Za-z+/_.@-]*+[0-9])(?=[0-9+/_.@-]*+[A-Za-z])"
 CANDIDATE = r"(?<![A-Za-z0-9+/_.@-])" + _MIXED + r"[A-Za-z0-9+/_.@-]{16,}+={0,2}"
-_PEM = r"-----(?:BEGIN|END) [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
-PEM = _PEM.replace("(?:BEGIN|END)", "BEGIN") + r"(?:[A-Za-z0-9+/=\s:,.-]{0,20000}?" + _PEM.replace("(?:BEGIN|END)", "END") + ")?"
-KNOWN = r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}+|github_pat_[A-Za-z0-9_]{30,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)"
-_NAME = r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++[\"'`]?\s{0,3}+[=:])(?i:[A-Za-z0-9_-]{0,40}?(?:token|secret|passw|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)[A-Za-z0-9_-]{0,20}+)"
+_PEM = r"-----(?:BEGIN|END) [A-Z0-9 ]*+(?<=PRIVATE KEY|PRIVATE KEY BLOCK)-----"
+_BODY = r"[A-Za-z0-9+/=\s:,.]*+"
+PEM = _PEM.replace("(?:BEGIN|END)", "BEGIN") + rf"(?:{_BODY}(?:-(?!-){_BODY})*+" + _PEM.replace("(?:BEGIN|END)", "END") + ")?"
+KNOWN = (
+    r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}+|github_pat_[A-Za-z0-9_]{30,}+|glpat-[A-Za-z0-9_-]{20,}+|hf_[A-Za-z0-9]{30,}+|npm_[A-Za-z0-9]{36}|AIza[A-Za-z0-9_-]{35}"
+    r"|sk_(?:live|test)_[A-Za-z0-9]{16,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"
+)
+# Names that tell of secrets: some inside longer words, the others as whole parts of a name (my_token, authToken, AUTH-TOKEN, but not author or secretary).
+_INSIDE = r"passw(?:or)?ds?|passphrases?|api[_-]?keys?|access[_-]?keys?|private[_-]?keys?|secret[_-]?keys?"
+_PARTS = ("tokens?", "secrets?", "auth", "authorization", "credentials?", "pwd", "bearer")
+_PART = "|".join((
+    rf"(?<![A-Za-z])(?:{'|'.join(_PARTS)})(?![a-z])",
+    rf"(?:{'|'.join(p.capitalize() for p in _PARTS)})(?![a-z])",
+    rf"(?<![A-Za-z])(?:{'|'.join(p.upper() for p in _PARTS)})(?![A-Z])",
+))
+TELLING = rf"(?:(?i:{_INSIDE})|{_PART})"
+_NAME = rf"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++[\"'`]?\s{{0,3}}+[=:])[A-Za-z0-9_-]*?{TELLING}[A-Za-z0-9_-]*+"
 _ASSIGN = r"[\"'`]?\s{0,3}(?:=>|:=|==?|:)\s{0,3}(?:(?i:bearer|basic)\s{1,3})?"
 #: (what stands before, a candidate): the first that matches at the first place wins.
 FORMS = [
     ("", PEM),
-    (r"://[^\s:/@\"'<>]{0,64}+:", r"[^\s/@\"'<>]{6,}(?=@)"),
+    (r"://[^\s:/@\"'<>]*+:", r"[^\s/@\"'<>]{6,}(?=@)"),
     (rf"(?<=[?&]){_NAME}=", r"[^\s&#\"'<>]{8,}+"),
-    (rf"{_NAME}{_ASSIGN}\"", r"[^\"\r\n]{8,200}+(?=\")"),
-    (rf"{_NAME}{_ASSIGN}'", r"[^'\r\n]{8,200}+(?=')"),
-    (rf"{_NAME}{_ASSIGN}`", r"[^`\r\n]{8,200}+(?=`)"),
-    (rf"{_NAME}{_ASSIGN}[\"'`]?", r"[^\s\"'`]{7,}[^\s\"'`.,;:)\]}>]"),
+    (rf"{_NAME}{_ASSIGN}\"", r"[^\"\r\n]{7,}+(?=\")"),
+    (rf"{_NAME}{_ASSIGN}'", r"[^'\r\n]{7,}+(?=')"),
+    (rf"{_NAME}{_ASSIGN}`", r"[^`\r\n]{7,}+(?=`)"),
+    (rf"{_NAME}{_ASSIGN}[\"'`]?", r"[^\s\"'`]{6,}[^\s\"'`.,;:)\]}>]"),
     ("", KNOWN),
-    (r"(?<![A-Za-z0-9+/_.@-])[A-Za-z0-9_.-]{1,60}+=", _MIXED + r"[A-Za-z0-9+/_.@-]{8,}+={0,2}"),
+    (r"(?<![A-Za-z0-9+/_.@-])[A-Za-z0-9_.-]++=", _MIXED + r"[A-Za-z0-9+/_.@-]{8,}+={0,2}"),
     ("", CANDIDATE),
 ]
 _FORM = "|".join(f"({before})({candidate})" for before, candidate in FORMS)
@@ -62,9 +75,8 @@ _MARKED = "".join(f"${2 * k + 1}" for k in range(len(FORMS))) + "\x01" + "".join
 BLOCK = 256
 #: No candidate is shorter, so that NEAR characters hold less than NEAR / SHORTEST of them.
 SHORTEST = 6
-TELLING = r"(?i)(token|secret|passw|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|auth|bearer)"
 HARMLESS = r"(?i)(sha|md5|commit|digest|checksum|etag|uuid|guid|revision|example|sample|placeholder|dummy|test)"
-WORDS = "about access account admin all and api app are auth base because build bytes cache check class client code com commit config content count data date default docs download en example example1 false file files first for from get group have hello home html http https image index info input issue item json key last lib line link list local main make message model module more name net new node not null number object of on one option order org output page part path people php png post product public query read release report request response root sample script search section server service session set site size source start static status string style system table tag temp test text that the their there this time title type update upload uri url use user username users util value version view web when which with word world www year you your".split()
+WORDS = "about access account admin all and api app are auth base because build bytes cache check class client code com commit config content count data date default docs download en example example1 false file files first for from get group have hello home html http https image index info input issue item json key last lib line link list local main make message model module more name net new node not null number object of on one option order org output page part path people php png post product public query read release report request response root sample script search section server service session set site size source start static status string style system table tag temp test text that the their there this time title type update upload uri url use user username users util value version view web when which with word world www year you your disabled enabled required optional undefined unknown changed missing expired invalid redacted environ secrets settings variable provided rotated stored read never always information value".split()
 
 
 def _held(rows: DataFrame, name: str, value: Column) -> DataFrame:
@@ -166,15 +178,21 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     letters = F.translate(F.substring(base64, F.lit(1), short + 6), "0123456789+", "qwertyuiopz")
     numbers = F.translate(F.substring(digest, F.lit(1), short + 6), "abcdef", "012345")
     alnum = F.translate(F.substring(base64, 1, 40), "+", "P")
-    known = pick(F.concat(F.lit("AKIA"), F.upper(F.substring(alnum, 1, 16))), F.concat(F.lit("ghp_"), F.substring(alnum, 1, 36)), F.concat(F.lit("sk_live_"), F.substring(alnum, 1, 24)))
+    number = F.pmod(F.xxhash64(i, F.lit(97)), F.lit(9990)).cast("string")
+    # what people choose: a word or letters with a number and a sign, and runs of letters
+    chosen = pick(
+        F.concat(word(24), number, F.lit("a")), F.concat(F.substring(F.lower(letters), F.lit(1), F.lit(6)), F.lit("1!")), F.lower(F.substring(letters, F.lit(1), short)),
+        F.concat(F.lower(F.substring(letters, F.lit(2), short)), number), F.concat(F.initcap(word(25)), number, F.lit("!")),
+    )
+    known = pick(F.concat(F.lit("glpat-"), F.substring(alnum, 1, 20)), F.concat(F.lit("hf_"), F.substring(alnum, 1, 34)), F.concat(F.lit("AKIA"), F.upper(F.substring(alnum, 1, 16))), F.concat(F.lit("ghp_"), F.substring(alnum, 1, 36)), F.concat(F.lit("sk_live_"), F.substring(alnum, 1, 24)))
     assigned = F.concat(word(1), F.lit(" "), pick("token", "api_key", "DB_PASSWORD", "password", "client_secret", "pwd", "passwd"), pick(' = "', '="', ": ", "=", " = '", ': "'))
     header = F.concat(F.lit("-----BEGIN "), pick("RSA ", "", "EC ", "OPENSSH "), F.lit("PRIVATE KEY-----"))
-    form = F.pmod(F.xxhash64(i, F.lit("form")), F.lit(14))
+    form = F.pmod(F.xxhash64(i, F.lit("form")), F.lit(17))
     # words of prose behind a telling name, and settings that are no secrets
     said = F.concat(word(20), pick("er", "ing", "ation", "ed", "ly"), word(21))
-    setting = pick(said, F.concat(word(20), F.lit(" "), word(21), F.lit(" "), word(22)), F.concat(word(20), pick("_", "-"), word(21)), F.lit("disabled"), F.lit("required"), F.lit("<your-password>"), F.lit("${PASSWORD}"), F.lit("os.environ"))
-    secret = F.when(form < 6, secret).when(form < 8, password).when(form == 8, letters).when(form == 9, numbers).when(form == 10, known).when(form == 11, pick(password, letters, F.substring(digest, 1, 12))).when(form == 12, F.when(F.pmod(F.shiftright(i, 1), F.lit(2)) == 0, header).otherwise(F.concat(header, F.lit("\n"), base64, F.lit("\n"), F.regexp_replace(header, "BEGIN", "END")))).otherwise(pick(F.substring(digest, 1, 32), F.substring(alnum, 1, 24)))
-    telling_ = F.when(form < 6, telling).when(form < 10, assigned).when((form == 10) | (form == 12), plain).when(form == 11, F.concat(plain, pick("https", "postgres", "redis"), F.lit("://"), word(23), F.lit(":"))).otherwise(F.concat(plain, pick("https://host.org/a?token=", "/v1?page=2&api_key=", "Authorization: Bearer ", "export API_TOKEN=")))
+    setting = pick(said, F.concat(word(20), F.lit(" "), word(21), F.lit(" "), word(22)), F.concat(word(20), pick("_", "-"), word(21)), F.lit("disabled"), F.lit("required"), F.lit("<your-password>"), F.lit("${PASSWORD}"), F.lit("os.environ"), F.concat(word(20), F.lit("."), word(21), F.lit("()")))
+    secret = F.when(form < 6, secret).when(form < 8, password).when(form == 8, letters).when(form == 9, numbers).when(form == 10, known).when(form == 11, pick(password, letters, F.substring(digest, 1, 12))).when(form >= 14, chosen).when(form == 12, F.when(F.pmod(F.shiftright(i, 1), F.lit(2)) == 0, header).otherwise(F.concat(header, F.lit("\n"), base64, F.lit("\n"), F.regexp_replace(header, "BEGIN", "END")))).otherwise(pick(F.substring(digest, 1, 32), F.substring(alnum, 1, 24)))
+    telling_ = F.when(form < 6, telling).when((form < 10) | (form >= 14), assigned).when((form == 10) | (form == 12), plain).when(form == 11, F.concat(plain, pick("https", "postgres", "redis"), F.lit("://"), word(23), F.lit(":"))).otherwise(F.concat(plain, pick("https://host.org/a?token=", "/v1?page=2&api_key=", "Authorization: Bearer ", "export API_TOKEN=")))
     worded = (form >= 6) & (form < 9)
     candidate, before = F.when(is_secret, secret).when(worded, setting).otherwise(other), F.when(is_secret, telling_).when(worded, assigned).otherwise(before)
     closing = F.when(is_secret & (form == 11), F.lit("@db.host/")).when(F.endswith(before, F.lit('"')), F.lit('" ')).when(F.endswith(before, F.lit("'")), F.lit("' ")).otherwise(F.lit(" "))
@@ -205,12 +223,19 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, threshold: f
     digest, secrets = free_name(docs.columns, "_digest"), free_name(docs.columns, "_secrets")
     keyed = docs.withColumn(digest, F.md5(F.col("text").cast("binary")))
     found = scan(keyed.select(F.col(digest).alias("digest"), "text"), model, threshold, "digest").where("is_secret")
-    # a row for each text with secrets: at most as long as the text
-    of_text = written(found.groupBy(F.col("digest").alias(digest)).agg(F.collect_set("candidate").alias(secrets)), "secrets")
-    size = of_text.agg(F.sum(F.aggregate(secrets, F.lit(50), lambda n, s: n + F.length(s) + 8).cast("long"))).first()[0] or 0
+    # a row for each text with secrets: their places, fewer than the text has characters
+    place = F.struct("start", F.length("candidate").alias("length"))
+    of_text = written(found.groupBy(F.col("digest").alias(digest)).agg(F.array_sort(F.collect_set(place)).alias(secrets)), "secrets")
+    size = of_text.agg(F.sum(50 + 16 * F.size(secrets))).first()[0] or 0
     joined = keyed.join(F.broadcast(of_text) if size <= BROADCAST else of_text.hint("merge"), digest, "left")
-    longest_first = F.array_sort(secrets, lambda a, b: F.length(b) - F.length(a))
-    text = F.when(F.col(secrets).isNull(), F.col("text")).otherwise(F.aggregate(longest_first, F.col("text"), lambda t, s: F.replace(t, s, F.lit(REDACTED))))
+
+    def end(i: Column) -> Column:
+        """Of the secret before number i."""
+        return F.coalesce(F.get(secrets, i - 1)["start"] + F.get(secrets, i - 1)["length"], F.lit(0))
+
+    parts = F.transform(secrets, lambda s, i: F.concat(F.substring("text", end(i) + 1, s["start"] - end(i)), F.lit(REDACTED)))
+    rest = F.substring("text", end(F.size(secrets)) + 1, F.length("text"))
+    text = F.when(F.col(secrets).isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), rest))
     columns = {"text": text, "n_chars": F.when(F.col(secrets).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {"text": text}
     return joined.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
 
