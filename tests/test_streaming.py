@@ -1,6 +1,11 @@
 """Streams run to the end of their input and agree with their batch twins."""
 
+import datetime
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewell.plans import bindings
 from framewell.streaming import jobs
@@ -64,3 +69,56 @@ def test_upsert(spark, events, tmp_path):
     q.awaitTermination(240)
     out = spark.read.parquet(at).select("user_id", "event_type", "event_id", "value")
     assert same(out, bindings.queries()["s8_keyed_upsert"](spark, SF))
+
+
+def states(spark, files, out, checkpoint, **options):
+    """Runs job_state over `files` to their end and returns all rows that `out` has got so far, newest last."""
+    from framewell.streaming import lifecycle
+
+    spark.conf.set(*lifecycle.STORE)
+    schema = spark.read.parquet(f"{SF}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(files)
+
+    def keep(batch, epoch):
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    q = lifecycle.job_state(stream, **options).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        q.awaitTermination(240)
+    finally:
+        spark.conf.unset(lifecycle.STORE[0])
+    last = {}
+    for r in spark.read.parquet(*sorted(map(str, Path(out).glob("epoch=*")))).orderBy("epoch").collect():
+        last[r.user_id] = tuple(r)[:-1]
+    return last
+
+
+def test_job_state_after_a_restart(spark, tmp_path):
+    """Half of the events, a new query from the checkpoint for the others: the same as the batch twin."""
+    from framewell.streaming import lifecycle
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    cut = events.agg(F.percentile_approx("ts", 0.5).alias("t")).first().t
+    files, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    events.where(F.col("ts") <= F.lit(cut)).coalesce(1).write.parquet(files)
+    half = states(spark, files, out, ck)
+    events.where(F.col("ts") > F.lit(cut)).coalesce(1).write.mode("append").parquet(files)
+    got = states(spark, files, out, ck)
+    want = {r.user_id: tuple(r) for r in lifecycle.job_state_twin(events).collect()}
+    assert {k: tuple(map(str, v)) for k, v in got.items()} == {k: tuple(map(str, v)) for k, v in want.items()}
+    assert half != got and {v[4] for v in got.values()} >= {"succeeded", "failed"}
+
+
+def test_job_state_stalls_and_goes_on(spark, tmp_path):
+    schema = spark.read.parquet(f"{SF}/events.parquet").schema
+    files, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+
+    def add(*rows):
+        made = [{"event_id": i, "user_id": u, "event_type": k, "ts": datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h), "value": float(i), "props": '{"k": 1}'} for i, u, k, h in rows]
+        frame = spark.createDataFrame([[m.get(f.name) for f in schema] for m in made], T.StructType([T.StructField(f.name, {"ts": T.TimestampType()}.get(f.name, f.dataType)) for f in schema]))
+        frame.select(*[F.col(f.name).cast(f.dataType) for f in schema]).coalesce(1).write.mode("append").parquet(files)
+        return {k: (v[4], v[6], v[7]) for k, v in states(spark, files, out, ck, delay="1 hour", stall_hours=5).items()}
+
+    assert add((1, 1, "view", 0), (2, 2, "view", 1), (3, 2, "purchase", 2)) == {1: ("running", 1, 1.0), 2: ("succeeded", 1, 2.0)}
+    assert add((4, 3, "view", 20)) == {1: ("stalled", 1, 1.0), 2: ("succeeded", 1, 2.0), 3: ("running", 1, 4.0)}
+    assert add((5, 1, "click", 21), (6, 3, "error", 22)) == {1: ("running", 2, 5.0), 2: ("succeeded", 1, 2.0), 3: ("failed", 1, 4.0)}
