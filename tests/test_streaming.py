@@ -122,3 +122,60 @@ def test_job_state_stalls_and_goes_on(spark, tmp_path):
     assert add((1, 1, "view", 0), (2, 2, "view", 1), (3, 2, "purchase", 2)) == {1: ("running", 1, 1.0), 2: ("succeeded", 1, 2.0)}
     assert add((4, 3, "view", 20)) == {1: ("stalled", 1, 1.0), 2: ("succeeded", 1, 2.0), 3: ("running", 1, 4.0)}
     assert add((5, 1, "click", 21), (6, 3, "error", 22)) == {1: ("running", 2, 5.0), 2: ("succeeded", 1, 2.0), 3: ("failed", 1, 4.0)}
+
+
+def test_upsert_table_commits_at_once(spark, tmp_path, monkeypatch):
+    from framewell.streaming.upserts import Conflict, UpsertTable
+
+    def rows(*r):
+        return spark.createDataFrame(list(r), "owner string, clip string, ord long, value double")
+
+    def content():
+        return sorted((tuple(r) for r in store.read().collect()), key=str)
+
+    store = UpsertTable(spark, str(tmp_path / "table"), ["owner", "clip"], ["ord"], parts=3)
+    assert store.read() is None and store.upsert(rows().limit(0))["version"] == 0
+    first = rows(("a", "x", 1, 1.0), ("a", None, 1, 2.0), ("b", "x", 1, 3.0), ("a", "x", 0, 9.0))
+    store.upsert(first)
+    want = content()
+    assert [r[3] for r in sorted(want, key=lambda r: r[3])] == [1.0, 2.0, 3.0]
+    store.upsert(first)
+    assert content() == want, "the same batch again"
+    # a writer that is lost after its data and before its manifest
+    monkeypatch.setattr(store, "commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        store.upsert(rows(("a", "x", 5, 5.0), ("c", "y", 1, 6.0)))
+    monkeypatch.undo()
+    assert content() == want
+    before = store.manifest()
+    store.upsert(rows(("a", "x", 5, 5.0), ("c", "y", 1, 6.0)))
+    assert {r[:2]: r[3] for r in content()} == {("a", "x"): 5.0, ("a", None): 2.0, ("b", "x"): 3.0, ("c", "y"): 6.0}
+    assert sorted((tuple(r) for r in store.read(before).collect()), key=str) == want, "older readers keep their version"
+    with pytest.raises(Conflict):
+        store.commit(before, before["schema"], {})
+    now, tried = store.manifest(), []
+
+    def stale():
+        tried.append(1)
+        return before if len(tried) == 1 else now
+
+    monkeypatch.setattr(store, "manifest", stale)
+    store.upsert(rows(("d", "z", 1, 7.0)))
+    monkeypatch.undo()
+    assert len(tried) == 2 and len(content()) == 5 and store.manifest()["version"] == now["version"] + 1
+    store.upsert(spark.createDataFrame([("e", "z", 1, "new")], "owner string, clip string, ord long, note string"))
+    assert store.read().columns == ["owner", "clip", "ord", "note", "value"] and store.read().count() == 6
+    held = content()
+    store.vacuum()
+    assert content() == held and len(store._names("manifests")) <= 3
+
+
+def test_upsert_table_as_a_sink(spark, events, tmp_path):
+    from framewell.streaming.upserts import UpsertTable
+
+    store = UpsertTable(spark, str(tmp_path / "table"), ["user_id", "event_type"], ["ts", "event_id"], parts=4)
+    q = events.writeStream.foreachBatch(store.sink()).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    out = store.read().select("user_id", "event_type", "event_id", "value")
+    assert same(out, bindings.queries()["s8_keyed_upsert"](spark, SF))
+    assert store.manifest()["version"] == 4
