@@ -188,3 +188,30 @@ def clip_report(keyed: DataFrame, seams: DataFrame, least_visible: Column | floa
     seen = keyed.groupBy("clip").agg(F.count_distinct("f").alias("frames"), X.share(F.col("alpha") > 0.05).alias("visible"), F.first("status").alias("profile"))
     status = F.when(F.col("profile") == "fail", "fallback").when(F.col("visible") < least_visible, "fallback").otherwise("ok")
     return seen.join(seams, "clip").select("clip", "frames", "visible", status.alias("status"), "closure")
+
+
+def voted_fragments(px: DataFrame, value: str, width: int, pixels: int, solid: float = 0.5, visible: float = 0.05, near: float = 0.05, support: float = 0.25, least: int = 3, cap: int = 96, cap_share: float = 0.0015) -> tuple[DataFrame, DataFrame]:
+    """Small detached parts that the frames before and after don't have: (px with the value 0 there, counts for each frame).
+
+    A frame's body is its largest part over `solid`; parts over `visible` that hold none of it are detached. Those of more
+    than max(cap, pixels * cap_share) pixels are protected, whatever their neighbours show; the others are removed unless
+    max(least, area * support) pixels of theirs are at most one pixel from a pixel over `near` in frame f - 1 or f + 1. Frames
+    without a solid pixel, and those without a neighbour, keep all. pixels: of a frame. Counts: detached, removed,
+    pixels_removed, protected, for frames with a body and a neighbour.
+    """
+    body = P.labelled(px.where(F.col(value) > solid), width)
+    main = P.largest(body.groupBy(*P.FRAME, "label").agg(F.count("*").alias("area"))).select(*P.FRAME, "label")
+    core = body.join(main, [*P.FRAME, "label"], "left_semi").select(*P.PIXEL, F.lit(1).alias("_core"))
+    hits = px.select(*P.PIXEL, (F.col(value) > near).cast("int").alias("_near"))
+    seen = P.morphology(hits, "_near", "max", 1)
+    around = seen.select("clip", (F.col("f") + 1).alias("f"), "y", "x", "_near").unionByName(seen.select("clip", (F.col("f") - 1).alias("f"), "y", "x", "_near")).groupBy(*P.PIXEL).agg(F.max("_near").alias("_near"))
+    parts = P.labelled(px.where(F.col(value) > visible), width)
+    judged = parts.join(core, P.PIXEL, "left").join(around, P.PIXEL, "left").groupBy(*P.FRAME, "label").agg(F.count("*").alias("area"), F.count("_core").alias("held"), F.sum(F.coalesce("_near", F.lit(0))).alias("supported"), F.count("_near").alias("_known"))
+    # a frame has a neighbour where its pixels have one
+    detached = judged.join(main.select(*P.FRAME), P.FRAME, "left_semi").where("held = 0 and _known > 0")
+    large = F.col("area") > max(cap, int(pixels * cap_share))
+    weak = ~large & (F.col("supported") < F.greatest(F.lit(least), F.floor(F.col("area") * support)))
+    detached = detached.select(*P.FRAME, "label", "area", large.alias("_large"), weak.alias("_weak"))
+    counts = detached.groupBy(*P.FRAME).agg(F.count("*").alias("detached"), F.count_if("_weak").alias("removed"), F.sum(F.when(F.col("_weak"), F.col("area")).otherwise(0)).alias("pixels_removed"), F.count_if("_large").alias("protected"))
+    gone = parts.join(detached.where("_weak"), [*P.FRAME, "label"], "left_semi").select(*P.PIXEL, F.lit(True).alias("_gone"))
+    return px.join(gone, P.PIXEL, "left").withColumn(value, F.when(F.col("_gone"), 0.0).otherwise(F.col(value))).drop("_gone"), counts

@@ -148,6 +148,32 @@ def _(spark, d):
     return C.unsupported_fragments(px.where("v > 0.7"), px, 8)
 
 
+def _component(t: str, n: str) -> str:
+    """lab{n}: labels of the pixels of `t` in frames of 8 x 8."""
+    return f"""cc{n} as (select clip, f, y, x, y * 8 + x as l from {t} union select m.clip, m.f, m.y, m.x, cc{n}.l from cc{n} join {t} m on m.clip = cc{n}.clip and m.f = cc{n}.f and abs(m.y - cc{n}.y) <= 1 and abs(m.x - cc{n}.x) <= 1),
+lab{n} as (select clip, f, y, x, min(l)::bigint as label from cc{n} group by clip, f, y, x)"""
+
+
+#: The bounds of 8 x 8 frames: solid, visible and near pixels, the least support and the cap.
+VOTE = {"solid": 0.75, "visible": 0.70, "near": 0.80, "least": 1, "cap": 3}
+_VOTED = f"""{PX1}, sol as (select clip, f, y, x from px where v > 0.75), vis as (select clip, f, y, x from px where v > 0.70), {_component('sol', 's')}, {_component('vis', 'v')},
+mn as (select clip, f, arg_max(label, (k, -label)) as label from (select clip, f, label, count(*) as k from labs group by all) group by clip, f), core as (select labs.clip, labs.f, labs.y, labs.x from labs join mn using (clip, f, label)),
+nr as (select distinct a.clip, a.f + s as f, a.y + i // 3 - 1 as y, a.x + i % 3 - 1 as x from px a, unnest([-1, 1]) t(s), unnest(range(9)) u(i) where a.v > 0.80), has as (select distinct a.clip, a.f from px a join px b on b.clip = a.clip and abs(b.f - a.f) = 1),
+pt as (select l.clip, l.f, l.label, count(*) as area, count(core.clip) as held, count(nr.clip) as supported from labv l left join core using (clip, f, y, x) left join nr using (clip, f, y, x) group by l.clip, l.f, l.label),
+dt as (select pt.*, area > 3 as large, area <= 3 and supported < greatest(1, floor(area * 0.25)) as weak from pt join mn using (clip, f) join has using (clip, f) where held = 0)"""
+
+
+@query("w16_fragment_votes", f"with recursive {_VOTED} select clip, f, count(*) as detached, count(*) filter (weak) as removed, coalesce(sum(area) filter (weak), 0)::bigint as pixels_removed, count(*) filter (large) as protected from dt group by clip, f")
+def _(spark, d):
+    return C.voted_fragments(px1(spark, d), "v", 8, 64, **VOTE)[1]
+
+
+@query("w16_without_fragments", f"""with recursive {_VOTED}, gone as (select labv.clip, labv.f, labv.y, labv.x from labv join dt on dt.clip = labv.clip and dt.f = labv.f and dt.label = labv.label and weak)
+select px.clip, px.f, px.y, px.x, round(case when gone.clip is null then v else 0 end, 6) as v from px left join gone using (clip, f, y, x)""".replace("select px.clip, px.f, px.y, px.x,", "select clip, f, y, x,"))
+def _(spark, d):
+    return rounded(C.voted_fragments(px1(spark, d), "v", 8, 64, **VOTE)[0], "v")
+
+
 @query("j17_structural_repair", f"""with {PX1}, mk as (select clip, f - 1 as f, y, x, (v > 0.4)::int as m from px), co as (select a.clip, a.f, a.y, a.x, min(b.m) as m from mk a join mk b on a.clip = b.clip and a.f = b.f and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1 group by all)
 select clip, f, count(*) filter (co.m = 1) as core, count(*) filter (co.m = 1 and v < 0.6) as repaired, count(*) filter (co.m = 1 and v < 0.3) as severe, round(sum(case when co.m = 1 then greatest(v, 0.6) else v end), 6) as mass from px left join co using (clip, f, y, x) group by clip, f""")
 def _(spark, d):

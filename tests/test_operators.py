@@ -236,3 +236,30 @@ def test_quoted_like_a_path(spark):
 def test_compact_parameters(spark):
     rows = spark.createDataFrame([({"a": "1", "b": None},), ({},), (None,)], "m map<string, string>")
     assert sorted(r.c for r in rows.select(X.compact(F.col("m")).alias("c")).collect()) == ["a=1, b=None", "default", "default"]
+
+
+def test_fragments_are_voted_on(spark):
+    """A part that the neighbours have stays, one that they don't goes, and a large one stays whatever they show."""
+    import numpy as np
+
+    shots = []
+    for f in range(5):
+        v = np.zeros((64, 64))
+        v[20:44, 24:44] = 1.0
+        v[44:46, 24:44] = 0.3  # soft, of the body
+        v[28:34, 12:18] = 1.0
+        shots.append(v)
+    shots[2][4:7, 52:55] = 1.0
+    shots[2][10:12, 52:53] = 0.3  # two soft pixels
+    shots[2][46:58, 2:14] = 1.0
+    px = plane(spark, shots)
+    out, counts = C.voted_fragments(px, "v", 64, 64 * 64)
+    assert {r.f: tuple(r)[2:] for r in counts.collect()} == {f: (4, 2, 11, 1) if f == 2 else (1, 0, 0, 0) for f in range(5)}
+    got = np.zeros((5, 64, 64))
+    for r in out.collect():
+        got[r.f, r.y, r.x] = r.v
+    want = np.array(shots)
+    want[2][4:12, 52:55] = 0
+    assert (got == want).all()
+    lone, none = C.voted_fragments(px.where("f = 2"), "v", 64, 64 * 64)
+    assert none.count() == 0 and lone.where("v > 0").count() == px.where("f = 2 and v > 0").count()
