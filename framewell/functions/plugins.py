@@ -13,7 +13,7 @@ METRICS: dict[str, Callable[[], Column]] = {}
 
 
 def register_provider(name: str, run: Callable[[pd.DataFrame], pd.DataFrame]) -> None:
-    """run: a clip's frames (clip, name, width, height, n_channels, data) to as many RGBA frames of the same names and sizes."""
+    """run: a clip's frames (clip, name, width, height, n_channels, data) to as many RGBA frames of the same names and sizes; a column `error` may tell of frames that it could not do."""
     PROVIDERS[name] = run
 
 
@@ -29,8 +29,8 @@ def run_provider(name: str, frames: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("name")
-        out = provider(pdf.copy())[columns]
-        out["error"] = None
+        out = provider(pdf.copy())
+        out = out[columns].assign(error=out["error"] if "error" in out else None)
         sizes = {r.name: (r.width, r.height) for r in pdf.itertuples()}
         if set(out["name"]) != set(sizes) or len(out) != len(pdf):
             out["error"] = "names differ from the source"

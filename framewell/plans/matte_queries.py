@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framewell.functions import exprs as X
+from framewell.functions import plugins
 from framewell.operators import clip_pipeline as L
 from framewell.operators import matte as M
-from framewell.plans.pixel_queries import FRAMES, frames, rounded
+from framewell.operators import providers as V
+from framewell.plans.pixel_queries import A1, FRAMES, _A1, frames, rounded
 from framewell.plans.registry import query
 
 SIDE = 12
@@ -190,3 +192,23 @@ def _(spark, d):
     kind = F.when(clip.isin(0, 1, 2), "optimised").when(clip == 5, "locked").when(clip == 6, "still").otherwise("plain")
     kinds = frames(spark, d).select("clip").distinct().withColumn("kind", kind)
     return rounded(L.clip_pipeline(scene(spark, d), kinds, RULES, LADDER, LOOP, MOTION, band=RULES.band), "visible", "residual", "bg_floor", "seam")
+
+
+plugins.register_provider("scene_key", V.adaptive_key(RULES, *MOTION))
+# frames as image bytes, and what the provider gives as bytes again
+_BYTES = SCENE.replace("px as (select", "px00 as (select").replace("sc as (select", "px as (select clip, f, y, x, " + ", ".join(f"floor({c} * 255 + 0.5) / 255.0::double as {c}" for c in "rgb") + " from px00),\nsc as (select")
+_OUT = ", ".join(f"floor(round({c} * 255, 6) + 0.5) / 255.0::double as {n}" for n, c in (("a", "alpha"), ("out_r", "r"), ("out_g", "g"), ("out_b", "b")))
+
+
+@query("u1_provider_metrics", f"""with recursive {_BYTES}, {KEYED}, outp as (select clip, f, y, x, {_OUT} from fin), cnd as (select clip, f, y, x from sc where score > 0.32 and g > 0.18), cnde as (select * from cnd where y in (0, 11) or x in (0, 11)), {_flood('rb', 'cnde', 'cnd')},
+m0 as (select sc.clip, sc.f, sc.y, sc.x, sc.g, score, a, out_r, out_g, out_b, rb.clip is not null and score > 0.42 as bg, score < 0.025 or sc.g < 0.10 as fg from sc join outp using (clip, f, y, x) left join rb using (clip, f, y, x)),
+m1 as (select clip, f, {_A1.replace('g - (r + b) * 0.5::double', 'out_g - (out_r + out_b) * 0.5::double')}, avg(a) as mean_alpha from m0 group by clip, f), shown as (select clip, f, y, x from m0 where a > 0.08), {_parts('shp', 'shown')},
+ar as (select clip, f, label, count(*) as area from shp group by clip, f, label), fr as (select clip, f, (sum(area) - max(area)) * 100.0::double / sum(area) as fragment_pct, (count(*) filter (area >= 4) - 1)::double as fragment_count from ar group by clip, f)
+select clip, printf('f_%04d', f) as name, {', '.join(f'round(coalesce({c}, 0), 5) as {c}' for c in A1)}, round(mean_alpha, 5) as mean_alpha from m1 left join fr using (clip, f)""")
+def _(spark, d):
+    def byte(p):
+        return F.concat(*[F.lpad(F.hex(F.floor(p[c] * 255 + 0.5).cast("int")), 2, "0") for c in "bgr"])
+
+    shots = scene(spark, d).select(F.col("clip").cast("string").alias("clip"), F.format_string("f_%04d", "f").alias("name"), "width", "height", F.lit(3).alias("n_channels"), F.unhex(F.array_join(F.transform(F.arrays_zip(*M.PLANES), byte), "")).alias("data"))
+    metrics, _ = V.evaluated(shots, "scene_key", SIDE, SIDE)
+    return rounded(metrics.withColumn("clip", F.col("clip").cast("long")).select("clip", "name", *A1, "mean_alpha"), *A1, "mean_alpha", places=5)

@@ -171,3 +171,39 @@ def test_pipeline_row_for_each_clip(spark):
     got = {r.clip: r for r in L.clip_pipeline(rows, kinds, rules, L.Ladder((0.05, 0.08)), band=3).collect()}
     assert {c: (r.status, r.attempt, r.frames, r.mode) for c, r in got.items()} == {"ok": ("ok", 0, 8, "locked_endpoints"), "weak": ("fallback", 1, 8, "plain"), "bare": ("failed", 1, 8, None)}
     assert got["ok"].key_colour == "0x0DE60F" and got["ok"].seam == pytest.approx(0)
+
+
+def png(path, planes):
+    """Writes r, g, b in 0..1 as an image file."""
+    import struct
+    import zlib
+
+    v = (np.stack(planes, -1) * 255 + 0.5).astype(np.uint8)
+    raw = b"".join(b"\0" + row.tobytes() for row in v)
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", v.shape[1], v.shape[0], 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def test_from_image_files_to_metrics(spark, tmp_path):
+    from framewell.functions import plugins
+    from framewell.operators import providers as V
+    from framewell.sources import io
+
+    planes, d = shot(32)
+    for f in range(3):
+        png(tmp_path / "clip=body" / f"f_{f}.png", planes)
+        png(tmp_path / "clip=grey" / f"f_{f}.png", [np.full((32, 32), 0.5)] * 3)
+    plugins.register_provider("small_key", V.adaptive_key(M.KeyRules(band=3)))
+    metrics, errors = V.evaluated(io.frames(spark, str(tmp_path)), "small_key", 32, 32)
+    got = metrics.collect()
+    assert sorted((r.clip, r.name) for r in got) == [("body", f"f_{f}.png") for f in range(3)]
+    body = d < 32 / 3
+    assert all(r.background_alpha_mean < 0.01 and r.foreground_loss_mean < 0.01 and r.fragment_count == 0 for r in got)
+    assert all(r.coverage_pct == pytest.approx(body.mean() * 100, abs=1) and r.mean_alpha == pytest.approx(body.mean(), abs=0.01) for r in got)
+    assert {(r.clip, r.error) for r in errors.collect()} == {("grey", "no reliable green screen")}
+    with_profile = M.clip_profile(frames(spark, {"body": [planes] * 3}), band=3).first()
+    assert V.profile_of([planes] * 3, band=3) == (pytest.approx(with_profile.bg_floor), pytest.approx([with_profile.key_r, with_profile.key_g, with_profile.key_b]))
