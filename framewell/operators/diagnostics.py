@@ -71,3 +71,46 @@ def mask_diagnostics(px: DataFrame, width: int) -> DataFrame:
         F.avg("step").alias("centroid_step_mean"), low("step", 0.95).alias("centroid_step_p95"), F.coalesce(F.max("parts"), F.lit(0)).alias("component_count_max"), F.count_if(F.col("area") == 0).alias("empty_frames"), F.count_if(F.col("area") == 1).alias("full_frames"),
         F.avg("soft").alias("soft_band_fraction_mean"), F.avg("contained").alias("soft_band_containment_mean"),
     )
+
+
+def geometry(px: DataFrame, width: int, height: int, edge: int = 4, band: float = 0.22, visible: float = 0.08) -> DataFrame:
+    """Of px (clip, f, y, x, a: the output's alpha, s: the source's foreground mask): a row for each clip.
+
+    The subject is the largest part over `visible`. Frames whose subject comes within `edge` pixels of the border, or
+    that have none, touch it; those whose source does are at risk. Of the two bands at the sides of the source's
+    foreground, a share `band` of its width each, the one with more pixels counts, the left one of equals: its mean alpha
+    and the share that belongs to the subject, 0 without one. Clearance is 0 without a subject.
+    """
+    a, s, x = F.col("a"), F.col("s"), F.col("x")
+    parts = P.labelled(px.where(a > visible), width)
+    main = P.largest(parts.groupBy(*P.FRAME, "label").agg(F.count("*").alias("area"))).select(*P.FRAME, "label")
+    subject = parts.join(main, [*P.FRAME, "label"], "left_semi").select(*P.PIXEL, F.lit(True).alias("_main"))
+    rows = px.join(subject, P.PIXEL, "left").withColumn("_main", F.coalesce("_main", F.lit(False)))
+
+    def nearest(inside: Column) -> Column:
+        low, high = F.least(F.min(F.when(inside, x)), F.min(F.when(inside, F.col("y")))), F.least(width - 1 - F.max(F.when(inside, x)), height - 1 - F.max(F.when(inside, F.col("y"))))
+        return F.least(low, high)
+
+    boxes = rows.groupBy(*P.FRAME).agg(nearest(F.col("_main")).alias("clearance"), nearest(s).alias("source_clearance"), X.share(F.col("_main")).alias("cover"), F.min(F.when(s, x)).alias("_x0"), F.max(F.when(s, x)).alias("_x1"))
+    reach = F.greatest(F.lit(1), F.col("_x1") - F.col("_x0") + 1) * band
+    left, right = s & (x <= F.col("_x0") + reach), s & (x >= F.col("_x1") - reach)
+    bands = rows.join(boxes.select(*P.FRAME, "_x0", "_x1"), P.FRAME).groupBy(*P.FRAME).agg(
+        (F.count_if(left) >= F.count_if(right)).alias("_left"), *[F.avg(F.when(side, v)).alias(f"_{name}_{n}") for n, side in (("l", left), ("r", right)) for name, v in (("a", a), ("m", F.col("_main").cast("int")))]
+    )
+    has = F.col("clearance").isNotNull()
+    frame = boxes.join(bands, P.FRAME)
+
+    def band_of(name: str) -> Column:
+        return F.when(has, F.coalesce(F.when(F.col("_left"), F.col(f"_{name}_l")).otherwise(F.col(f"_{name}_r")), F.lit(0.0))).otherwise(0.0)
+
+    return frame.groupBy("clip").agg(
+        F.count_if(~has | (F.col("clearance") <= edge)).alias("border_touch_frames"), F.count_if(has & (F.col("source_clearance") <= edge)).alias("source_border_risk_frames"),
+        F.min(F.coalesce("clearance", F.lit(0))).alias("min_subject_clearance_px"), F.avg(F.coalesce("clearance", F.lit(0))).alias("mean_subject_clearance_px"), F.avg(F.when(has, F.col("cover") * 100)).alias("subject_coverage_pct"),
+        F.avg(band_of("a")).alias("lateral_alpha_retention"), F.avg(band_of("m")).alias("lateral_main_component_ratio"),
+    )
+
+
+def union_box(px: DataFrame, inside: Column, width: int, height: int, margin: int) -> DataFrame:
+    """(clip, x0, y0, x1, y1, left, top, right, bottom): the box around all frames' pixels inside, exclusive at the end, and the sides at which it comes within `margin` pixels of the border. Clips without any have no row."""
+    box = px.where(inside).groupBy("clip").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
+    return box.select("*", (F.col("x0") <= margin).alias("left"), (F.col("y0") <= margin).alias("top"), (width - F.col("x1") <= margin).alias("right"), (height - F.col("y1") <= margin).alias("bottom"))

@@ -79,3 +79,23 @@ def _(spark, d):
 select clip, f, greatest(0, x0 - pad)::int as x0, greatest(0, y0 - pad)::int as y0, least(8, x1 + pad)::int as x1, least(8, y1 + pad)::int as y1 from k""")
 def _(spark, d):
     return K.kept_box(subject(spark, d), 8, 8, (0, 0.1), 0.5, (0, 0.3))
+
+
+@query("a9_geometry_report", f"""with recursive {PX1}, qa as (select clip, f, y, x, greatest(0, v - 0.55::double) * 2 as a, v > 0.62 and x between 1 and 6 as s from px), vis as (select clip, f, y, x from qa where a > 0.08), {_component('vis', 'v')},
+mn as (select clip, f, arg_max(label, (k, -label)) as label from (select clip, f, label, count(*) as k from labv group by all) group by clip, f), me as (select labv.clip, labv.f, labv.y, labv.x, true as m from labv join mn using (clip, f, label)),
+r as (select qa.*, coalesce(m, false) as m from qa left join me using (clip, f, y, x)),
+b as (select clip, f, least(min(x) filter (m), min(y) filter (m), 7 - max(x) filter (m), 7 - max(y) filter (m)) as cl, least(min(x) filter (s), min(y) filter (s), 7 - max(x) filter (s), 7 - max(y) filter (s)) as sc, avg(m::int) as cover, min(x) filter (s) as x0, max(x) filter (s) as x1 from r group by clip, f),
+w as (select *, greatest(1, x1 - x0 + 1) * 0.22::double as reach from b), j as (select r.*, w.x0, w.x1, s and x <= w.x0 + reach as lf, s and x >= w.x1 - reach as rt from r join w using (clip, f)),
+bd as (select clip, f, case when count(*) filter (lf) >= count(*) filter (rt) then avg(a) filter (lf) else avg(a) filter (rt) end as ra, case when count(*) filter (lf) >= count(*) filter (rt) then avg(m::int) filter (lf) else avg(m::int) filter (rt) end as rm from j group by clip, f)
+select clip, count(*) filter (cl is null or cl <= 0) as border_touch_frames, count(*) filter (cl is not null and sc <= 0) as source_border_risk_frames, min(coalesce(cl, 0)) as min_subject_clearance_px, round(avg(coalesce(cl, 0)), 6) as mean_subject_clearance_px, round(avg(cover * 100) filter (cl is not null), 6) as subject_coverage_pct,
+  round(avg(case when cl is null then 0 else coalesce(ra, 0) end), 6) as lateral_alpha_retention, round(avg(case when cl is null then 0 else coalesce(rm, 0) end), 6) as lateral_main_component_ratio from b join bd using (clip, f) group by clip""")
+def _(spark, d):
+    v, x = F.col("v"), F.col("x")
+    px = px1(spark, d).select(*P.PIXEL, (F.greatest(F.lit(0.0), v - 0.55) * 2).alias("a"), ((v > 0.62) & x.between(1, 6)).alias("s"))
+    return rounded(D.geometry(px, 8, 8, edge=0), "mean_subject_clearance_px", "subject_coverage_pct", "lateral_alpha_retention", "lateral_main_component_ratio")
+
+
+@query("a15_union_box", f"with {PX1}, u as (select clip, min(x) as x0, min(y) as y0, max(x) + 1 as x1, max(y) + 1 as y1 from px where v > 0.97 and (x + y) % 3 <> clip % 3 group by clip) select *, x0 <= 0 as left, y0 <= 0 as top, 8 - x1 <= 0 as right, 8 - y1 <= 0 as bottom from u")
+def _(spark, d):
+    inside = (F.col("v") > 0.97) & ((F.col("x") + F.col("y")) % 3 != F.col("clip") % 3)
+    return D.union_box(px1(spark, d), inside, 8, 8, 0)
