@@ -114,3 +114,18 @@ def union_box(px: DataFrame, inside: Column, width: int, height: int, margin: in
     """(clip, x0, y0, x1, y1, left, top, right, bottom): the box around all frames' pixels inside, exclusive at the end, and the sides at which it comes within `margin` pixels of the border. Clips without any have no row."""
     box = px.where(inside).groupBy("clip").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
     return box.select("*", (F.col("x0") <= margin).alias("left"), (F.col("y0") <= margin).alias("top"), (width - F.col("x1") <= margin).alias("right"), (height - F.col("y1") <= margin).alias("bottom"))
+
+
+def temporal_alpha(px: DataFrame, names: DataFrame, least: float = 0.02) -> DataFrame:
+    """(clip, temporal_alpha_mae_static): the mean over steps of the mean difference of alpha `a` where this frame or the one before is visible; the same place is compared, without optical flow.
+
+    names: (clip, f, name). Null for clips of one frame, for those without a visible pixel, and where a frame's name is not
+    f_ and a number, since frames may not follow each other then. A frame whose pixels are not those of the one
+    before is an error.
+    """
+    ordered = names.groupBy("clip").agg(F.bool_and(F.rlike(F.regexp_replace("name", r"\.[^.]*$", ""), F.lit(r"^f_[0-9]+$"))).alias("ordered"))
+    sizes = px.groupBy(*P.FRAME).agg(F.max("x").alias("w"), F.max("y").alias("h"), F.count("*").alias("n")).groupBy("clip").agg(F.count_distinct("w", "h", "n").alias("shapes"))
+    checked = ordered.join(sizes, "clip").withColumn("ordered", F.when(F.col("shapes") > 1, F.raise_error(F.concat(F.lit("frames of different sizes in clip "), F.col("clip").cast("string"))).cast("boolean")).otherwise(F.col("ordered")))
+    both = P.consecutive(px, "a").where((F.col("prev") > least) | ((F.col("a") > least) & F.col("prev").isNotNull()))
+    steps = both.groupBy(*P.FRAME).agg(F.avg(F.abs(F.col("a") - F.col("prev"))).alias("step")).groupBy("clip").agg(F.avg("step").alias("mae"))
+    return checked.join(steps, "clip", "left").select("clip", F.when(F.col("ordered"), F.col("mae")).alias("temporal_alpha_mae_static"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framewell.functions import exprs as X
+from framewell.operators import clip as C
 from framewell.operators import diagnostics as D
 from framewell.operators import parts as K
 from framewell.operators import pixels as P
 from framewell.plans.clip_queries import _component
-from framewell.plans.pixel_queries import PX1, px1, rounded
+from framewell.plans.pixel_queries import FRAMES, PX1, frames, px1, rounded
 from framewell.plans.registry import query
 
 ALPHA = ["visible_coverage_mean", "visible_coverage_cv", "visible_coverage_min", "visible_coverage_max", "soft_alpha_coverage_mean", "consecutive_alpha_mae_mean", "consecutive_alpha_mae_p95", "centroid_span_x", "centroid_span_y"]
@@ -99,3 +100,28 @@ def _(spark, d):
 def _(spark, d):
     inside = (F.col("v") > 0.97) & ((F.col("x") + F.col("y")) % 3 != F.col("clip") % 3)
     return D.union_box(px1(spark, d), inside, 8, 8, 0)
+
+
+@query("i8_temporal_gate", f"""with {PX1}, t as (select clip, f, avg(abs(v - prev)) as step from (select *, lag(v) over (partition by clip, y, x order by f) as prev from px) where prev is not null and (v > 0.02 or prev > 0.02) group by clip, f),
+m as (select clip, avg(step) as mae from t group by clip) select f.clip, round(case when f.clip % 4 <> 3 then any_value(mae) end, 6) as temporal_alpha_mae_static from frames f left join m on m.clip = f.clip group by f.clip""")
+def _(spark, d):
+    # every fourth clip has a frame of another name
+    odd = (F.col("clip") % 4 == 3) & (F.col("f") == 1)
+    names = frames(spark, d).select("clip", "f", F.when(odd, "cover.png").otherwise(F.format_string("f_%04d.png", "f")).alias("name"))
+    return rounded(D.temporal_alpha(px1(spark, d).withColumnRenamed("v", "a"), names), "temporal_alpha_mae_static")
+
+
+_NAME = "printf('%s__f_%04d.png', clip::varchar, f)"
+
+
+@query("s10_selected_frames", f"with {FRAMES}, n as (select clip, count(*)::int as n from frames group by clip) select clip, n as frames, f, {_NAME} as name, 8 as width, (len(e) / 8)::int as height from frames join n using (clip) where f % greatest(1, n // 6) = 0 and f // greatest(1, n // 6) < 6")
+def _(spark, d):
+    chosen = C.every_nth(C.counted(frames(spark, d)).withColumnRenamed("n", "frames"), 6, cap=True)
+    return chosen.select("clip", "frames", "f", F.format_string("%s__f_%04d.png", F.col("clip").cast("string"), "f").alias("name"), F.lit(8).alias("width"), (F.size("e") / 8).cast("int").alias("height"))
+
+
+@query("s15_inventory_names", f"with {FRAMES} select clip, count(*) as frames, count(distinct len(e)) as sizes, count(distinct len(e)) > 1 as mixed, string_agg({_NAME}, ',' order by {_NAME}) as names from frames group by clip")
+def _(spark, d):
+    name = F.format_string("%s__f_%04d.png", F.col("clip").cast("string"), "f")
+    n = F.count_distinct(F.size("e"))
+    return frames(spark, d).groupBy("clip").agg(F.count("*").alias("frames"), n.alias("sizes"), (n > 1).alias("mixed"), F.array_join(F.sort_array(F.collect_list(name)), ",").alias("names"))

@@ -99,3 +99,27 @@ def test_diagnostics_against_numpy(spark):
         assert r.consecutive_mask_iou_mean == (pytest.approx(np.mean([iou(a, b) for a, b in zip(m[1:], m[:-1], strict=True)])) if len(s) > 1 else None)
         assert r.reference_iou_trend == (pytest.approx(np.polyfit(range(len(s)), [iou(a, b) for a, b in zip(m, ref, strict=True)], 1)[0], abs=1e-9) if len(s) > 1 else None)
         assert r.component_count_max == max(len(parts_of(a)) for a in m)
+
+
+def test_temporal_gate(spark):
+    rows = [(c, f, 0, x, float(f % 2)) for c in ("even", "named", "one") for f in range(1 if c == "one" else 4) for x in range(3)]
+    px = spark.createDataFrame(rows, "clip string, f int, y int, x int, a double")
+    names = px.select("clip", "f").distinct().withColumn("name", F.when(F.expr("clip = 'named' and f = 2"), "cover.png").otherwise(F.concat(F.lit("f_"), F.col("f").cast("string"), F.lit(".png"))))
+    assert {r.clip: r[1] for r in D.temporal_alpha(px, names).collect()} == {"even": 1.0, "named": None, "one": None}
+    with pytest.raises(Exception, match="different sizes in clip even"):
+        D.temporal_alpha(px.where("not (clip = 'even' and f = 2 and x = 2)"), names).collect()
+
+
+def test_geometry_and_union(spark):
+    rows = []
+    for f, (body, source) in enumerate([((3, 9), (3, 9)), ((0, 5), (2, 9)), (None, (4, 6)), ((4, 8), None)]):
+        for y in range(12):
+            for x in range(12):
+                at = lambda box: box is not None and box[0] <= x < box[1] and 4 <= y < 8  # noqa: B023, E731
+                rows.append(("c", f, y, x, 0.5 if at(body) else 0.0, at(source)))
+    px = spark.createDataFrame(rows, "clip string, f int, y int, x int, a double, s boolean")
+    r = D.geometry(px, 12, 12, edge=1).first()
+    assert (r.border_touch_frames, r.source_border_risk_frames, r.min_subject_clearance_px) == (2, 0, 0) and r.mean_subject_clearance_px == pytest.approx((3 + 0 + 0 + 4) / 4)
+    assert r.subject_coverage_pct == pytest.approx((24 + 20 + 16) / 3 / 144 * 100)
+    assert r.lateral_alpha_retention == pytest.approx((0.5 + 0.5 + 0 + 0) / 4) and r.lateral_main_component_ratio == pytest.approx((1 + 1 + 0 + 0) / 4)
+    assert tuple(D.union_box(px, F.col("a") > 0, 12, 12, 3).first()) == ("c", 0, 4, 9, 8, True, False, True, False)
