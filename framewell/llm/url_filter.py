@@ -51,17 +51,20 @@ class Cascade:
 
     def contains(self, rows: DataFrame, key: str, name: str) -> DataFrame:
         """rows plus the boolean `name`: whether the key is listed, for keys of the universe; null keys are not."""
-        shard = free_name(rows.columns, "shard")
-        levels = self.table.withColumnRenamed("shard", shard)
+        of: dict[str, str] = {}  # the table's columns, by names that rows don't have
+        for c in self.table.columns:
+            of[c] = free_name([*rows.columns, *of.values()], c)
+        levels, shard = self.table.withColumnsRenamed(of), of["shard"]
         joined = rows.withColumn(shard, shard_of(F.col(key), self.shards)).join(F.broadcast(levels) if self.size <= BROADCAST else levels, shard, "left")
-        return joined.select(*rows.columns, F.coalesce(self.verdict(F.col(key)), F.lit(False)).alias(name))
+        return joined.select(*rows.columns, F.coalesce(self.verdict(F.col(key), of), F.lit(False)).alias(name))
 
-    def verdict(self, key: Column) -> Column:
+    def verdict(self, key: Column, of: dict[str, str]) -> Column:
+        """of: the names of the table's columns."""
         listed = F.lit(len(self.hashes) % 2 == 1)
         for i in reversed(range(len(self.hashes))):
             inside = F.lit(True)
-            for at in _positions(key, i, F.col(f"n{i}"), self.hashes[i]):
-                inside &= F.getbit(F.get(f"l{i}", F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
+            for at in _positions(key, i, F.col(of[f"n{i}"]), self.hashes[i]):
+                inside &= F.getbit(F.get(of[f"l{i}"], F.floor(at / 64).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
             # where a shard has no such level, the one before decided
             listed = F.when(F.coalesce(inside, F.lit(False)), listed).otherwise(F.lit(i % 2 == 1))
         return listed

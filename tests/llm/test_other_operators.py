@@ -24,6 +24,9 @@ def test_cascade_is_exact(spark, shard_bytes):
     found = url_filter.cascade(universe, shard_bytes)
     assert len(found.hashes) > 2 and (found.shards > 5) == (shard_bytes < 1000)
     assert found.contains(universe, "key", "said").where("listed <> said").count() == 0
+    clash = universe.select("*", F.lit(5).alias("n0"), F.lit("x").alias("L0"), F.lit(1).alias("n1"), F.lit(2).alias("Shard"))
+    again = found.contains(clash, "key", "said")
+    assert again.columns == [*clash.columns, "said"] and again.where("listed <> said or n0 <> 5 or L0 <> 'x' or Shard <> 2").count() == 0
     none = url_filter.cascade(universe.where("not listed"), shard_bytes)
     assert none.hashes == [] and none.contains(universe, "key", "said").where("said").count() == 0
     everything = url_filter.cascade(universe.where("listed"), shard_bytes)
@@ -220,6 +223,34 @@ def test_secrets_of_each_form(spark):
         assert r.before == text[max(0, r.start - 48) : r.start] and r.after == text[end : end + 48]
 
 
+def test_secrets_are_cut_where_they_stand(spark):
+    """Control characters, long values, names that only look telling, chosen passwords and more key formats."""
+    long = "Zq9" + "aB3 xY7-" * 60
+    held = [
+        ('password = "ab\x01cdefgh1234Z!q" end', 'password = "[SECRET]" end'), (f'secret = "{long}" end', 'secret = "[SECRET]" end'), ("password = 'hunter2a'", "password = '[SECRET]'"), ("password: qwertyuiop", "password: [SECRET]"), ("token = abcdefghijklmnop", "token = [SECRET]"),
+        ("password=short1!", "password=[SECRET]"), ("key glpat-abcDEF1234567890xyzQ here", "key [SECRET] here"), ("hf_abcdefghijklmnopqrstuvwxyzABCDEF12", "[SECRET]"), ("dbPassword=Tr0ub4dor", "dbPassword=[SECRET]"), ("authToken: 'zx81spectrum'", "authToken: '[SECRET]'"),
+        ('x é é password = "k7Zp!!wq2" ü token = "0a1b2c3d4e5f60718293a4b5" end \U0001f600', 'x é é password = "[SECRET]" ü token = "[SECRET]" end \U0001f600'), ('the word k7Zp!!wq2 and password = "k7Zp!!wq2"', 'the word k7Zp!!wq2 and password = "[SECRET]"'),
+    ]
+    clean = ["author: Johnathan Smithson wrote", "authors: Mary-Louise42", "secretary: Wolfgang", "authority=Landesregierung", "tokenizer: whitespace-splitting", "the password: information of", "password: required", "AUTHORS=Everybody-there"]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(held)] * 2 + [(100 + i, t) for i, t in enumerate(clean)], "doc_id long, text string")
+    model = secrets_scan.train(secrets_scan.labelled_findings(spark))
+    got = [(r.doc_id, r.text) for r in secrets_scan.redact(docs, model).collect()]
+    assert sorted(got) == sorted([(i, t) for i, (_, t) in enumerate(held)] * 2 + [(100 + i, t) for i, t in enumerate(clean)])
+    # the forest's votes, counted by hand from its trees
+    found = secrets_scan.features(secrets_scan.candidates(docs)).collect()
+    by_model = {(r.doc_id, r.start): r.score for r in secrets_scan.scan(docs, model).collect()}
+    for r in found[:20]:
+        shares = []
+        for tree in model.trees:
+            node = tree._call_java("rootNode")
+            while node.getClass().getSimpleName() == "InternalNode":
+                split = node.split()
+                node = node.leftChild() if float(r[secrets_scan.FEATURES[split.featureIndex()]]) <= split.threshold() else node.rightChild()
+            stats = list(node.impurityStats().stats())
+            shares.append(stats[1] / sum(stats))
+        assert np.isclose(np.mean(shares), by_model[r.doc_id, r.start])
+
+
 def test_best_borders():
     rng = random.Random(1)
     for _ in range(60):
@@ -259,6 +290,16 @@ def test_packing(spark):
     assert sorted((r.id, r._part, r._place) for r in packing.pack(clash, "id", "n").collect()) == [(i, "p", "q") for i in range(50)]
 
 
+def test_packing_deals_a_repeated_key(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 100)
+    rows = spark.createDataFrame([(None, 7)] * 1500 + [(5, 7)] * 1500, "id long, n long").repartition(3)
+    packed = packing.pack(rows, "id", "n", buckets=2, budget=70).collect()
+    parts = {}
+    for r in packed:
+        parts.setdefault(r.batch_id.rsplit("-", 1)[0], []).append(r)
+    assert len(packed) == 3000 and len(parts) == 30 and max(map(len, parts.values())) < 200
+
+
 def test_packing_is_optimal_with_many_lengths_and_a_giant_row(spark):
     lengths = [*range(1, 2600), *([40] * 900), *([300] * 500), 1_000_000]
     packed = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "id long, n long"), "id", "n").collect()
@@ -316,6 +357,16 @@ def test_pipeline(spark):
     assert stages[3][1].where(F.rlike("text", F.lit('token = "[0-9a-f]{40}"'))).count() == 0
 
 
+def test_join_stage_keeps_one_of_repeated_rows(spark):
+    """Copies without an id, and rows that repeat an id and its text, leave one row; another text of the same id stays."""
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(None, a, "1"), (None, a, "2"), (None, a, "3"), (3, b, "1"), (3, b, "2"), (3, c, "1"), (None, None, "1"), (None, None, "2"), (4, "", "1"), (4, "", "1")]
+    out = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, spark.createDataFrame(rows, "doc_id long, text string, _digest string").repartition(3), SF)
+    assert out.columns == ["doc_id", "text", "_digest"]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(None, a), (3, b), (3, c), (None, None), (4, "")], key=str)
+
+
 def test_pipeline_null_ids(spark):
     """Rows without an id are compared and searched as others; a row with an id stays before one without, and an extra column named as ours is kept."""
     rng = random.Random(5)
