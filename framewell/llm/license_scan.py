@@ -29,6 +29,8 @@ from framewell.llm.quality_rules import let
 POSTED, AGREE = 3, 2
 #: Words of the longest segment: a hit carries so many words before and after it.
 LONGEST = 40
+#: Segments at most, so that the index, some KB for each, stays fit for a broadcast.
+SEGMENTS = 10_000
 
 # Signs between words, and the words' case.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -106,6 +108,8 @@ def segments_of(templates: Sequence[Template]) -> list[Segment]:
             if not words or len(words) > LONGEST or not any(must):
                 raise ValueError(f"a segment of {t.label} needs 1 to {LONGEST} words and a mandatory phrase: {text}")
             out.append(Segment(i, words, must))
+    if len(out) > SEGMENTS:
+        raise ValueError(f"{len(out)} segments are more than {SEGMENTS}")
     return out
 
 
