@@ -186,12 +186,13 @@ def _(spark, d):
 
 @query("i7_clip_metrics", f"""with recursive {SCENE}, {KEYED}, {LADDERS}, {LOOPS}
 select clip, ['ok', 'next', 'failed', 'fallback', 'review'][state + 1] as status, attempt, similarity, round(visible, 6) as visible, round(residual, 6) as residual, round(bg_floor, 6) as bg_floor, case when state = 0 then {_hex('key_r', 'key_g', 'key_b')} else {_hex('kr', 'kg', 'kb')} end as key_colour,
-  n as frames, ['plain', 'too_short', 'not_found', 'best_span', 'locked_endpoints'][mode_ + 1] as mode, round(seam, 6) as seam, ['none', 'locked', 'direct', 'crossfade'][closure_ + 1] as closure, start, "end", closed, out_frames from won join n using (clip) join prof using (clip) join kc using (clip) left join lp using (clip)""")
+  n as frames, ['plain', 'too_short', 'not_found', 'best_span', 'locked_endpoints'][mode_ + 1] as mode, round(seam, 6) as seam, ['none', 'locked', 'direct', 'crossfade'][closure_ + 1] as closure, start::double as start, "end"::double as "end", closed, out_frames from won join n using (clip) join prof using (clip) join kc using (clip) left join lp using (clip)""")
 def _(spark, d):
     clip = F.col("clip")
     kind = F.when(clip.isin(0, 1, 2), "optimised").when(clip == 5, "locked").when(clip == 6, "still").otherwise("plain")
     kinds = frames(spark, d).select("clip").distinct().withColumn("kind", kind)
-    return rounded(L.clip_pipeline(scene(spark, d), kinds, RULES, LADDER, LOOP, MOTION, band=RULES.band), "visible", "residual", "bg_floor", "seam")
+    out = L.clip_pipeline(scene(spark, d), kinds, RULES, LADDER, LOOP, MOTION, band=RULES.band)
+    return rounded(out.withColumns({c: F.col(c).cast("double") for c in ("start", "end")}), "visible", "residual", "bg_floor", "seam")
 
 
 plugins.register_provider("scene_key", V.adaptive_key(RULES, *MOTION))
