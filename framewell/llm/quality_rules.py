@@ -2,12 +2,19 @@
 
 Four fixed base rules' counts are taken from each text. For the texts that pass the base rules, quantile
 summaries of four measures (Greenwald-Khanna, which merge over tasks) are kept for each language and
-source, for each language and for all rows. What a summary says is the cutoff: the upper quartile plus FENCE
-times the quartile range, or, where the quartiles are equal (most texts have no symbol and no repeated
-line), the upper-tail quantile TAIL; and a small SLACK above, so that values like the group's own stay. A
-group's cutoff is drawn to its language's, and a language's to that of all rows, as if the wider one stood
-for PRIOR rows: large groups decide for themselves and small ones by degrees less, without a switch.
-Rows then meet their cutoffs in a join and are filtered.
+source, for each language and for all rows; of the values above 0 there are summaries of their own. What
+a group's summaries say is the cutoff, in one of three ways:
+
+- its quartiles differ: the upper quartile plus FENCE times the quartile range;
+- its quartiles are 0 and the measure's values above 0 keep away from 0 over all rows (their lower edge, the
+  quantile EDGE, is more than their median times NEAR): they are another kind of text, and the cutoff is in
+  the middle of the gap, at half the group's own edge;
+- else the upper-tail quantile TAIL, so that what is rare in the group goes.
+
+SLACK is a share of what the summaries say, so that no cutoff is a constant. A group's cutoff is drawn to its
+language's, and a language's to that of all rows, as if the wider one stood for PRIOR rows: large groups
+decide for themselves and small ones by degrees less, without a switch. Rows then meet their cutoffs in a
+join and are filtered.
 """
 
 from __future__ import annotations
@@ -20,13 +27,15 @@ from pyspark.sql import functions as F
 from framewell.llm.common import table, written
 
 FENCE = 6.0
-TAIL = 15 / 16
+TAIL = 127 / 128
+EDGE = 1 / 64
+NEAR = 1 / 4
+SLACK = 1 / 32
 #: Rows that the wider group's cutoff weighs as.
 PRIOR = 100
 #: Entries of a quantile summary: ranks are off by 1 / ACCURACY of the rows at most.
 ACCURACY = 10_000
-#: The measures, each with its slack.
-MEASURES = {"word_length": 0.25, "symbol_share": 0.02, "dup_line_share": 0.05, "repeat_share": 0.05}
+MEASURES = ["word_length", "symbol_share", "dup_line_share", "repeat_share"]
 #: Rows of cutoffs that are broadcast, some MB; beyond, the join is a shuffled one.
 BROADCAST = 50_000
 
@@ -89,27 +98,30 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def summaries(rows: DataFrame, by: list[str], fence: float = FENCE) -> DataFrame:
-    """by, members, and for each measure what its quantile summary alone says, max_<measure>."""
-    aggs = [F.percentile_approx(m, [0.25, 0.75, TAIL], ACCURACY).alias(m) for m in MEASURES]
-    of = rows.where("not base_failed").groupBy(*by).agg(F.count("*").alias("members"), *aggs)
-
-    def says(m: str) -> Column:
-        low, high, tail = (F.col(m)[i] for i in range(3))
-        return F.when(high > low, high + fence * (high - low)).otherwise(tail) + MEASURES[m]
-
-    return of.select(*by, "members", *[says(m).alias(f"max_{m}") for m in MEASURES])
+def summaries(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, members, and for each measure the quantiles 1/4, 3/4 and TAIL of all values, <measure>, and EDGE and 1/2 of those above 0, <measure>_some."""
+    aggs = []
+    for m in MEASURES:
+        some = F.when(F.col(m) > 0, F.col(m))
+        aggs += [F.percentile_approx(m, [0.25, 0.75, TAIL], ACCURACY).alias(m), F.percentile_approx(some, [EDGE, 0.5], ACCURACY).alias(f"{m}_some")]
+    return rows.where("not base_failed").groupBy(*by).agg(F.count("*").alias("members"), *aggs)
 
 
 def cutoffs(rows: DataFrame, fence: float = FENCE, prior: int = PRIOR) -> DataFrame:
     """(lang, source, members, max_<measure> ...) for each language and source with a row that passes the base rules."""
-    own, wide, all_ = (summaries(rows, by, fence).alias(name) for name, by in (("o", ["lang", "source"]), ("w", ["lang"]), ("a", [])))
+    own, wide, all_ = (summaries(rows, by).alias(name) for name, by in (("o", ["lang", "source"]), ("w", ["lang"]), ("a", [])))
     # one row for all, and one for each language
     joined = own.join(wide, F.expr("o.lang <=> w.lang")).crossJoin(F.broadcast(all_))
 
+    def says(group: str, m: str) -> Column:
+        low, high, tail = (F.col(f"{group}.{m}")[i] for i in range(3))
+        apart = F.col(f"a.{m}_some")[0] > F.col(f"a.{m}_some")[1] * NEAR
+        gap = F.coalesce(F.col(f"{group}.{m}_some")[0], F.lit(0.0)) / 2
+        return F.when(high > low, high + fence * (high - low)).when((high == 0) & apart, gap).otherwise(tail) * (1 + SLACK)
+
     def drawn(m: str) -> Column:
-        of_lang = (F.col("w.members") * F.col(f"w.max_{m}") + prior * F.col(f"a.max_{m}")) / (F.col("w.members") + prior)
-        return (F.col("o.members") * F.col(f"o.max_{m}") + prior * of_lang) / (F.col("o.members") + prior)
+        of_lang = (F.col("w.members") * says("w", m) + prior * says("a", m)) / (F.col("w.members") + prior)
+        return (F.col("o.members") * says("o", m) + prior * of_lang) / (F.col("o.members") + prior)
 
     return joined.select("o.lang", "o.source", "o.members", *[drawn(m).alias(f"max_{m}") for m in MEASURES])
 
@@ -136,9 +148,18 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    q = {m: [f"quantile_disc({m}, {x})" for x in (0.25, 0.75, TAIL)] for m in MEASURES}
-    cut = ", ".join(f"case when {high} > {low} then {high} + {FENCE}::double * ({high} - {low}) else {tail} end + {MEASURES[m]}::double as {m}" for m, (low, high, tail) in q.items())
-    drawn = ", ".join(f"(o.n * o.{m} + {PRIOR} * ((l.n * l.{m} + {PRIOR} * a.{m}) / (l.n + {PRIOR}))) / (o.n + {PRIOR}) as {m}" for m in MEASURES)
+    parts = []
+    for m in MEASURES:
+        parts += [f"quantile_disc({m}, {x}) as {m}_{name}" for name, x in (("low", 0.25), ("high", 0.75), ("tail", TAIL))]
+        parts += [f"quantile_disc({m}, {x}) filter ({m} > 0) as {m}_{name}" for name, x in (("edge", EDGE), ("mid", 0.5))]
+    cut = ", ".join(parts)
+
+    def says(g: str, m: str) -> str:
+        fence = f"when {g}.{m}_high > {g}.{m}_low then {g}.{m}_high + {FENCE}::double * ({g}.{m}_high - {g}.{m}_low)"
+        gap = f"when {g}.{m}_high = 0 and a.{m}_edge > a.{m}_mid * {NEAR}::double then coalesce({g}.{m}_edge, 0) / 2"
+        return f"(case {fence} {gap} else {g}.{m}_tail end * {1 + SLACK}::double)"
+
+    drawn = ", ".join(f"(o.n * {says('o', m)} + {PRIOR} * ((l.n * {says('l', m)} + {PRIOR} * {says('a', m)}) / (l.n + {PRIOR}))) / (o.n + {PRIOR}) as {m}" for m in MEASURES)
     within = " and ".join(f"m.{m} <= k.{m}" for m in MEASURES)
     leads = ", ".join(f"lead(x, {i}) over q as x{i}" for i in range(1, 8))
     return rf"""

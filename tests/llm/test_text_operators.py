@@ -267,14 +267,23 @@ def test_cutoffs_are_quantile_fences(spark):
     rows = []
     for lang, source, n in (("en", "a", 300), ("en", "b", 40), ("de", "a", 1), (None, None, 25)):
         for _ in range(n):
-            values = [rng.gauss(5, 0.4 if source == "a" else 0.1), rng.choice([0.0, 0.0, 0.0, 0.0, rng.random()]), 0.0, rng.random() / 9]
+            values = [rng.gauss(5, 0.4 if source == "a" else 0.1), rng.choice([0.0, 0.0, 0.0, 0.0, rng.random()]), rng.choice([0.0] * 9 + [0.3 + rng.random() / 9]), rng.random() / 9]
             rows.append((lang, source, rng.random() < 0.1, *values))
     df = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, " + ", ".join(f"{m} double" for m in names))
 
+    def quantile(x, q):
+        return sorted(x)[max(0, math.ceil(len(x) * q) - 1)] if x else 0.0
+
     def says(of, i):
-        x = sorted(r[3 + i] for r in of)
-        low, high, tail = (x[max(0, math.ceil(len(x) * q) - 1)] for q in (0.25, 0.75, 15 / 16))
-        return (high + quality_rules.FENCE * (high - low) if high > low else tail) + quality_rules.MEASURES[names[i]]
+        x, some, every = ([r[3 + i] for r in of], [r[3 + i] for r in of if r[3 + i] > 0], [r[3 + i] for r in good if r[3 + i] > 0])
+        low, high, tail = (quantile(x, q) for q in (0.25, 0.75, 127 / 128))
+        if high > low:
+            value = high + quality_rules.FENCE * (high - low)
+        elif high == 0 and quantile(every, 1 / 64) > quantile(every, 0.5) / 4:
+            value = quantile(some, 1 / 64) / 2
+        else:
+            value = tail
+        return value * (1 + 1 / 32)
 
     good = [r for r in rows if not r[2]]
     for got in quality_rules.cutoffs(df).collect():
@@ -310,7 +319,20 @@ def test_learned_cutoffs_decide(spark):
     assert all(over[m] > 0 for m in quality_rules.MEASURES)
     kept = quality_rules.quality_rules(docs).where("kept").count()
     assert kept > 0.85 * over.n
-    assert limits.select(*[F.count_distinct(f"max_{m}").alias(m) for m in quality_rules.MEASURES]).first().word_length > 10
+    # no constant is a cutoff: each measure's cutoffs differ from group to group, and none is 0
+    seen = limits.select(*[F.count_distinct(f"max_{m}").alias(m) for m in quality_rules.MEASURES], F.count("*").alias("n"), F.min(F.least(*[f"max_{m}" for m in quality_rules.MEASURES])).alias("least")).first()
+    assert seen.least > 0 and all(seen[m] > 0.9 * seen.n for m in quality_rules.MEASURES)
+
+
+def test_values_apart_from_zero_go_and_a_tail_stays(spark):
+    """Where most texts measure 0: a cluster away from 0 is cut off in the gap, a run from 0 upward only at its tail."""
+    rng = random.Random(12)
+    rows = [("en", "s", False, 5 + rng.random() / 9, 0.2 + rng.random() / 9 if i % 10 == 0 else 0.0, 0.0, rng.random() / 4 if i % 10 == 1 else 0.0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, " + ", ".join(f"{m} double" for m in quality_rules.MEASURES))
+    got = quality_rules.cutoffs(df).first()
+    assert 0.09 < got.max_symbol_share < 0.13
+    above = sum(r[6] > got.max_repeat_share for r in rows)
+    assert 0 < above < 20 and got.max_dup_line_share == 0
 
 
 @pytest.mark.parametrize("operator", [substring_dedup.substring_dedup, ngram_join.ngram_join])
