@@ -86,7 +86,7 @@ def against_baseline(configs: DataFrame, baseline: DataFrame, metrics: Sequence[
     return out.withColumn("guardrail", every).drop(*[f"base_{m}" for m in metrics])
 
 
-def _local_frontier(key: str, metrics: Sequence[str]):
+def local_frontier(key: str, metrics: Sequence[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
         for batch in batches:
@@ -112,7 +112,7 @@ def frontier(configs: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
     frontier and a few rows more, whatever the number of configurations.
     """
     rows = configs.select(key, *[F.col(m).cast("double").alias(m) for m in metrics]).dropna()
-    local, tasks = _local_frontier(key, metrics), int(configs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local, tasks = local_frontier(key, metrics), int(configs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.mapInPandas(local, rows.schema)
     while tasks > 1:
         tasks = -(-tasks // MERGE)
