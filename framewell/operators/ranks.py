@@ -3,30 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewell.functions.exprs import free_name
+from framewell.operators.stages import kept
 
-RANGES = 64
+#: Bits of a row's number inside its partition, in monotonically_increasing_id.
+INSIDE = 33
 
 
-def placed(rows: DataFrame, first: Column, order: Sequence[Column | str], name: str) -> DataFrame:
-    """rows plus `name`, their place from 0. first: a number that rises along the order.
+def placed(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """rows plus `name`, their place from 0.
 
-    Quantiles of `first` cut the order into RANGES ranges; a range is ranked by itself, and starts where the
-    counts before it end. Rows that are equal in `first` share a range.
+    Rows are dealt to ranges of the whole order, so that only rows equal in all of it must share one, sorted there,
+    numbered and written once; a range starts where the counts before it end. Rows that are equal in the order are
+    placed one after the other; nulls stand where the order puts them; an empty table gives an empty result.
     """
-    quantiles = [i / RANGES for i in range(1, RANGES)]
-    bounds = sorted(set(rows.agg(F.percentile_approx(first, quantiles, 1000)).first()[0] or []))
-    part, inside, before, count = (free_name(rows.columns, n) for n in ("_part", "_inside", "_before", "_count"))
-    cut = reduce(lambda a, b: a + b, [F.coalesce(first > b, F.lit(False)).cast("int") for b in bounds], F.lit(0))
-    dealt = rows.withColumn(part, cut)
-    ranked = dealt.withColumn(inside, F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1)
-    # RANGES rows
-    sizes = dealt.groupBy(part).agg(F.count("*").alias(count))
-    starts = sizes.withColumn(before, F.sum(count).over(Window.orderBy(part)) - F.col(count)).select(part, before)
-    return ranked.join(F.broadcast(starts), part).select(*rows.columns, (F.col(before) + F.col(inside)).alias(name))
+    at, part, before = (free_name(rows.columns, n) for n in ("_at", "_part", "_before"))
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    ranged = kept(ranged, "placed").withColumn(part, F.shiftright(F.col(at), INSIDE))
+    # a row for each range
+    starts = ranged.groupBy(part).agg(F.count("*").alias(before))
+    starts = starts.select(part, (F.sum(before).over(Window.orderBy(part)) - F.col(before)).alias(before))
+    inside = F.col(at).bitwiseAND((1 << INSIDE) - 1)
+    return ranged.join(F.broadcast(starts), part).select(*rows.columns, (F.col(before) + inside).alias(name))

@@ -121,13 +121,17 @@ def frontier(configs: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
 
 
 def selection_scores(configs: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
-    """key and the weighted sum of normalised ranks over all rows, rank / (n - 1), ties in order of key."""
-    n = max(1, configs.count() - 1)
-    out, score = configs.select(key), F.lit(0.0)
-    for m, w in weights.items():
-        out = out.join(placed(configs.select(key, m), F.col(m), [m, key], f"_rank_{m}").select(key, f"_rank_{m}"), key)
-        score += w * F.col(f"_rank_{m}") / n
-    return out.select(key, score.alias("score"))
+    """key and the weighted sum of normalised ranks over all rows, rank / (n - 1), ties in order of key; a row for each row of configs, also of those that repeat a key.
+
+    All metrics are ranked in one order, metric after metric: each has n places.
+    """
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), F.col(m).cast("double").alias("value")) for i, (m, w) in enumerate(weights.items())])
+    # a row's number must be the same for all of its metrics: it is given before they part
+    rows = configs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), each.alias("_each"))
+    places = placed(rows.select("_row", "_key", F.explode("_each").alias("_m")).select("_row", "_key", "_m.*"), ["i", "value", "_key"], "place")
+    n = places.where("i = 0").count()
+    rank = F.col("place") - F.col("i") * n
+    return places.groupBy("_row").agg(F.first("_key").alias(key), F.sum(F.col("w") * rank / max(1, n - 1)).alias("score")).drop("_row")
 
 
 def group_scores(configs: DataFrame, group: str, key: str, weights: dict[str, float]) -> DataFrame:

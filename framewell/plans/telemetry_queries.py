@@ -302,8 +302,7 @@ def _(spark, d):
 @query("t5_latest_listing", "select o_custkey, max(o_orderdate) as last_order, row_number() over (order by max(o_orderdate) desc, o_custkey) as pos from orders group by o_custkey order by pos")
 def _(spark, d):
     last = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_order"))
-    newest = -F.unix_date(F.col("last_order").cast("date")).cast("double")
-    return placed(last, newest, [F.desc("last_order"), "o_custkey"], "pos").withColumn("pos", F.col("pos") + 1)
+    return placed(last, [F.desc("last_order"), "o_custkey"], "pos").withColumn("pos", F.col("pos") + 1)
 
 
 @query("t7_explicit_order", "select event_id, coalesce(list_position(['purchase', 'click', 'view'], event_type), 0)::bigint as pos from events")

@@ -195,10 +195,28 @@ def test_places_over_ranges(spark):
     from framewell.operators.ranks import placed
 
     rows = [((i * 37) % 101 % 20, i) for i in range(500)]
-    got = {(r.v, r.i): r.place for r in placed(spark.createDataFrame(rows, "v int, i int").repartition(7), F.col("v").cast("double"), ["v", "i"], "place").collect()}
+    got = {(r.v, r.i): r.place for r in placed(spark.createDataFrame(rows, "v int, i int").repartition(7), ["v", "i"], "place").collect()}
     assert [got[r] for r in sorted(rows)] == list(range(500))
 
 
+def test_places_of_ties_and_nulls(spark):
+    from framewell.operators.ranks import placed
+
+    rows = [(None if i % 3 else 7, i, "x") for i in range(400)] + [(9, 1, "x")] * 3
+    df = spark.createDataFrame(rows, "v int, i int, _at string").repartition(5)
+    got = placed(df, [F.desc("v"), "i"], "place").collect()
+    assert sorted(r.place for r in got) == list(range(403)) and all(r["_at"] == "x" for r in got)
+    # descending, nulls last
+    assert [(r.v, r.i) for r in sorted(got, key=lambda r: r.place)] == sorted(((v, i) for v, i, _ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert placed(df.limit(0), ["v"], "place").count() == 0
+
+
+def test_selection_scores_of_repeated_keys(spark):
+    rows = [("a", 1.0, 5.0), ("a", 2.0, 4.0), ("b", 2.0, 4.0), ("c", 9.0, 0.5)]
+    got = sorted((r.key, round(r.score, 9)) for r in U.selection_scores(spark.createDataFrame(rows, "key string, a double, b double"), "key", {"a": 3.0, "b": 1.0}).collect())
+    assert got == [("a", 1.0), ("a", round(3 / 3 + 1 / 3, 9)), ("b", round(3 * 2 / 3 + 2 / 3, 9)), ("c", 3.0)]
+
+
 def test_nearest_against_all_pairs(spark):
     import random
 
