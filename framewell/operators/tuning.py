@@ -52,7 +52,7 @@ def row_errors(rows: DataFrame, keys: Sequence[str], checks: Sequence[tuple[str,
 
 def out_of_bounds(rows: DataFrame, keys: Sequence[str], values: str, bounds: DataFrame) -> DataFrame:
     """A row for each value of the map `values` that isn't between its bounds: bounds(parameter, lo, hi) is a table that users add rows to. Nulls are in no bounds."""
-    each = rows.select(*keys, F.explode(values).alias("parameter", "value")).join(F.broadcast(bounds), "parameter")
+    each = rows.select(*keys, F.explode(values).alias("parameter", "value")).join(bounds, "parameter")
     return each.where(~F.coalesce(F.col("value").between(F.col("lo"), F.col("hi")), F.lit(False))).select(*keys, "parameter", "value")
 
 
