@@ -1,4 +1,4 @@
-"""Checks of tuning result files, and runtimes of differing shapes: both over VARIANT documents, without a shuffle."""
+"""Checks of tuning result files, and runtimes of differing shapes: both over VARIANT documents, which are not shuffled."""
 
 from __future__ import annotations
 
@@ -65,14 +65,17 @@ def contract_errors(docs: DataFrame, existing: DataFrame | None = None) -> DataF
     (output_dir) of folders that are there, which makes the check strict: folders of configurations with status ok must be
     among them. An empty table has no errors.
     """
-    v = F.col("v")
+    v, configs, ids = F.col("v"), F.col("configs"), F.col("ids")
     provider = F.coalesce(_text(_at(v, "$.provider.name")), _text(_at(v, "$.provider")))
-    sources, configs = _items(v, "$.official_docs"), _items(v, "$.configs")
+    sources = _items(v, "$.official_docs")
     addresses = F.transform(sources, lambda d, i: F.when(~F.coalesce(F.startswith(_text(_at(d, "$.url")), F.lit("http")), F.lit(False)), _named(i, "official_docs", " must contain an HTTP(S) url")))
-    ids = F.transform(configs, lambda c: F.when(F.startswith(_kind(c), F.lit("OBJECT")), F.nullif(_text(_at(c, "$.id")), F.lit(""))))
-    repeated = F.transform(ids, lambda x, i: F.when(F.array_position(ids, x) <= i, F.concat(F.lit("duplicate config id: "), x)))
+    id_of = lambda c: F.when(F.startswith(_kind(c), F.lit("OBJECT")), F.nullif(_text(_at(c, "$.id")), F.lit("")))
+    # ids in order, each beside the one before it: a file's work grows with its configurations, not with their square
+    read = docs.select("path", "v", _items(v, "$.configs").alias("configs")).select("*", F.array_sort(F.array_compact(F.transform(configs, id_of))).alias("ids"))
+    before = F.concat(F.array(F.lit(None).cast("string")), ids)
+    repeated = F.zip_with(ids, before, lambda x, y: F.when(x == y, F.concat(F.lit("duplicate config id: "), x)))
     recommended = F.coalesce(*[F.nullif(_text(_at(v, f"$.recommendation.{k}")), F.lit("")) for k in RECOMMENDATION])
-    unknown = F.when(recommended.isNotNull() & ~F.array_contains(F.array_compact(ids), recommended), F.concat(F.lit("recommendation references unknown config: "), recommended))
+    unknown = F.when(recommended.isNotNull() & ~F.array_contains(ids, recommended), F.concat(F.lit("recommendation references unknown config: "), recommended))
     n = F.size(configs)
     whole = _list(
         F.when(F.coalesce(F.trim(provider) == "", F.lit(True)), F.lit("provider must be a non-empty string")),
@@ -81,12 +84,12 @@ def contract_errors(docs: DataFrame, existing: DataFrame | None = None) -> DataF
         F.when(n < LEAST_CONFIGS, F.concat(F.lit(f"expected at least {LEAST_CONFIGS} configurations, got "), n.cast("string"))),
         unknown,
     )
-    messages = F.concat(whole, F.array_compact(addresses), F.flatten(F.transform(configs, _config_errors)), F.array_compact(repeated))
-    read = F.when(v.isNull(), F.array(F.lit("not a JSON document"))).otherwise(messages)
-    out = docs.select("path", F.explode(read).alias("error"))
+    of_file = F.when(v.isNull(), F.array(F.lit("not a JSON document"))).otherwise(F.concat(whole, F.array_compact(addresses), F.array_compact(repeated)))
+    each = docs.select("path", F.posexplode(_items(v, "$.configs")).alias("i", "c"))
+    out = read.select("path", F.explode(of_file).alias("error")).unionByName(each.select("path", F.explode(_config_errors(F.col("c"), F.col("i"))).alias("error")))
     if existing is None:
         return out
-    each = docs.select("path", F.posexplode(configs).alias("i", "c")).select("path", "i", _text(_at(F.col("c"), "$.status")).alias("status"), F.nullif(_text(_at(F.col("c"), "$.output_dir")), F.lit("")).alias("output_dir"), F.nullif(_text(_at(F.col("c"), "$.id")), F.lit("")).alias("id"))
+    each = each.select("path", "i", _text(_at(F.col("c"), "$.status")).alias("status"), F.nullif(_text(_at(F.col("c"), "$.output_dir")), F.lit("")).alias("output_dir"), F.nullif(_text(_at(F.col("c"), "$.id")), F.lit("")).alias("id"))
     lost = each.where("status = 'ok' and output_dir is not null and id is not null").join(existing.select("output_dir").distinct(), "output_dir", "left_anti")
     return out.unionByName(lost.select("path", F.concat(_named(F.col("i"), "configs", ".output_dir does not exist: "), F.col("output_dir")).alias("error")))
 

@@ -1,6 +1,7 @@
 """Rules as rows, the contract of result files, and runtimes of differing shapes."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,16 @@ def test_every_message(spark):
     assert lax.count() == 4 and K.contract_errors(parsed(spark, docs).limit(0), existing).count() == 0
 
 
+def test_a_file_of_many_configurations(spark):
+    """Its work grows with the configurations; two rows of one path are two files."""
+    many = good(configs=[{"id": f"c{i % 3000}", "quality": {"pseudo_mae": "bad" if i == 7 else None}} for i in range(3002)], recommendation={"id": "c2999"})
+    rows = spark.createDataFrame([("many", json.dumps(many)), ("twin", json.dumps(good())), ("twin", json.dumps(good()))], "path string, text string")
+    began = time.time()
+    got = sorted(tuple(r) for r in K.contract_errors(rows.select("path", F.call_function("try_parse_json", "text").alias("v"))).collect())
+    assert got == [("many", "configs[7].quality.pseudo_mae must be finite number or null"), ("many", "duplicate config id: c0"), ("many", "duplicate config id: c1")]
+    assert time.time() - began < 25
+
+
 def test_rules(spark):
     rows = [("SAM2 small", "a"), ("x", "Postprocess_Binary"), ("official_matanyone_v1", "a"), ("rembg", "alpha_fur_safe_1"), ("rembg", "a"), ("adaptive_green_baseline", "halo_cartoon"), ("adaptive_green_baseline", "halo_mid"), (None, None), ("sam2", "postprocess_binary")]
     table = spark.createDataFrame([(i, *r, float(i)) for i, r in enumerate(rows)], "n int, provider string, id string, mae double")
