@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,15 +76,25 @@ def outcome(tried: DataFrame, ladder: Ladder = Ladder()) -> DataFrame:
 
 
 def signatures(keyed: DataFrame, cells: int = 48) -> DataFrame:
-    """(clip, f, e): each frame's premultiplied colours and alpha, as means over `cells` x `cells` cells (pixels where the frame is smaller)."""
-    side = F.least(F.lit(cells), "height", "width")
-    zipped = F.posexplode(F.arrays_zip("alpha", *M.PLANES)).alias("at", "v")
-    px = keyed.where("alpha is not null").select("clip", "f", "height", "width", side.alias("side"), zipped)
-    y, x = F.floor(F.col("at") / F.col("width")), F.col("at") % F.col("width")
-    cell = F.floor(y * F.col("side") / F.col("height")) * F.col("side") + F.floor(x * F.col("side") / F.col("width"))
-    a = F.col("v.alpha")
-    means = px.groupBy("clip", "f", cell.alias("cell")).agg(*[F.avg(F.col(f"v.{c}") * a).alias(c) for c in M.PLANES], F.avg(a).alias("a"))
-    return means.groupBy("clip", "f").agg(F.array_sort(F.collect_list(F.struct("cell", *M.PLANES, "a"))).alias("cells")).select("clip", "f", F.flatten(F.transform("cells", lambda c: F.array(c["r"], c["g"], c["b"], c["a"]))).alias("e"))
+    """(clip, f, e): each frame's premultiplied colours and alpha, as means over `cells` x `cells` cells (pixels where the frame is smaller); frames are not shuffled."""
+    kinds = dict(keyed.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            planes = [M._planes(batch, c) for c in ("alpha", *M.PLANES)]
+            sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            out = []
+            for i, (height, width) in enumerate(sizes):
+                a, *colours = (v[o[i] : o[i + 1]] for v, o in planes)
+                side, at = min(cells, height, width), np.arange(height * width)
+                cell = (at // width * side // height) * side + at % width * side // width
+                n = np.bincount(cell)
+                sums = np.stack([np.bincount(cell, v) for v in (*(c * a for c in colours), a)], 1)
+                out.append((sums / n[:, None]).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["clip", "f", "e"])
+
+    rows = keyed.where("alpha is not null").select("clip", "f", "height", "width", "alpha", *M.PLANES)
+    return rows.mapInArrow(run, f"clip {kinds['clip']}, f {kinds['f']}, e array<double>")
 
 
 def loops(marks: DataFrame, kinds: DataFrame, loop: Loop = Loop()) -> DataFrame:
@@ -112,13 +124,14 @@ def loops(marks: DataFrame, kinds: DataFrame, loop: Loop = Loop()) -> DataFrame:
 
 
 def clip_pipeline(frames: DataFrame, kinds: DataFrame, rules: M.KeyRules = M.KeyRules(), ladder: Ladder = Ladder(), loop: Loop = Loop(), motion: tuple[float, int] = (10 / 255, 4), band: int = 10) -> DataFrame:
-    """A row of metrics for each clip of frames (clip, f from 0, height, width, r, g, b), all clips together: what is known of clips, and the signatures, are written between the steps.
+    """A row of metrics for each clip of frames (clip, f from 0, height, width, r, g, b), all clips together: the frames with their motion, what is known of clips, and the signatures are written between the steps, since several of them read each.
 
     (clip, status, attempt, similarity, visible, residual, bg_floor, key_colour, frames, mode, seam, closure, start, end,
     closed, out_frames). Clips that fail have no loop: their columns from `mode` on are null.
     """
+    moving = kept(M.with_motion(frames, *motion), "moving")
+    frames = moving.drop("motion")
     profile = kept(M.clip_profile(frames, band=rules.band), "profile")
-    moving = M.with_motion(frames, *motion)
     done = kept(outcome(attempts(moving, profile, rules, ladder, band), ladder), "outcome")
     colours = kept(M.key_colour(frames, band=band), "colours")
     adaptive = M.adaptive_matte(moving.join(done.where("status = 'ok'"), "clip", "left_semi"), profile, rules).select("clip", "f", "height", "width", "alpha", *M.PLANES)

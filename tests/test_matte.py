@@ -4,6 +4,7 @@ import dataclasses
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framewell.operators import clip_pipeline as L
 from framewell.operators import matte as M
@@ -173,6 +174,26 @@ def test_pipeline_row_for_each_clip(spark):
     assert got["ok"].key_colour == "0x0DE60F" and got["ok"].seam == pytest.approx(0)
 
 
+def test_pipeline_reads_its_frames_once(spark):
+    planes, _ = shot(24)
+    rows = frames(spark, {"body": [planes] * 3, "grey": [[np.full((24, 24), 0.5)] * 3] * 2})
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    kinds = spark.createDataFrame([("body", "plain")], "clip string, kind string")
+    out = L.clip_pipeline(rows.mapInArrow(counted, rows.schema), kinds, band=3)
+    assert out.count() == 2 and read.value == 5
+    marks = L.signatures(rows.withColumn("alpha", F.col("g")), 2)
+    assert "Exchange" not in marks._jdf.queryExecution().toString()
+    r, g, b = planes
+    want = [v[y : y + 12, x : x + 12].mean() for y in (0, 12) for x in (0, 12) for v in (r * g, g * g, b * g, g)]
+    assert marks.where("clip = 'body' and f = 0").first().e == pytest.approx(want)
+
+
 def png(path, planes):
     """Writes r, g, b in 0..1 as an image file."""
     import struct
