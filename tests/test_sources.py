@@ -92,3 +92,20 @@ def test_frames(spark, tmp_path):
     assert {r.error for r in plugins.run_provider("loses one", found).collect()} == {"names differ from the source"}
     io.write_report(found.select("name"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_provider_by_stretches(spark):
+    """No call gets a whole long clip; neighbours are at hand at the ends of a stretch, facts are of the whole clip."""
+    frames = spark.createDataFrame([("long", f"f_{i:04d}", 1, 1, 3, bytes([i % 256] * 3)) for i in range(200)] + [("short", "a", 1, 1, 3, b"\x07\x07\x07")], "clip string, name string, width int, height int, n_channels int, data binary")
+
+    def by_stretch(pdf, known):
+        v = [d[0] for d in pdf["data"]]
+        near = [bytes([v[i - 1] if i else 0, v[i + 1] if i + 1 < len(v) else 0, known, len(v)]) for i in range(len(v))]
+        return pdf.assign(data=near, n_channels=4)
+
+    by_stretch.stretches = plugins.Stretches(4, len)
+    plugins.register_provider("by stretch", by_stretch)
+    got = sorted(plugins.run_provider("by stretch", frames).collect())
+    assert [(r.clip, r.name, r.error) for r in got] == [("long", f"f_{i:04d}", None) for i in range(200)] + [("short", "a", None)]
+    assert [tuple(r.data)[:3] for r in got] == [(max(0, i - 1), i + 1 if i < 199 else 0, 4) for i in range(200)] + [(0, 0, 1)]
+    assert max(r.data[3] for r in got) == plugins.STRETCH + 2
