@@ -60,11 +60,14 @@ def codewords(languages: int) -> np.ndarray:
     return best
 
 
+#: Bytes as they count: ASCII letters fold to lower case, other ASCII to spaces.
+_FOLDED = np.array([c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], np.uint32)
+
+
 def grams(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams that lie in one row, and n + 1 borders of the rows among them. ASCII letters fold to lower case, other ASCII to spaces."""
-    low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    low = np.where((low < 128) & ~((low >= 97) & (low <= 122)), np.uint8(32), low)
-    b = low.astype(np.uint32)
+    b = _FOLDED[data]
+    row_of = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
     found, at = [], []
     for k in range(1, NGRAMS + 1):
         n = len(b) - k + 1
@@ -74,17 +77,17 @@ def grams(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray
         for i in range(k):
             x = (x << np.uint32(8)) | b[i : i + n]
         x = (x * np.uint32(0x9E3779B1)) >> np.uint32(32 - DIMS.bit_length() + 1)
-        row = np.searchsorted(borders, np.arange(n), side="right") - 1 if k == 1 else row_of[:n]
-        if k == 1:
-            row_of = row
-        inside = row == row_of[k - 1 :]
+        inside = row_of[:n] == row_of[k - 1 :]
         found.append(x[inside])
-        at.append(row[inside])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(len(borders), np.int64)
-    x, row = np.concatenate(found), np.concatenate(at)
-    order = np.argsort(row, kind="stable")
-    return x[order].astype(np.int64), np.searchsorted(row[order], np.arange(len(borders)))
+        at.append(row_of[:n][inside])
+    # each length's n-grams are in order of their rows, so that a row's places follow from the counts
+    counts = np.maximum(np.diff(borders) - np.arange(NGRAMS)[:, None], 0)
+    border = np.concatenate([[0], np.cumsum(counts.sum(0))])
+    out, start = np.zeros(border[-1], np.int64), border[:-1].copy()
+    for x, row, n in zip(found, at, counts):
+        out[np.arange(len(x)) + (start - (np.cumsum(n) - n))[row]] = x
+        start += n
+    return out, border
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +142,7 @@ class Model:
         if len(x):
             full = n > 0
             for j in range(bits):
-                margin[full, j] = np.add.reduceat(self.weights[j][x], border[:-1][full], dtype=np.float64) / n[full]
+                margin[full, j] = np.add.reduceat(self.weights[j].astype(np.float64).take(x), border[:-1][full]) / n[full]
         margin = np.clip((margin - self.middle) / self.scale, -3, 3)
         loss = np.cosh(margin).sum(1, keepdims=True) - np.sinh(margin) @ self.code.T  # the sum of exp(-bit * margin)
         p = np.exp(-(loss - loss.min(1, keepdims=True)))
