@@ -1,6 +1,7 @@
 """Variants A and B, the cube of providers and actions, frontiers of named sets, states of result files."""
 
 import json
+import time
 import random
 
 import pytest
@@ -67,3 +68,11 @@ def test_states_of_files(spark):
     assert (got["few"].n_configs, got["few"].status) == (2, 2) and got["few"].first_error.startswith("expected at least 3")
     assert (got["object"].n_configs, got["object"].status) == (0, 2)
     assert (got["broken"].n_configs, got["broken"].first_error, got["broken"].status) == (0, "not a JSON document", 2)
+
+
+def test_state_of_a_file_with_many_configurations(spark):
+    file = {"provider": "p", "official_docs": [{"url": "https://d"}], "configs": [{"id": f"c{i % 2998}"} for i in range(3000)], "recommendation": {"config_id": "c5"}}
+    docs = spark.createDataFrame([("many", json.dumps(file))], "path string, t string").select("path", F.call_function("try_parse_json", "t").alias("v"))
+    began = time.time()
+    assert [tuple(r) for r in C.file_states(docs).collect()] == [("many", 3000, 2, "duplicate config id: c0", 2)]
+    assert time.time() - began < 25
