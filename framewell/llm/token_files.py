@@ -38,6 +38,8 @@ SAMPLE = 64
 PIECE = 16 << 20
 #: Text units whose ids a task remembers.
 REMEMBERED = 1_000_000
+#: Text units whose numbers of ids a task remembers.
+SIZES = 300_000
 END = 0
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 _ONES = _BITS.sum(1)
@@ -147,12 +149,13 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
+        self.sizes: dict[bytes, int] = {}
         self.known: dict[bytes, int] = {}
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         # few at a time: an encoding takes far more memory than its ids
-        parts = (texts[i : i + 64] for i in range(0, len(texts), 64))
+        parts = (texts[i : i + 16] for i in range(0, len(texts), 16))
         return [np.array(e.ids, np.uint32) for part in parts for e in self.tokenizer.encode_batch([t.decode() for t in part], add_special_tokens=False)]
 
     def _together(self, units: list[bytes], between: bytes, starts: np.ndarray) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
@@ -166,12 +169,18 @@ class Encoder:
                 raise ValueError("this tokenizer doesn't cut at each space and line break")
             yield run, ids, np.diff(np.append(at, len(ids)))
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _found(self, new: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+        """(units, their ids in a row, the number of ids of each) of new units, in any order."""
         odd = {u for u in new if any(t in u for t in self.added)} if any(t in b"".join(new) for t in self.added) else set()
         spaced, bare, rest = [], [], []
         for u in new:
             (rest if u in odd else spaced if _SPACED(u) else bare if _BARE(u) else rest).append(u)
-        found = [*self._together(spaced, b"", self.spaced), *self._together(bare, b"\n", self.line), *(([u], ids, [len(ids)]) for u, ids in zip(rest, self._encode(rest), strict=True))]
+        yield from self._together(spaced, b"", self.spaced)
+        yield from self._together(bare, b"\n", self.line)
+        yield from (([u], ids, np.array([len(ids)])) for u, ids in zip(rest, self._encode(rest), strict=True))
+
+    def _learn(self, new: list[bytes]) -> None:
+        found = list(self._found(new))
         units = [u for run, _, _ in found for u in run]
         sizes = np.concatenate([x for _, _, x in found])
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
@@ -179,21 +188,40 @@ class Encoder:
         self.flat = np.concatenate([self.flat, *(ids for _, ids, _ in found)])
         self.known |= dict(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each with END behind it; n + 1 borders)."""
-        if len(self.known) > REMEMBERED:
-            self._forget()
+    @staticmethod
+    def _units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """(n + 1 borders of the texts' bytes, places where units start, the distinct units, which of them stands at each place)."""
         data, borders = text_bytes(texts)
         starts = unit_starts(data, borders[:-1][np.diff(borders) > 0]) if len(data) else np.zeros(0, np.int64)
         offsets = pa.array(np.append(starts, len(data)), pa.int64())
         units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        distinct = units.dictionary.to_pylist()
+        return borders, starts, units.dictionary.to_pylist(), units.indices.to_numpy()
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text, END among them. Only numbers of ids are remembered, of SIZES units."""
+        if len(self.sizes) > SIZES:
+            self.sizes = {}
+        borders, starts, distinct, place = self._units(texts)
+        size = np.array([self.sizes.get(u, 0) for u in distinct], np.int64)
+        if len(new := np.flatnonzero(size == 0)):
+            learned = [distinct[i] for i in new.tolist()]
+            for units, _, n in self._found(learned):
+                self.sizes |= zip(units, n.tolist(), strict=True)
+            size[new] = [self.sizes[u] for u in learned]
+        ends = np.concatenate([[0], np.cumsum(size[place])])
+        return np.diff(ends[np.searchsorted(starts, borders, side="left")]) + 1
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with END behind it; n + 1 borders)."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        borders, starts, distinct, place = self._units(texts)
         code = np.array([self.known.get(u, -1) for u in distinct], np.int64)
         if len(new := np.flatnonzero(code < 0)):
             learned = [distinct[i] for i in new.tolist()]
             self._learn(learned)
             code[new] = [self.known[u] for u in learned]
-        at = code[units.indices.to_numpy()]
+        at = code[place]
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

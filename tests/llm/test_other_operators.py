@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from itertools import combinations
 
@@ -76,6 +77,36 @@ def test_encoder_equals_the_tokenizer_on_random_texts():
         texts = texts[::-1]
 
 
+def test_counted_tokens_equal_the_tokenizer_when_units_are_forgotten(monkeypatch):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    texts = [None, "", " ", "a", "<|endoftext|> x"] + ["".join(rng.choice(["word", "été", "it's", "日本", f"w{i}", "12", "\U0001f600", "?!"]) + rng.choice(["", " ", "\n", "  "]) for _ in range(30)) for i in range(60)]
+    encode, tok = token_files.Encoder(path("byte_bpe_50k.json")), Tokenizer.from_file(path("byte_bpe_50k.json"))
+    monkeypatch.setattr(token_files, "SIZES", 40)
+    want = [len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
+    assert [n for i in range(0, len(texts), 10) for n in encode.counts(pa.array(texts[i : i + 10], pa.string())).tolist()] == want
+    assert encode.counts(pa.array(texts, pa.string())).tolist() == want and encode.counts(pa.array([], pa.string())).tolist() == []
+
+
+def test_counting_tokens_takes_little_memory():
+    """Of a batch of 5 MB, most of its words new."""
+
+    class Docs:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    texts = [" ".join(f"{i:x}q{j:x}" for j in range(500)) for i in range(1600)]
+    run, batch = packing.token_counts(Docs()), pa.RecordBatch.from_pydict({"doc_id": list(range(1600)), "text": texts})
+    list(run(iter([batch.slice(0, 1)])))  # the tokenizer is there
+    tracemalloc.start()
+    got = pa.Table.from_batches(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 1600 and min(got["n_tokens"].to_pylist()) > 1000 and peak < 120e6
+
+
 def test_token_files(spark, monkeypatch):
     from public_tokenizers import path
     from tokenizers import Tokenizer
