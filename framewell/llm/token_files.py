@@ -39,7 +39,7 @@ PIECE = 16 << 20
 #: Text units whose ids a task remembers.
 REMEMBERED = 1_000_000
 #: Text units whose numbers of ids a task remembers.
-SIZES = 300_000
+SIZES = 1_000_000
 END = 0
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 _ONES = _BITS.sum(1)
