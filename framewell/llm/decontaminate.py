@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewell.llm.common import free_name, identity, table
-from framewell.llm.words import U, mix, ngrams, pieces, shingle_sets, words
+from framewell.llm.common import free_name, identity, lean, table
+from framewell.llm.words import SMALL_PIECE, U, mix, ngrams, pieces, shingle_sets, words
 
 #: Items that are broadcast at once: about 8 bytes a shingle and permutation, some MB.
 BLOCK = 20_000
@@ -76,10 +76,11 @@ class Items:
 
 
 def _search(k: int, percent: int, perms: int, block):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, mult = block.value, _multipliers(perms)
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SMALL_PIECE):
                 w = words(piece.column(1), lower=True)
                 h, whole = ngrams(w, k)
                 row = w.row[: len(h)][whole]

@@ -23,9 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewell.llm.common import table, written
+from framewell.llm.common import lean, table, written
 from framewell.llm.words import pieces, text_bytes
 
+#: Text bytes worked on at once: their n-grams take some 100 times as much.
+PIECE = 1 << 18
 #: Hashed n-grams.
 DIMS = 1 << 14
 NGRAMS = 3
@@ -90,12 +92,13 @@ def grams(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, border
 
 
+@lean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n, texts) of the task: gram -1 has the number of texts."""
     total: dict[str, np.ndarray] = {}
     texts: dict[str, int] = {}
     for batch in batches:
-        for piece in pieces(batch, "text", 1 << 20):
+        for piece in pieces(batch, "text", PIECE):
             x, border = grams(*text_bytes(piece.column(0)))
             langs = piece.column(1).to_pylist()
             for lang in set(langs):
@@ -177,11 +180,12 @@ def clean_gap(rows: DataFrame, model: Model) -> float:
     """The largest step of a gap with at most CLEAN of the rightly identified rows(text, lang) below it."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         total = np.zeros(6 * STEPS + 1, np.int64)  # margins lie in -3 .. 3
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 20):
+            for piece in pieces(batch, "text", PIECE):
                 best, _, gap = model.predict(*grams(*text_bytes(piece.column(0))))
                 right = np.array([model.langs[i] == lang for i, lang in zip(best, piece.column(1).to_pylist(), strict=True)], bool)
                 total += np.bincount(np.clip((gap[right] + 3) * STEPS, 0, 6 * STEPS).astype(np.int64), minlength=len(total))
@@ -207,10 +211,11 @@ def identify(docs: DataFrame, model: Model | None, ambiguous: float | None = Non
     docs = docs.select(*[c for c in docs.columns if c.lower() not in new])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 20):
+            for piece in pieces(batch, "text", PIECE):
                 col = piece.column(next(i for i, c in enumerate(piece.schema.names) if c.lower() == "text"))
                 letter = pc.fill_null(pc.match_substring_regex(col, r"\pL"), False).to_numpy(zero_copy_only=False)
                 if model is None:

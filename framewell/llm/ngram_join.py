@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framewell.llm.common import table, written
+from framewell.llm.common import lean, table, written
 from framewell.llm.components import components
 from framewell.llm.sketch import CHUNK, SLOTS, Sketch, summed
-from framewell.llm.words import U, mix, pieces, shingle_sets, signed, words
+from framewell.llm.words import SMALL_PIECE, U, mix, pieces, shingle_sets, signed, words
 
 #: Classes of a group, on average at most.
 GROUP = 256
@@ -61,10 +61,11 @@ def _stats(k: int):
     """Rows of documents, (doc_id, n, fp, fp2), and at the end of a task its part of the sketch in chunks."""
     names = ["doc_id", "n", "fp", "fp2", "chunk", "task", "counts"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = Sketch()
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SMALL_PIECE):
                 row, h = shingle_sets(words(piece.column(1), lower=True), k)
                 part.add(h)
                 _, n, fp, fp2 = _set_stats(row, h, len(piece))
@@ -84,10 +85,11 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 def _tokens(k: int, percent: int, sketch):
     """(token, fp, fp2, n, common): the tokens of each set, the rarest shingles first; one row for each set and piece. common: the shingle's count, where it stands out, else 0."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SMALL_PIECE):
                 row, h = shingle_sets(words(piece.column(1), lower=True), k)
                 borders, n, fp, fp2 = _set_stats(row, h, len(piece))
                 once = np.zeros(len(n), bool)
@@ -106,9 +108,10 @@ def _tokens(k: int, percent: int, sketch):
 def _sets(k: int):
     """(fp, rep, n, weight, grp, lo, hi, shingles): a row for each open pair of groups in the list `pairs`, with the text's set; texts of other classes under the same doc_id give none."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", SMALL_PIECE):
                 row, h = shingle_sets(words(piece.column(1), lower=True), k)
                 borders, _, fp, fp2 = _set_stats(row, h, len(piece))
                 of_class = piece.column(2)

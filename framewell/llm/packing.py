@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framewell.llm.common import free_name, table, written
+from framewell.llm.common import free_name, lean, table, written
 from framewell.llm.token_files import encoder
 from framewell.llm.words import pieces
 
@@ -113,6 +113,7 @@ def pack(rows: DataFrame, key: str, length: str, buckets: int = 8, budget: int =
 def token_counts(docs: DataFrame, tokenizer: str | None = None, name: str = "byte_bpe_50k.json") -> DataFrame:
     """(doc_id, n_tokens): the ids of the whole text, as token_files writes them, with the end id; null and empty texts have the end id alone."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, name)
         for batch in batches:

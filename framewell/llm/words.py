@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Text bytes worked on at once; a longer text stands alone.
 PIECE = 1 << 21
+#: The same for steps of a long job, whose workers share an executor with what other steps need.
+SMALL_PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 STEP = U(0xD6E8FEB86659FD93)
 _powers = [np.ones(1, U), np.ones(1, U)]
@@ -35,7 +37,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if len(_powers[0]) <= n:
         for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(max(n, PIECE) + 1, base, U)
+            p = np.full(max(1 << 16, 1 << n.bit_length()), base, U)  # more than n; doubled as longer pieces come
             p[0] = 1
             _powers[i] = np.multiply.accumulate(p)
     return _powers[0], _powers[1]

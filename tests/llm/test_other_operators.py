@@ -2,9 +2,12 @@
 
 import random
 import re
+import subprocess
+import sys
 import tracemalloc
 import zlib
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +110,40 @@ def test_counting_tokens_takes_little_memory():
     assert got.num_rows == 1600 and min(got["n_tokens"].to_pylist()) > 1000 and peak < 120e6
 
 
+def test_language_id_takes_little_memory():
+    """For a batch of 4 MB."""
+    batch = pa.RecordBatch.from_pydict({"text": ["some words of a text " * 100] * 2000, "lang": ["en"] * 2000})
+    tracemalloc.start()
+    got = pa.Table.from_batches(language_id._count(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 2100 bytes have as many 1-grams, and one less of each next length
+    assert got["n"].to_pylist()[-1] == 2000 and sum(got["n"].to_pylist()[:-1]) == 2000 * (2100 + 2099 + 2098) and peak < 60e6
+
+
+HELD = """
+import re
+from pathlib import Path
+import numpy as np, pandas, pyarrow as pa
+from framewell.llm import language_id
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+def batches():
+    for i in range(8):
+        yield pa.RecordBatch.from_pydict({"text": [f"text {i} {j} of several words " * 70 for j in range(8000)], "lang": ["en"] * 8000})
+before = held()
+assert sum(b.num_rows for b in language_id._count(batches())) > 10
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory is read from /proc")
+def test_a_worker_gives_memory_back_after_a_task():
+    """Of 8 batches of some 16 MB; a worker's memory counts beside the stages of a pipeline that follow."""
+    run = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, cwd=Path(language_id.__file__).parents[2])
+    assert float(run.stdout) < 40, run.stdout
+
+
 def test_token_files(spark, monkeypatch):
     from public_tokenizers import path
     from tokenizers import Tokenizer
