@@ -2,7 +2,9 @@
 
 import dataclasses
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,26 @@ def test_lift_rule():
     assert (still == off).all() and (moving[~ring] == still[~ring]).all()
 
 
+def test_lift_at_its_limit():
+    """A pixel that the means around it put at the limit, but for the last bits, is lifted as in SQL."""
+    rng, rules, limits = np.random.default_rng(4), M.KeyRules(margin=0, band=2, window=5, despill=0, support=None), 0
+    for _ in range(40):
+        excess = rng.choice([90, 100, 110], (12, 12))
+        body, doubt = box(12, 6, 12, 3, 9), box(12, 5, 6, 3, 9)
+        excess[doubt] = 95
+        base = np.where(doubt, 25, 20)
+        planes = painted([base / 255, (base + excess) / 255, base / 255], body, (160 / 255, 140 / 255, 110 / 255))
+        exc, sure = planes[1] - np.maximum(planes[0], planes[2]), ~body & ~doubt
+        px = pd.DataFrame({"y": np.repeat(range(12), 12), "x": np.tile(range(12), 12), "e": np.where(sure, exc, 0.0).ravel(), "s": sure.ravel().astype(int)})
+        mean = "avg({}) over (partition by {} order by {} range between 2 preceding and 2 following)"
+        rows = duckdb.from_df(px).query("px", f"with a as (select y, x, {mean.format('e', 'y', 'x')} as e, {mean.format('s', 'y', 'x')} as s from px) select {mean.format('e', 'x', 'y')} as e, {mean.format('s', 'x', 'y')} as s from a order by y, x").df()
+        cover = 1 - exc / (rows.e / rows.s).to_numpy().reshape(12, 12)
+        limits += (abs(cover[doubt] - 0.05) < 1e-12).sum()
+        alpha = M.key_frame(*planes, 0.8, KEY, np.ones((12, 12), bool), rules)[0]
+        assert ((alpha[doubt] > 0) == (cover[doubt] > 0.05)).all()
+    assert limits > 20
+
+
 def test_despill_rule():
     planes, d = shot()
     cast, eye = box(96, 46, 50, 18, 22), box(96, 40, 46, 60, 66)
