@@ -61,6 +61,13 @@ def test_gap_rule():
     assert (keyed(pale)[0][low] == 1).all(), "hardly green"
 
 
+def test_gap_at_its_limit():
+    """A gap whose mean row is 0.4 of the height, 4.8 of 12, is low enough."""
+    gap = box(12, 5, 6, 4, 8) | box(12, 4, 5, 5, 6)
+    planes = painted(painted([np.full((12, 12), k) for k in KEY], box(12, 2, 10, 2, 10), FUR), gap, KEY)
+    assert (keyed(planes, margin=1, band=2, gap_area=(1, 0.08))[0][gap] == 0).all()
+
+
 def test_lift_rule():
     planes, d = shot()
     ring = (d >= 32) & (d < 35)
