@@ -210,6 +210,8 @@ def _(spark, d):
     def byte(p):
         return F.concat(*[F.lpad(F.hex(F.floor(p[c] * 255 + 0.5).cast("int")), 2, "0") for c in "bgr"])
 
-    shots = scene(spark, d).select(F.col("clip").cast("string").alias("clip"), F.format_string("f_%04d", "f").alias("name"), "width", "height", F.lit(3).alias("n_channels"), F.unhex(F.array_join(F.transform(F.arrays_zip(*M.PLANES), byte), "")).alias("data"))
+    # providers go by the order of names, which four digits keep for 10000 frames only
+    shots = scene(spark, d).select(F.col("clip").cast("string").alias("clip"), F.format_string("f_%010d", "f").alias("name"), "width", "height", F.lit(3).alias("n_channels"), F.unhex(F.array_join(F.transform(F.arrays_zip(*M.PLANES), byte), "")).alias("data"))
     metrics, _ = V.evaluated(shots, "scene_key", SIDE, SIDE)
-    return rounded(metrics.withColumn("clip", F.col("clip").cast("long")).select("clip", "name", *A1, "mean_alpha"), *A1, "mean_alpha", places=5)
+    name = F.format_string("f_%04d", F.substring("name", 3, 10).cast("int"))
+    return rounded(metrics.withColumns({"clip": F.col("clip").cast("long"), "name": name}).select("clip", "name", *A1, "mean_alpha"), *A1, "mean_alpha", places=5)

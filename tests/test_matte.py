@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framewell.operators import clip_pipeline as L
 from framewell.operators import matte as M
+from framewell.plans.pixel_queries import A1
 
 KEY = (0.05, 0.90, 0.06)
 FUR = (0.60, 0.52, 0.40)
@@ -257,3 +258,18 @@ def test_from_image_files_to_metrics(spark, tmp_path):
     assert {(r.clip, r.error) for r in errors.collect()} == {("grey", "no reliable green screen")}
     with_profile = M.clip_profile(frames(spark, {"body": [planes] * 3}), band=3).first()
     assert V.profile_of([planes] * 3, band=3) == (pytest.approx(with_profile.bg_floor), pytest.approx([with_profile.key_r, with_profile.key_g, with_profile.key_b]))
+
+
+def test_names_of_long_clips(spark, tmp_path, monkeypatch):
+    """Frames from 10000 on come after those before them, since providers go by names."""
+    from framewell.operators import providers as V
+    from framewell.plans import bindings
+
+    n = 10_003
+    spark.range(n).select(F.col("id").alias("vec_id"), F.array(*[F.lit(0.0).cast("float")] * 64).alias("embedding"), F.lit(0).alias("label")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    taken = []
+    monkeypatch.setattr(V, "evaluated", lambda shots, *_: taken.append(shots) or (shots.select("clip", "name", *[F.lit(0.0).alias(c) for c in (*A1, "mean_alpha")]), None))
+    out = bindings.queries()["u1_provider_metrics"](spark, str(tmp_path))
+    names = [r.name for r in taken[0].select("name").collect()]
+    assert len(names) == n and max(names).endswith("10002") and sorted(names)[9999].endswith("9999")
+    assert {"f_0000", "f_9999", "f_10002"} <= {r.name for r in out.select("name").collect()}
